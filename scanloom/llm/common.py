@@ -32,3 +32,20 @@ def map_text(df: DataFrame, key: str, text: str, schema: str, per_batch: Callabl
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, out)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], columns: int, least: int = 100_000) -> Iterator[list]:
+    """Rows sorted by their first column, as lists of arrays in which no run of equal keys is cut."""
+    import numpy as np
+
+    held: list | None = None
+    for batch in batches:
+        got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        held = got if held is None else [np.concatenate([x, y]) for x, y in zip(held, got, strict=True)]
+        if len(held[0]) < least or held[0][0] == held[0][-1]:
+            continue
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        yield [x[:last] for x in held]
+        held = [x[last:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
