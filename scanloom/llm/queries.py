@@ -4,18 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scanloom.llm import simhash
+from scanloom.llm import embeddings, mixing, oracles, packing, planes, rules, sharding, simhash, substring
 from scanloom.session import table
 
+#: Production shards of op4.
+SHARDS = [f"shard-{k:03d}" for k in range(128)]
+
+
+def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(rules.ledger(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op3_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup_table(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op4_lookup_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return sharding.place(docs, SHARDS)
+
+
+def op5_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
 
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_simhash_golay": op8_simhash_golay,
+    f.__name__: f
+    for f in (op1_rule_ledger, op2_best_two_fit, op3_fingerprint_log, op4_lookup_shards, op5_itq_embeddings, op6_bit_planes, op8_simhash_golay, op10_temperature_mix)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_rule_ledger": oracles.OP1,
+    "op3_fingerprint_log": oracles.OP3,
+    "op5_itq_embeddings": oracles.OP5,
+    "op10_temperature_mix": oracles.OP10,
+}
