@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package wherever the driver was started.
+
+    On a cluster the package is installed or shipped with ``--py-files``; an extra path
+    that isn't there does no harm.
+    """
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    if here not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (here, env.get("PYTHONPATH", "")) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
