@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import embeddings, mixing, oracles, packing, planes, rules, sharding, simhash, substring
+from scanloom.llm import embeddings, mixing, oracles, packing, planes, quality, rules, sharding, simhash, substring, toxicity
 from scanloom.session import table
 
 #: Production shards of op4.
@@ -43,17 +43,27 @@ def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_rule_ledger, op2_best_two_fit, op3_fingerprint_log, op4_lookup_shards, op5_itq_embeddings, op6_bit_planes, op8_simhash_golay, op10_temperature_mix)
+    for f in (op1_rule_ledger, op2_best_two_fit, op3_fingerprint_log, op4_lookup_shards, op5_itq_embeddings, op6_bit_planes, op7_noisy_channel, op8_simhash_golay, op9_rule_ensemble, op10_temperature_mix)
 }
 
 ORACLES: dict[str, str] = {
