@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     round is checkpointed. Returns ``node, component``; self loops give single
     nodes; null ends are ignored.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    pairs = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"))
     loops = pairs.where("a = b").select("a", "b")
     e = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     nodes = cut(e.select("u").union(e.select("v")).union(loops.select("a")).distinct().toDF("node"))
