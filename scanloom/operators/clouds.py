@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.functions import geo
 from scanloom.operators.graph import connected_components
@@ -77,7 +78,7 @@ def moments(points: DataFrame, *by: str) -> DataFrame:
     return points.groupBy(*by).agg(F.count("*").alias("n"), s("x", "sx"), s("y", "sy"), s("z", "sz"), s("x*x", "sxx"), s("y*y", "syy"), s("z*z", "szz"), s("x*y", "sxy"), s("x*z", "sxz"), s("y*z", "syz"))
 
 
-@F.pandas_udf("struct<nx:double,ny:double,nz:double,d:double,rms:double>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("nx", "ny", "nz", "d", "rms")]))
 def _plane(n: pd.Series, sx: pd.Series, sy: pd.Series, sz: pd.Series, sxx: pd.Series, syy: pd.Series, szz: pd.Series, sxy: pd.Series, sxz: pd.Series, syz: pd.Series) -> pd.DataFrame:
     m = np.stack([sx / n, sy / n, sz / n], axis=1)
     c = np.empty((len(n), 3, 3))
