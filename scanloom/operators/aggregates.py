@@ -41,7 +41,7 @@ def mission_summary(waypoints: DataFrame, hover_s: float = 1.0) -> DataFrame:
 
 def flight_time(waypoints: DataFrame, speed: float = 3.0, yaw_rate: float = 60.0, hover_s: float = 1.0, overhead_s: float = 60.0) -> DataFrame:
     """Three models: path, hover and turns at one speed; each leg at its own; path at the mean with half a second a row."""
-    p = paths.with_path(waypoints).withColumn("turn", angles.angle_delta(F.col("heading_deg"), F.lag("heading_deg").over(paths.PATH)))
+    p = paths.with_path(waypoints).withColumn("turn", angles.angle_delta(F.col("heading_deg"), F.lag("heading_deg").over(paths.path())))
     look = F.count_if(F.expr("not is_transition"))
     path = F.sum("seg_m")
     turns = F.coalesce(F.sum(F.when(F.col("turn") > 1, F.col("turn") / yaw_rate)), F.lit(0.0))
@@ -71,7 +71,7 @@ def five_number(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def path_totals(waypoints: DataFrame) -> DataFrame:
     """Metres in all, on transit (either end of a leg is one), and the share of inspection in percent."""
-    p = paths.with_path(waypoints).withColumn("on_transit", F.col("is_transition") | F.coalesce(F.lag("is_transition").over(paths.PATH), F.lit(False)))
+    p = paths.with_path(waypoints).withColumn("on_transit", F.col("is_transition") | F.coalesce(F.lag("is_transition").over(paths.path()), F.lit(False)))
     g = p.groupBy("mission_id").agg(F.sum("seg_m").alias("total_m"), F.coalesce(F.sum(F.when(F.col("on_transit"), F.col("seg_m"))), F.lit(0.0)).alias("transit_m"))
     return g.withColumn("efficiency_pct", F.when(F.col("total_m") > 0, (F.col("total_m") - F.col("transit_m")) / F.col("total_m") * 100).otherwise(0.0))
 

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from scanloom.functions import angles
 
-PATH = Window.partitionBy("mission_id").orderBy("idx")
-BEFORE = PATH.rowsBetween(Window.unboundedPreceding, -1)
-SO_FAR = PATH.rowsBetween(Window.unboundedPreceding, 0)
+
+def path() -> WindowSpec:
+    """A mission's rows in order."""
+    return Window.partitionBy("mission_id").orderBy("idx")
+
+
+def before() -> WindowSpec:
+    return path().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def so_far() -> WindowSpec:
+    return path().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def step(axis: str, back: int = 1) -> Column:
-    return F.col(axis) - F.lag(axis, back).over(PATH)
+    return F.col(axis) - F.lag(axis, back).over(path())
 
 
 def length(*axes: str) -> Column:
@@ -23,26 +32,26 @@ def length(*axes: str) -> Column:
 def with_path(waypoints: DataFrame) -> DataFrame:
     """Add ``seg_m`` (0 at the start) and ``cum_m``."""
     seg = waypoints.withColumn("seg_m", F.coalesce(length("x", "y", "z"), F.lit(0.0)))
-    return seg.withColumn("cum_m", F.sum("seg_m").over(SO_FAR))
+    return seg.withColumn("cum_m", F.sum("seg_m").over(so_far()))
 
 
 def timeline(waypoints: DataFrame, inspect_ms: float = 3.0, transit_ms: float = 9.0, dwell_s: float = 1.0) -> DataFrame:
     """Add ``t_s``: when each waypoint is left; inspection rows dwell, the first is at 0."""
     p = with_path(waypoints)
     gap = F.when(F.col("idx") == 0, 0.0).otherwise(F.col("seg_m") / F.when(F.col("is_transition"), transit_ms).otherwise(inspect_ms) + F.when(F.col("is_transition"), 0.0).otherwise(dwell_s))
-    return p.withColumn("t_s", F.sum(gap).over(SO_FAR))
+    return p.withColumn("t_s", F.sum(gap).over(so_far()))
 
 
 def adjacent_deltas(waypoints: DataFrame) -> DataFrame:
     """Pitch and (circular) heading change from the row before; the first row has none."""
-    back = F.lag("gimbal_pitch_deg").over(PATH)
-    return waypoints.withColumns({"pitch_jump": F.abs(F.col("gimbal_pitch_deg") - back), "yaw_jump": angles.angle_delta(F.col("heading_deg"), F.lag("heading_deg").over(PATH))}).where("pitch_jump is not null")
+    back = F.lag("gimbal_pitch_deg").over(path())
+    return waypoints.withColumns({"pitch_jump": F.abs(F.col("gimbal_pitch_deg") - back), "yaw_jump": angles.angle_delta(F.col("heading_deg"), F.lag("heading_deg").over(path()))}).where("pitch_jump is not null")
 
 
 def facade_transitions(waypoints: DataFrame) -> DataFrame:
     """Rows where inspection reaches another face than the last inspected one, with the turn from the row before."""
     inspected = F.when(~F.col("is_transition") & (F.col("facade_index") >= 0), F.col("facade_index"))
-    rows = waypoints.withColumns({"from_facade": F.last(inspected, ignorenulls=True).over(BEFORE), "turn_deg": angles.angle_delta(F.col("heading_deg"), F.lag("heading_deg").over(PATH))})
+    rows = waypoints.withColumns({"from_facade": F.last(inspected, ignorenulls=True).over(before()), "turn_deg": angles.angle_delta(F.col("heading_deg"), F.lag("heading_deg").over(path()))})
     return rows.where("not is_transition and facade_index >= 0 and from_facade <> facade_index").select("mission_id", "idx", "from_facade", F.col("facade_index").alias("to_facade"), "turn_deg")
 
 
@@ -50,7 +59,7 @@ def near_duplicates(waypoints: DataFrame, within: float = 0.5, ahead: int = 4) -
     """Inspection pairs under ``within`` metres among the next ``ahead`` rows."""
     pairs = None
     for k in range(1, ahead + 1):
-        nxt = lambda c, k=k: F.lead(c, k).over(PATH)
+        nxt = lambda c, k=k: F.lead(c, k).over(path())
         d = F.sqrt(sum(((F.col(a) - nxt(a)) * (F.col(a) - nxt(a)) for a in "yz"), (F.col("x") - nxt("x")) * (F.col("x") - nxt("x"))))
         hit = waypoints.withColumns({"other_idx": nxt("idx"), "distance_m": d, "other_transition": nxt("is_transition")})
         hit = hit.where(f"distance_m < {within} and not is_transition and not other_transition").select("mission_id", "idx", "other_idx", "distance_m")
@@ -61,8 +70,8 @@ def near_duplicates(waypoints: DataFrame, within: float = 0.5, ahead: int = 4) -
 def reversals(waypoints: DataFrame, over_deg: float = 150.0, least: float = 0.1) -> DataFrame:
     """Rows where the level path turns by more than over_deg, both segments long enough and no transit among the three."""
     rows = waypoints.withColumns({
-        "ax": step("x"), "ay": step("y"), "bx": F.lead("x").over(PATH) - F.col("x"), "by": F.lead("y").over(PATH) - F.col("y"),
-        "calm": ~(F.col("is_transition") | F.lag("is_transition").over(PATH) | F.lead("is_transition").over(PATH)),
+        "ax": step("x"), "ay": step("y"), "bx": F.lead("x").over(path()) - F.col("x"), "by": F.lead("y").over(path()) - F.col("y"),
+        "calm": ~(F.col("is_transition") | F.lag("is_transition").over(path()) | F.lead("is_transition").over(path())),
     })
     la, lb = F.sqrt(F.expr("ax * ax + ay * ay")), F.sqrt(F.expr("bx * bx + by * by"))
     cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.expr("ax * bx + ay * by") / (la * lb)))
@@ -71,7 +80,7 @@ def reversals(waypoints: DataFrame, over_deg: float = 150.0, least: float = 0.1)
 
 def photo_interval(waypoints: DataFrame, speed: float = 3.0, interval_s: float = 0.5, least_m: float = 1.5) -> DataFrame:
     """Consecutive inspection rows of one face that come too soon and too close."""
-    rows = waypoints.where("not is_transition").withColumns({"d": length("x", "y", "z"), "same": F.lag("facade_index").over(PATH) == F.col("facade_index")})
+    rows = waypoints.where("not is_transition").withColumns({"d": length("x", "y", "z"), "same": F.lag("facade_index").over(path()) == F.col("facade_index")})
     return rows.where(F.col("same") & (F.col("d") / speed < interval_s) & (F.col("d") < least_m)).select("mission_id", "idx", F.col("d").alias("distance_m"))
 
 
