@@ -22,7 +22,7 @@ m AS (
   FROM d LEFT JOIN cov USING (r) LEFT JOIN ln USING (r)),
 b AS (
   SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
-    + (CASE WHEN 100 * n_symbols > 5 * word_chars THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN 100 * n_symbols > 5 * word_chars THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END)
     + (CASE WHEN 100 * n_upper > 40 * word_chars THEN 16 ELSE 0 END) + (CASE WHEN 100 * n_bangs > 20 * n_words THEN 32 ELSE 0 END)
     + (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 64 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b

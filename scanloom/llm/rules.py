@@ -27,7 +27,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "100 * n_symbols > 5 * word_chars"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     ("capitals", "100 * n_upper > 40 * word_chars"),
     ("exclamations", "100 * n_bangs > 20 * n_words"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
