@@ -133,3 +133,40 @@ def surface_samples(faces: DataFrame, n: int) -> DataFrame:
     f = f.withColumns({"r": F.sqrt(draw(1)), "s": draw(2)})
     at = lambda a: F.expr(f"(1-r)*a{a} + r*(1-s)*b{a} + r*s*c{a}").alias(a)
     return f.select("mesh_id", "fid", "k", at("x"), at("y"), at("z"), "fnx", "fny", "fnz")
+
+
+def visible_share(looks: DataFrame, faces: DataFrame, ids: list[str], spread: float = 0.3, tolerance: float = 0.5) -> DataFrame:
+    """Looks (``mesh_id, ids, x, y, z, tx, ty, tz, ux, uy, uz, vx, vy, vz``) with ``visible``: the share of five rays, to the target
+    and to ``spread`` along u and v around it, that nothing stops more than ``tolerance`` short of their end. Looks without length get 0."""
+    offs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(((0.0, 0.0), (spread, 0.0), (-spread, 0.0), (0.0, spread), (0.0, -spread)))])
+    rays = looks.withColumn("o", F.explode(offs))
+    rays = rays.withColumns({f"e{a}": F.col(f"t{a}") + F.col("o.a") * F.col(f"u{a}") + F.col("o.b") * F.col(f"v{a}") - F.col(a) for a in "xyz"})
+    rays = rays.withColumn("len", F.sqrt(F.expr("ex*ex + ey*ey + ez*ez"))).where("len > 1e-6")
+    rays = rays.select("mesh_id", *ids, F.col("o.k").alias("k"), "x", "y", "z", "len", *[(F.col(f"e{a}") / F.col("len")).alias(f"d{a}") for a in "xyz"])
+    seen = first_hits(rays, faces, [*ids, "k"])
+    share = seen.groupBy("mesh_id", *ids).agg(F.avg(F.when(F.col("hit") < F.col("len") - tolerance, 0.0).otherwise(1.0)).alias("visible"))
+    return looks.join(share, ["mesh_id", *ids], "left").withColumn("visible", F.coalesce("visible", F.lit(0.0)))
+
+
+def exterior_samples(samples: DataFrame, faces: DataFrame, reach: float = 0.5) -> DataFrame:
+    """Samples whose outward ray isn't stopped within ``reach`` of the mesh's largest extent: what it hits first lies inside a building."""
+    lo = lambda a: F.min(F.least(f"a{a}", f"b{a}", f"c{a}"))
+    hi = lambda a: F.max(F.greatest(f"a{a}", f"b{a}", f"c{a}"))
+    box = faces.groupBy("mesh_id").agg(F.greatest(*[hi(a) - lo(a) for a in "xyz"]).alias("extent"))
+    rays = samples.select("mesh_id", "fid", "k", *[(F.col(a) + 0.05 * F.col(f"fn{a}")).alias(a) for a in "xyz"], *[F.col(f"fn{a}").alias(f"d{a}") for a in "xyz"])
+    hit = first_hits(rays, faces.withColumnRenamed("fid", "other"), ["fid", "k"]).join(box, "mesh_id").where(F.col("hit") < F.col("extent") * reach).select("mesh_id", "fid", "k")
+    return samples.join(hit, ["mesh_id", "fid", "k"], "left_anti")
+
+
+def with_detours(waypoints: DataFrame, faces: DataFrame, clearance: float = 2.0, lift: float = 2.0) -> DataFrame:
+    """Waypoints with a transit row in the middle of every leg that meets the mesh, pushed outward from the building's axis
+    by twice the clearance and lifted over both ends; rows inside the mesh are left out and the index is made anew."""
+    w = Window.partitionBy("mission_id").orderBy("idx")
+    legs = waypoints.withColumns({f"n{a}": F.lead(a).over(w) for a in "xyz"}).join(colliding_segments(waypoints, faces), ["mission_id", "idx"])
+    mx, my = (F.col("x") + F.col("nx")) / 2, (F.col("y") + F.col("ny")) / 2
+    r = F.greatest(F.sqrt(mx * mx + my * my), F.lit(1e-9))
+    out = {"x": mx + mx / r * 2 * clearance, "y": my + my / r * 2 * clearance, "z": F.greatest("z", "nz") + lift}
+    mid = legs.select(*[c for c in waypoints.columns if c not in "xyz"], *[e.alias(k) for k, e in out.items()]).withColumns({"is_transition": F.lit(True), "facade_index": F.lit(-1), "idx": F.col("idx") + 0.5})
+    mid = inside_mesh(mid.withColumn("mesh_id", F.col("building_id")), faces, ["mission_id", "idx"]).where("not inside")
+    both = waypoints.withColumn("idx", F.col("idx").cast("double")).unionByName(mid.select(*waypoints.columns))
+    return both.withColumn("idx", F.row_number().over(w) - 1)

@@ -108,3 +108,29 @@ def test_timeline_starts_at_zero(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, False), (1, 1, 3.0, 0.0, 0.0, False), (1, 2, 12.0, 0.0, 0.0, True)], "mission_id int, idx int, x double, y double, z double, is_transition boolean")
     assert [r.t_s for r in paths.timeline(df).orderBy("idx").collect()] == [0, 2, 3]
     assert paths.with_path(df).agg(F.max("cum_m")).first()[0] == 12
+
+
+def box_mesh(spark):
+    from scanloom.operators import meshes
+
+    b = spark.createDataFrame([(1, 10.0, 6.0, 4.0, 0.0)], "building_id int, width double, depth double, height double, heading_deg double")
+    return meshes, meshes.box_meshes(b)
+
+
+def test_sight_through_a_box(spark):
+    meshes, faces = box_mesh(spark)
+    frame = dict(ux=1.0, uy=0.0, uz=0.0, vx=0.0, vy=0.0, vz=1.0)
+    rows = [(1, 0, 0.0, -9.0, 2.0, 0.0, -3.0, 2.0), (1, 1, 0.0, 9.0, 2.0, 0.0, -3.0, 2.0), (1, 2, 0.0, -3.0, 2.0, 0.0, -3.0, 2.0)]
+    df = spark.createDataFrame(rows, "mesh_id int, idx int, x double, y double, z double, tx double, ty double, tz double").withColumns({k: F.lit(v) for k, v in frame.items()})
+    got = {r.idx: r.visible for r in meshes.visible_share(df, faces, ["idx"]).collect()}
+    # The third look starts at its target: only its four side rays have a length.
+    assert got[0] == 1.0 and got[1] == 0.0 and got[2] == 1.0
+
+
+def test_detour_round_a_box(spark):
+    meshes, faces = box_mesh(spark)
+    rows = [(1, 1, 0, 0.3, -9.0, 2.1, False, 0), (1, 1, 1, 0.3, 9.0, 2.1, False, 2), (1, 1, 2, 0.3, 12.0, 2.1, False, 2)]
+    df = spark.createDataFrame(rows, "building_id int, mission_id int, idx int, x double, y double, z double, is_transition boolean, facade_index int")
+    assert [r.idx for r in meshes.colliding_segments(df.withColumn("mesh_id", F.col("building_id")), faces).collect()] == [0]
+    got = meshes.with_detours(df, faces).orderBy("idx").collect()
+    assert [r.is_transition for r in got] == [False, True, False, False] and [r.idx for r in got] == [0, 1, 2, 3] and got[1].z == 4.1
