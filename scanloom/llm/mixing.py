@@ -100,13 +100,12 @@ def budgets(sizes: DataFrame, a: float, budget: float | None = None) -> DataFram
 
     A source without tokens has weight null and a quota that takes it once.
     """
-    live = sizes.where("tokens > 0")
-    norm = live.agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(a))).alias("norm"), F.max(F.pow(F.col("tokens").cast("double"), F.lit(1.0 - a))).alias("widest"))
-    out = sizes.join(F.broadcast(norm))  # one row
-    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(a)) / F.col("norm"))
-    whole = F.col("widest") * F.col("norm") if budget is None else F.lit(float(budget))
-    out = out.withColumn("weight", weight).withColumn("quota", F.coalesce(F.floor(F.col("weight") * whole + F.lit(1e-6)), F.lit(0)).cast("long"))
-    return out.drop("norm", "widest")
+    t = F.col("tokens").cast("double")
+    norm, widest = sizes.where("tokens > 0").agg(F.sum(F.pow(t, F.lit(a))), F.max(F.pow(t, F.lit(1.0 - a)))).first()
+    whole = (widest or 0.0) * (norm or 0.0) if budget is None else float(budget)
+    weight = F.when(F.col("tokens") > 0, F.pow(t, F.lit(a)) / F.lit(norm or 1.0))
+    out = sizes.withColumn("weight", weight)
+    return out.withColumn("quota", F.coalesce(F.floor(F.col("weight") * F.lit(whole) + F.lit(1e-6)), F.lit(0)).cast("long"))
 
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
