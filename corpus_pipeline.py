@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Texts change only where a stage decides so.
+Documents are told apart by doc_id: rows without one leave at the first stage, and
+of rows that share one the near-duplicate stage keeps one. Other columns than
+those of documents are dropped, whatever their names; null texts have no words and
+leave at the first stage; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,18 +24,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. The verdict is joined by id, so texts are read twice but never travel with it."""
+    docs = docs.select(*COLUMNS)
     judged = rules.judge(rules.ledger(docs)).where("kept").select("doc_id").distinct()
     return docs.join(judged, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays."""
+    docs = docs.select(*COLUMNS)
     first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").drop_duplicates(["doc_id"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out. Untouched texts stay as they are; of others the words that stay, and nothing of those without."""
+    docs = docs.select(*COLUMNS)
     found = substring.dedup_table(docs).where("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept_text")
     cut = docs.join(found, "doc_id", "left").where("n_removed is null or n_removed < n_words")
     text = F.coalesce("kept_text", "text")
@@ -40,6 +47,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document comes as often as its source's weight asks; each at least once."""
+    docs = docs.select(*COLUMNS)
     places = mixing.mix(docs).groupBy("doc_id").agg(F.count("*").cast("int").alias("times"))
     often = docs.join(places, "doc_id").withColumn("turn", F.explode(F.sequence(F.lit(1), "times")))
     return often.select(*COLUMNS)
@@ -47,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0)
+    return packing.pack_documents(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

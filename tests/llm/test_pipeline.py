@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from scanloom.llm import mixing, rules
@@ -48,3 +49,18 @@ def test_stages(spark, tmp_path):
     whole = C.run(spark, str(tmp_path))
     key = lambda r: (r.doc_id, r.piece, r.ids_crc32)
     assert sorted(map(key, whole.collect())) == sorted(map(key, seen["pack"]))
+
+
+def test_odd_tables(spark, tmp_path):
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    good = " ".join(f"w{i}" for i in range(90))
+    other = " ".join(f"v{i}" for i in range(70))
+    rows = [(1, good, None, None, 5), (1, good, None, None, 5), (2, f"{other} {good}", "en", "s", None), (None, other, "en", "s", 1), (3, None, None, None, None), (4, " ", "en", "s", 1)]
+    extra = {c: F.lit("x") for c in ("n_words", "kept_text", "times", "turn", "fp", "key", "component_id", "start", "kept", "n_tokens", "block", "epoch", "piece")}
+    for docs in (spark.createDataFrame(rows, shape).withColumns(extra), spark.createDataFrame([], shape)):
+        for k, (_, stage) in enumerate(C.STAGES):
+            docs = stage(spark, docs, "").withColumns(extra if k < 4 else {})
+            docs.write.parquet(path := f"{tmp_path}/{k}-{docs.schema['doc_id'].nullable}-{len(list(tmp_path.iterdir()))}")
+            docs = spark.read.parquet(path)
+        ids = {r.doc_id for r in docs.collect()}
+        assert ids in ({1, 2}, set())
