@@ -36,8 +36,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
             for at in range(0, whole.num_rows, TEXT_ROWS):
                 part = whole.slice(at, TEXT_ROWS)
                 cols: list[list] = [[] for _ in range(6)]
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encoder.encode([t or ""])[0] + end
+                encoded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                for k, own in zip(part.column(0).to_pylist(), encoded, strict=True):
+                    ids = own + end
                     for n, lo in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[lo : lo + 4 * capacity]
                         for c, x in zip(cols, (k, n, lo // 4, len(own) // 4, zlib.crc32(own), own), strict=True):

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.llm.common import TEXT_ROWS
 from scanloom.llm.tokens import Encoder
 from scanloom.session import cut, scratch_path
 
@@ -135,13 +136,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, k
             return row
 
         for whole in batches:
-            for i in range(whole.num_rows):
-                own = encoder.encode([whole.column(1)[i].as_py() or ""])[0] + end
-                if held and size + len(own) // 4 > file_ids:
-                    yield flush()
-                keys.append(whole.column(0).slice(i, 1))
-                held.append(own)
-                size += len(own) // 4
+            for lo in range(0, whole.num_rows, TEXT_ROWS):
+                some = whole.slice(lo, TEXT_ROWS)
+                for i, ids in enumerate(encoder.encode([t or "" for t in some.column(1).to_pylist()])):
+                    own = ids + end
+                    if held and size + len(own) // 4 > file_ids:
+                        yield flush()
+                    keys.append(some.column(0).slice(i, 1))
+                    held.append(own)
+                    size += len(own) // 4
         if held:
             yield flush()
 

@@ -4,24 +4,34 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Runs of ASCII white space with the following word; tokens never cross their ends.
-SPACED = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+#: Words, and words with the ASCII white space before them; tokens never cross their ends.
 WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+SPACED = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: Other white space: such texts are encoded as one piece.
-EXOTIC = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-#: Pieces whose ids a worker remembers.
-PIECES_KEPT = 300_000
+EXOTIC = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
+#: A piece that ends in marks after a letter: both tokenizers cut there.
+MARKED = re.compile(r"(?s)(.*[A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?#$%&*|]+)")
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Pieces whose ids a worker remembers, in each of two generations.
+PIECES_KEPT = 400_000
+#: Words that one call of the library encodes together.
+TOGETHER = 500
 
 
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    spaced: tokens keep the white space before a word (else it is dropped). A
-    text is cut where no token can cross; each distinct piece is encoded once by
-    the library. Strings of special tokens in a text are ordinary text.
+    spaced: tokens keep the white space before a word (else it is dropped and
+    letters are lowered). A text is cut where no token can cross; a piece is
+    encoded by the library when it is first met. Strings of special tokens in a
+    text are ordinary text.
     """
 
     _open: dict[str, Encoder] = {}
@@ -32,7 +42,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that begin a word (spaced) or end one.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, k in vocabulary.items():
+            self.edge[k] = token.startswith(chr(0x120)) if spaced else token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, spaced: bool) -> Encoder:
@@ -41,21 +57,62 @@ class Encoder:
         return cls._open[path]
 
     def cut(self, text: str) -> list[str]:
-        if not self.spaced:
-            return WORDS.findall(text)
+        if not self.spaced:  # other white space is dropped too; only these four marks aren't white space to the tokenizer
+            return WORDS.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         return [text] if EXOTIC.search(text) else SPACED.findall(text)
 
+    def _library(self, pieces: list[str]) -> None:
+        """Encode pieces; those of plain letters many at a time, cut again where the vocabulary marks a word's edge."""
+        lone = lambda p: p.isascii() and (p[:1] == " " and p[1:].isalpha() if self.spaced else p.isalpha())
+        plain, rest = [], []
+        for p in pieces:
+            (plain if lone(p) else rest).append(p)
+        rows = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        texts = [("" if self.spaced else " ").join(r) for r in rows]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(row):
+                rest += row
+                continue
+            raw = ids.tobytes()
+            cuts = [*(4 * edges).tolist(), len(raw)] if self.spaced else [0, *(4 * edges + 4).tolist()]
+            self.known.update(zip(row, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[p] = array("I", e.ids).tobytes() if LITTLE else np.array(e.ids, "<u4").tobytes()
+
+    def _plain(self, piece: str) -> str:
+        """The piece whose ids are the same."""
+        return piece if self.spaced or not piece.isascii() else piece.lower()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Make all pieces known."""
+        if len(self.known) > PIECES_KEPT:
+            self.known, self.older = {}, self.known
+        known, older, parts, small = self.known, self.older, {}, set()
+        for p in pieces.difference(known):
+            if p in older:
+                known[p] = older[p]
+            elif m := MARKED.fullmatch(p):
+                parts[p] = tuple(self._plain(x) for x in m.groups())
+                small.update(parts[p])
+            elif (low := self._plain(p)) != p:
+                parts[p] = (low,)
+                small.add(low)
+            else:
+                small.add(p)
+        new = []
+        for p in small.difference(known):
+            if p in older:
+                known[p] = older[p]
+            else:
+                new.append(p)
+        self._library(new)
+        for p, own in parts.items():
+            known[p] = b"".join([known[x] for x in own])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        out = []
-        for text in texts:
-            pieces = self.cut(text)
-            new = [p for p in set(pieces) if p not in self.known]
-            if new:
-                if len(self.known) + len(new) > PIECES_KEPT:
-                    self.known = {p: self.known[p] for p in set(pieces) if p in self.known}
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.known[p] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
-        return out
+        cuts = [self.cut(t) for t in texts]
+        self.learn(set().union(*cuts))
+        get = self.known.__getitem__
+        return [b"".join(map(get, c)) for c in cuts]
