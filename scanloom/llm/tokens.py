@@ -16,8 +16,9 @@ WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 SPACED = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: Other white space: such texts are encoded as one piece.
 EXOTIC = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-#: A piece that ends in marks after a letter: both tokenizers cut there.
-MARKED = re.compile(r"(?s)(.*[A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?#$%&*|]+)")
+#: A piece that ends in marks after a letter: both tokenizers cut there. Not after U+0130, whose
+#: lower form ends in a combining dot that belongs to the marks.
+MARKED = re.compile(r"(?s)(.*[A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,;:!?#$%&*|]+)")
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Pieces whose ids a worker remembers, in each of two generations.
 PIECES_KEPT = 400_000
@@ -30,8 +31,9 @@ class Encoder:
 
     spaced: tokens keep the white space before a word (else it is dropped and
     letters are lowered). A text is cut where no token can cross; a piece is
-    encoded by the library when it is first met. Strings of special tokens in a
-    text are ordinary text.
+    encoded by the library when it is first met. The result is what the library gives
+    for the whole text, special tokens that are spelt out in it included: they hold no
+    white space, so they lie whole in one piece.
     """
 
     _open: dict[str, Encoder] = {}
@@ -40,7 +42,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         vocabulary = self.tokenizer.get_vocab()
         #: Ids that begin a word (spaced) or end one.
@@ -82,8 +83,8 @@ class Encoder:
             self.known[p] = array("I", e.ids).tobytes() if LITTLE else np.array(e.ids, "<u4").tobytes()
 
     def _plain(self, piece: str) -> str:
-        """The piece whose ids are the same."""
-        return piece if self.spaced or not piece.isascii() else piece.lower()
+        """The piece whose ids are the same; special tokens (they end in ``|>``) are told apart by case."""
+        return piece if self.spaced or not piece.isascii() or "|>" in piece else piece.lower()
 
     def learn(self, pieces: set[str]) -> None:
         """Make all pieces known."""

@@ -23,7 +23,6 @@ def test_encoder_equals_library():
     for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
         path = public_tokenizers.path(name)
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
         mine = Encoder.of(path, spaced)
         extra = ["a  b   c\n\n d\t\te \n", "  lead", "trail   ", "x  y", "a   b", "'s 't\n'll", "\x85 a", "a\x1c\x1db"]
         for t in texts() + extra:
@@ -31,12 +30,33 @@ def test_encoder_equals_library():
             assert mine.encode([t or ""])[0] == want, (name, t)
 
 
+def letters():
+    return [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)) if c not in (0xD7, 0xF7)]
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_every_letter_before_every_mark(name, spaced):
+    whole, mine = Tokenizer.from_file(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name), spaced)
+    texts = [f"{a}{c}{m}" for c in letters() for m in ".,;:!?#$%&*|" for a in ("", " x")] + [f"y{c}{m}{m}." for c in letters() for m in ".!|"]
+    for t, got, want in zip(texts, mine.encode(texts), whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got == np.array(want.ids, "<u4").tobytes(), t
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_fuzz_with_special_strings(name, spaced):
+    whole, mine = Tokenizer.from_file(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name), spaced)
+    rng = random.Random(11)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", "<|", "İ", "ı", "!", "?!", "...", "'s", "'S", "a", "Zz", "é", "é", "ß", "ǅ", "日本", "1", "42", " ", "  ", "\n", "\t", "\x1c", "\xa0", "​", "\u3000", "ﬁ", "😀", "|", "*", "Don't", "word"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    for t, got, want in zip(texts, mine.encode(texts), whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got == np.array(want.ids, "<u4").tobytes(), repr(t)
+
+
 def test_pack_documents(spark):
     rows = [(i, t, 9) for i, t in enumerate(texts())] + [(3, "Hello, World! it's", 9), (None, "none", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length int")
     got = P.pack_documents(df, PATH).collect()
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     want = []
     for i, t, _ in rows:
         ids = whole.encode(t or "", add_special_tokens=False).ids + [0]
