@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch of whole texts; a batch of very long texts stays small.
 TEXT_ROWS = 512
+#: Keys that hold a HOT-th of all rows or more are broadcast by :func:`lookup`: HOT of them at most.
+HOT = 4_000
 
 
 def map_text(df: DataFrame, key: str, text: str, schema: str, per_batch: Callable[[list, list], dict]) -> DataFrame:
@@ -49,3 +51,14 @@ def whole_runs(batches: Iterator[pa.RecordBatch], columns: int, least: int = 100
         held = [x[last:] for x in held]
     if held is not None and len(held[0]):
         yield held
+
+
+def lookup(rows: DataFrame, found: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join of rows with ``found``, which has one row per ``on`` and how many rows hold it, ``n``.
+
+    Keys with a HOT-th of all ``total`` rows or more can be HOT at most; they are broadcast, so that
+    none of them ends up in one task. The others shuffle.
+    """
+    often = F.col("n") * HOT >= total
+    hot, cold = F.broadcast(found.where(often).drop("n")), found.where(~often).drop("n")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))

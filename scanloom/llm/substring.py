@@ -2,35 +2,45 @@
 
 A window is WINDOW consecutive words. The smallest hash among the GRAM-word
 grams of a window is its fingerprint: equal windows always have the same one, and
-a text of n words has only about 2 n / (WINDOW - GRAM + 2) different ones. The
-index holds ``fp, doc_id`` rows in sorted immutable runs, bucketed by fingerprint:
-each new batch is written as a run, merge-joined with the older runs without
-shuffling them again, and the runs are compacted into one when there are too
-many. Where two documents hold a fingerprint, the windows behind it are hashed in
-full and verified by a second, independent digest of their words (128 bits in
-all); the first holder of every window follows from a partial aggregation, so a
-passage in a third of all documents costs no pairs and no large group.
+a text of n words has only about 2 n / (WINDOW - GRAM + 2) different ones.
+
+The log holds sorted immutable runs of ``fp, key, body`` rows, bucketed by
+fingerprint, and for each batch its texts, bucketed by ``key, body``. A batch is
+staged once (words compressed, fingerprints), its fingerprints become a sorted table of the same buckets,
+and that is merge-joined with every run of the history: no run is shuffled
+again. Where two documents hold a fingerprint, the windows behind it are
+hashed in full and verified by a second, independent digest of their words (128
+bits in all); of the history only the documents that share one are decompressed. Of
+a batch, the run keeps the fingerprints of windows that are first there, so a passage in
+a third of all documents is in the history once. A manifest names the live runs;
+compaction merges them bucket by bucket and deletes the old files.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import TEXT_ROWS
-from scanloom.session import cut, scratch_path
+from scanloom.llm.common import TEXT_ROWS, lookup
+from scanloom.session import cut, delete_path, scratch_path
 
 WINDOW = 50
 GRAM = 16
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Batches of a whole table, and runs of the history beyond which they are merged into one.
+BATCHES = 3
+MOST_RUNS = 1
 #: Distinct words whose hashes a worker remembers.
 WORDS_KEPT = 500_000
 
@@ -80,71 +90,62 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _digest(joined: bytes) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(joined, 7)).view(np.int64))
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, body (64-bit hash of the words), n_words, fps`` of each row."""
+def staged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, body, check, n_words, z, fps`` of each row: two 64-bit digests of its words joined by one
+    space, these words compressed, and its fingerprints (none for fewer words than a window has)."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXT_ROWS):
                 part = whole.slice(at, TEXT_ROWS)
-                body, n_words, fps = [], [], []
+                body, check, n_words, z, fps = [], [], [], [], []
                 for t in _bytes(part.column(1)):
                     words = t.split()
-                    body.append(_digest(b" ".join(words)))
+                    joined = b" ".join(words)
+                    both = xxhash.xxh3_128_intdigest(joined, 7)
+                    body.append(_signed(both >> 64)), check.append(_signed(both & 0xFFFFFFFFFFFFFFFF))
                     n_words.append(len(words))
+                    z.append(squeeze.compress(joined))
                     fps.append(np.unique(Windows(words).fingerprints()).view(np.int64) if len(words) >= WINDOW else [])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(body, pa.int64()), pa.array(n_words, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["key", "body", "n_words", "fps"])
-
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {kind}, body long, n_words long, fps array<long>")
+                longs = [pa.array(x, pa.int64()) for x in (body, check, n_words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *longs, pa.array(z, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["key", "body", "check", "n_words", "z", "fps"])
 
-
-def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, body, z``: the words joined by one space, compressed for the shuffle."""
-    kind = dict(docs.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for whole in batches:
-            for at in range(0, whole.num_rows, TEXT_ROWS):
-                part = whole.slice(at, TEXT_ROWS)
-                joined = [b" ".join(t.split()) for t in _bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_digest(j) for j in joined], pa.int64()), pa.array([squeeze.compress(j) for j in joined], pa.binary())], names=["key", "body", "z"])
-
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {kind}, body long, z binary")
+    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {kind}, body long, check long, n_words long, z binary, fps array<long>")
 
 
 def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, body, z, fps) -> the windows behind the fingerprints: key, body, at, h, v."""
+    """(key, body, z, fps) -> the windows behind the fingerprints: key, body, fp, at, h, v."""
     open_ = zstandard.ZstdDecompressor()
     digest = xxhash.xxh3_64_intdigest
     for whole in batches:
         for lo in range(0, whole.num_rows, TEXT_ROWS):
             part = whole.slice(lo, TEXT_ROWS)
-            rows, spots, hashes, checks = [], [], [], []
+            rows, prints, spots, hashes, checks = [], [], [], [], []
             for i in range(part.num_rows):
                 words = open_.decompress(part.column(2)[i].as_py()).split()
-                if len(words) < WINDOW:
-                    continue
                 w = Windows(words)
                 wanted = part.column(3)[i].values.to_numpy().view(np.uint64)
-                at = np.flatnonzero(np.isin(w.fingerprints(), wanted, kind="sort"))
+                fp = w.fingerprints()
+                at = np.flatnonzero(np.isin(fp, wanted, kind="sort"))
                 joined = b" ".join(words)
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                 starts = np.concatenate([[0], ends[:-1] + 1])
                 rows.append(np.full(len(at), i))
+                prints.append(fp[at].view(np.int64))
                 spots.append(at.astype(np.int32))
                 hashes.append(w.hashes(WINDOW)[at].view(np.int64))
                 checks.append(np.array([digest(joined[a:b]) for a, b in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)], np.uint64).view(np.int64))
             if rows:
                 row = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(row), part.column(1).take(row), *(pa.array(np.concatenate(x)) for x in (spots, hashes, checks))],
-                    names=["key", "body", "at", "h", "v"],
+                    [part.column(0).take(row), part.column(1).take(row), *(pa.array(np.concatenate(x)) for x in (prints, spots, hashes, checks))],
+                    names=["key", "body", "fp", "at", "h", "v"],
                 )
 
 
@@ -173,107 +174,190 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["key", "n_words", "n_removed", "kept_text"])
 
 
+@dataclass
+class Manifest:
+    """What is live in a log: sorted runs and the texts of their documents, by name of their folder."""
+
+    version: int = 0
+    buckets: int = 0
+    runs: list[str] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+
+
 class FingerprintLog:
-    """Sorted immutable runs of ``fp, key`` rows, one for each batch until compacted."""
+    """Sorted immutable runs below ``path``, one for each batch until compacted.
+
+    A log that exists there is opened as its last whole manifest says, in this session or
+    in another one; ``buckets`` then are those of the log. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, most_runs: int = 4) -> None:
-        self.spark = spark
+        self.spark, self.most_runs = spark, most_runs
         self.path = path or scratch_path(spark, "fingerprint-log")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.most_runs = most_runs
-        self.runs: list[str] = []
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"run_{uuid.uuid4().hex[:16]}"
-        runs = rows.repartition(self.buckets, "fp").sortWithinPartitions("fp")
-        runs.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").saveAsTable(name)
+        self.live = self._read()
+        self.live.buckets = self.live.buckets or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _read(self) -> Manifest:
+        # A version's one file comes to its folder when it is whole.
+        try:
+            rows = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(f"{self.path}/manifest").select("path").collect()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return Manifest()
+        last = max((int(r["path"].split("/")[-2][1:]) for r in rows), default=0)
+        if not last:
+            return Manifest()
+        got = self.spark.read.schema("version int, buckets int, runs array<string>, texts array<string>").json(f"{self.path}/manifest/v{last:06d}").first()
+        return Manifest(**got.asDict())
+
+    def _commit(self, runs: list[str], texts: list[str]) -> None:
+        """Make a new manifest the live one; only then are files that it no longer names deleted."""
+        old, self.live = self.live, Manifest(self.live.version + 1, self.live.buckets, runs, texts)
+        row = self.spark.createDataFrame([(self.live.version, self.live.buckets, runs, texts)], "version int, buckets int, runs array<string>, texts array<string>")
+        row.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/v{self.live.version:06d}")
+        for name in {*old.runs, *old.texts}.difference(runs, texts):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete_path(self.spark, f"{self.path}/{name}")
+
+    def write(self, rows: DataFrame, *by: str) -> str:
+        """A new immutable table, bucketed and sorted; one file a bucket if rows lie by bucket already."""
+        name = f"{'run' if by == ('fp',) else 'texts'}_{uuid.uuid4().hex[:16]}"
+        rows.sortWithinPartitions(*by).write.bucketBy(self.live.buckets, *by).sortBy(*by).option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
-    def append(self, rows: DataFrame) -> DataFrame:
-        """Write a batch's ``fp, key`` rows as a new run and return that run."""
-        self.runs.append(self._write(rows))
-        return self.spark.table(self.runs[-1])
+    def read(self, name: str) -> DataFrame:
+        """A table of the log, as buckets."""
+        if not self.spark.catalog.tableExists(name):
+            by = "fp" if name.startswith("run") else "key, body"
+            columns = ", ".join(f"`{c}` {t}" for c, t in self.spark.read.parquet(f"{self.path}/{name}").dtypes)
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{self.path}/{name}') CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.live.buckets} BUCKETS")
+        return self.spark.table(name)
 
-    def history(self) -> DataFrame | None:
-        found = [self.spark.table(r) for r in self.runs]
-        out = found[0] if found else None
-        for r in found[1:]:
-            out = out.unionByName(r)
-        return out
+    def drop(self, name: str) -> None:
+        """Remove a table that no manifest names."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(self.spark, f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Take the log's tables out of the session's catalog; their files stay."""
+        for name in (*self.live.runs, *self.live.texts):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def append(self, run: str, texts: str) -> None:
+        self._commit([*self.live.runs, run], [*self.live.texts, texts])
 
     def compact(self) -> None:
-        """Merge all runs into one sorted run if there are more than ``most_runs``; old runs are dropped after it is whole."""
-        if len(self.runs) > self.most_runs:
-            old, merged = self.runs, self._write(self.history().distinct())
-            self.runs = [merged]
-            for r in old:
-                self.spark.sql(f"DROP TABLE {r}")
+        """Merge the runs into one, and the texts, if there are more than ``most_runs``; equal buckets are put together, so nothing is shuffled."""
+        if len(self.live.runs) > self.most_runs:
+            whole = lambda names: reduce(DataFrame.unionByName, map(self.read, names))
+            run = self.write(whole(self.live.runs), "fp")
+            texts = self.write(whole(self.live.texts), "key", "body")
+            self._commit([run], [texts])
+
+
+def add_batch(log: FingerprintLog, docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
+    """Add docs to the log; returns the log's table of their texts and ``key, body, gone`` of
+    those that lose words (starts of removed windows, -1 for all), checkpointed."""
+    buckets, kind = log.live.buckets, dict(docs.dtypes)[key]
+    texts = log.write(staged(docs.where(F.col(key).isNotNull()), key, text).repartition(buckets, "key", "body"), "key", "body")
+    rows = log.read(texts)
+    full = rows.where(f"n_words >= {WINDOW}")
+
+    # Among whole copies only the first has to be looked at; the rest go whole.
+    same = ["body", "check", "n_words"]
+    copies = cut(full.groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    copied = cut(lookup(full.select("key", *same), copies, same, rows.count()).where("key > first").select("key", "body").distinct())
+    lead = full.join(copied, ["key", "body"], "left_anti").select("key", "body", F.explode("fps").alias("fp"))
+
+    # The batch as sorted fingerprints, merged with each run: one row a fingerprint, with what is known of its holders.
+    ends = [f(c).alias(f"{n}_{c}") for c in ("key", "body") for n, f in (("low", F.min), ("high", F.max))]
+    mine = lead.groupBy("fp").agg(*ends, F.count("*").alias("n"))
+    for k, name in enumerate(log.live.runs):
+        mine = mine.join(log.read(name).select("fp").distinct().withColumn(f"old{k}", F.lit(True)), "fp", "left")
+    old = F.coalesce(*[F.col(f"old{k}") for k in range(len(log.live.runs))], F.lit(False))
+    batch = log.write(mine.select("fp", "low_key", "low_body", "n", old.alias("old"), (old | (F.col("low_key") != F.col("high_key")) | (F.col("low_body") != F.col("high_body"))).alias("shared")), "fp")
+    found = log.read(batch)
+
+    # The windows behind shared fingerprints, here and in the touched documents of the history.
+    wanted = lookup(lead, found.where("shared").select("fp", "n"), ["fp"], found.agg(F.sum("n")).first()[0] or 0)
+    wanted = wanted.groupBy("key", "body").agg(F.collect_set("fp").alias("fps"))
+    shape = f"key {kind}, body long, fp long, at int, h long, v long"
+    hash_ = lambda t, w: t.select("key", "body", "z").join(w, ["key", "body"]).select("key", "body", "z", "fps").mapInArrow(_shared_windows, shape)
+    windows = hash_(full, wanted).withColumn("old", F.lit(False))
+    if log.live.runs:
+        asked = found.where("old").select("fp")
+        held = reduce(DataFrame.unionByName, [log.read(r).join(asked, "fp", "left_semi") for r in log.live.runs])
+        held = cut(held.groupBy("key", "body").agg(F.collect_set("fp").alias("fps")))
+        for name in log.live.texts:
+            windows = windows.unionByName(hash_(log.read(name), held).withColumn("old", F.lit(True)))
+    stored = scratch_path(log.spark, "windows")
+    windows.write.parquet(stored)
+    windows = log.spark.read.parquet(stored)
+    low, high = F.min(F.when(~F.col("old"), F.col("key"))), F.max(F.when(~F.col("old"), F.col("key")))
+    first = windows.groupBy("h", "v").agg(low.alias("low"), high.alias("high"), F.max("old").alias("old"), F.count("*").alias("n")).where("low is not null and (old or low <> high)")
+    first = cut(first.select("h", "v", "low", F.col("old").alias("known"), "n"))
+    gone = lookup(windows.where("not old"), first, ["h", "v"], windows.count()).where("known or key > low").select("key", "body", "fp", "at")
+    gone = cut(gone.distinct())
+    spots = gone.groupBy("key", "body").agg(F.collect_list("at").alias("gone"))
+    spots = cut(spots.unionByName(copied.select("key", "body", F.array(F.lit(-1)).alias("gone"))).groupBy("key", "body").agg(F.flatten(F.collect_list("gone")).alias("gone")))
+
+    # The run: unshared fingerprints with their one holder, shared ones with the documents where a window of theirs is first.
+    fresh = windows.where("not old").select("key", "body", "fp", "at").join(gone, ["key", "body", "fp", "at"], "left_anti").select("fp", "key", "body").distinct()
+    merged = found.join(fresh, "fp", "left").where("not shared or key is not null")
+    run = log.write(merged.select("fp", F.when(F.col("shared"), F.col("key")).otherwise(F.col("low_key")).alias("key"), F.when(F.col("shared"), F.col("body")).otherwise(F.col("low_body")).alias("body")), "fp")
+    log.append(run, texts)
+    log.drop(batch)
+    return texts, spots
+
+
+def _result(rows: DataFrame, spots: DataFrame, key: str) -> DataFrame:
+    """``key, n_words, n_removed, kept_text`` of staged rows."""
+    shape = f"key {dict(rows.dtypes)['key']}, n_words long, n_removed long, kept_text string"
+    return rows.select("key", "body", "z").join(spots, ["key", "body"], "left").select("key", "z", "gone").mapInArrow(_cut_out, shape).withColumnRenamed("key", key)
 
 
-def dedup_batch(log: FingerprintLog, docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Remove from docs what the log's documents, or smaller keys of docs, hold already.
+def _keyless(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows without a key, as they are."""
+    rows = staged(docs.where(F.col(key).isNull()), key, text)
+    shape = f"key {dict(rows.dtypes)['key']}, n_words long, n_removed long, kept_text string"
+    return rows.select("key", "z", F.lit(None).cast("array<int>").alias("gone")).mapInArrow(_cut_out, shape).withColumnRenamed("key", key)
+
+
+def dedup_batch(log: FingerprintLog, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Remove from docs what the log's documents, or smaller keys of docs, hold already, and add docs to the log.
 
     Returns ``key, n_words, n_removed, kept_text`` for each row of docs: the words not
     covered by a window whose words also start in an earlier document, joined by
     one space. Earlier: any document of the log, then the smaller key. Windows are judged on
-    the input, not on what is left. corpus: the texts of the documents in the log
-    (needed when it isn't empty). Null and blank texts have no words; rows with a
-    null key keep everything; rows that share a key are one document and never
+    the input, not on what is left. Null and blank texts have no words; a very long text costs its
+    length; rows with a null key keep everything and aren't logged; rows that share a key are one document and never
     remove from each other; repeated rows come back as often; other columns are
-    ignored.
+    ignored; an empty table gives no row. Read or write the
+    result before the log is compacted: it lies in the log's files.
     """
-    spark = log.spark
-    older = log.history()
-    sig = cut(signatures(docs.where(F.col(key).isNotNull()), key, text).where(f"n_words >= {WINDOW}"))
-    same = cut(sig.groupBy("body", "n_words").agg(F.min("key").alias("first"), F.count("*").alias("copies")))
-    # Among whole copies only the first has to be looked at; the rest go whole.
-    lead = sig.join(same.where("copies > 1").select("body", "n_words", "first"), ["body", "n_words"], "left").where("first is null or key = first")
-    run = log.append(lead.select(F.explode("fps").alias("fp"), "key").distinct())
-    if older is None:
-        held = run.withColumn("new", F.lit(1))
-    else:
-        held = older.withColumn("new", F.lit(0)).unionByName(run.withColumn("new", F.lit(1)))
-    # Minima and maxima of plain columns, so that both sides of the shuffle aggregate by hash.
-    old, mine = F.when(F.col("new") == 0, F.col("key")), F.when(F.col("new") == 1, F.col("key"))
-    ends = (F.min(old).alias("old"), F.min(mine).alias("low"), F.max(mine).alias("high"))
-    spread = "low is not null and (old is not null or low <> high)"
-    shared = held.groupBy("fp").agg(*ends).where(spread).select("fp")
-    wanted = cut(held.join(shared, "fp").groupBy("key", "new").agg(F.collect_set("fp").alias("fps")))
+    texts, spots = add_batch(log, docs, key, text)
+    return _result(log.read(texts), spots, key).unionByName(_keyless(docs, key, text))
 
-    kind = dict(docs.dtypes)[key]
-    shape = f"key {kind}, body long, at int, h long, v long"
-    windows = packed(docs, key, text).join(wanted.where("new = 1").select("key", "fps"), "key").select("key", "body", "z", "fps").mapInArrow(_shared_windows, shape).withColumn("new", F.lit(1))
-    if older is not None:
-        if corpus is None:
-            raise ValueError("the log isn't empty: the texts of its documents are needed")
-        back = packed(corpus, key, text).join(wanted.where("new = 0").select("key", "fps"), "key").select("key", "body", "z", "fps").mapInArrow(_shared_windows, shape).withColumn("new", F.lit(0))
-        windows = windows.unionByName(back)
-    stored = scratch_path(spark, "windows")
-    windows.write.parquet(stored)
-    windows = spark.read.parquet(stored)
-    # Written, so that the join below has shuffles of its own that can split a crowded window.
-    firsts = scratch_path(spark, "first-windows")
-    windows.groupBy("h", "v").agg(*ends).where(spread).select("h", "v", "old", "low").write.parquet(firsts)
-    first = spark.read.parquet(firsts)
-    gone = windows.where("new = 1").join(first, ["h", "v"]).where("old is not null or key > low").select("key", "body", "at").distinct().groupBy("key", "body").agg(F.collect_list("at").alias("gone"))
-    whole = sig.join(same.where("copies > 1").select("body", "n_words", "first"), ["body", "n_words"]).where("key > first").select("key", "body").distinct().select("key", "body", F.array(F.lit(-1)).alias("gone"))
-    gone = cut(gone.unionByName(whole).groupBy("key", "body").agg(F.flatten(F.collect_list("gone")).alias("gone")))
-    return packed(docs, key, text).join(gone, ["key", "body"], "left").select("key", "z", "gone").mapInArrow(_cut_out, f"key {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("key", key)
-
-
-def dedup_table(docs: DataFrame, batches: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Deduplicate a whole table through a fresh log, in ``batches`` ascending ranges of the key."""
+
+def dedup_table(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", text: str = "text", most_runs: int = MOST_RUNS) -> DataFrame:
+    """Deduplicate a whole table through a fresh log: ascending ranges of the key arrive as batches, one after the other.
+
+    Each batch meets the history as :func:`dedup_batch` says; between them the log is
+    compacted. A key that is no number arrives in one batch.
+    """
     spark = docs.sparkSession
-    log = FingerprintLog(spark)
-    if batches <= 1:
-        return dedup_batch(log, docs, None, key, text)
-    cuts = docs.agg(F.percentile_approx(key, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    log = FingerprintLog(spark, most_runs=most_runs)
+    number = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    cuts = docs.agg(F.percentile_approx(key, [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 and number else []
     bounds = [None, *sorted(set(cuts)), None]
-    out = None
+    spots = []
     for lo, hi in zip(bounds, bounds[1:], strict=False):
-        inside = (F.lit(True) if lo is None else F.col(key) > lo) & (F.lit(True) if hi is None else F.col(key) <= hi)
-        before = F.lit(False) if lo is None else F.col(key) <= lo
-        got = dedup_batch(log, docs.where(inside if lo is not None else inside | F.col(key).isNull()), docs.where(before), key, text)
-        log.compact()
-        out = got if out is None else out.unionByName(got)
-    return out
+        if lo is not None:
+            log.compact()
+        inside = (F.lit(True) if hi is None else F.col(key) <= hi) & (F.lit(True) if lo is None else F.col(key) > lo)
+        spots.append(add_batch(log, docs.where(inside), key, text)[1])
+    union = lambda x: reduce(DataFrame.unionByName, x)
+    out = union([_result(log.read(t), union(spots), key) for t in log.live.texts])
+    log.close()
+    return out.unionByName(_keyless(docs, key, text))

@@ -1,7 +1,9 @@
 import hashlib
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from scanloom.llm import substring as S
 
@@ -50,24 +52,55 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_removed int")
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 3, 5])
 def test_against_brute_force(spark, batches):
     rows = corpus(3)
     got = S.dedup_table(frame(spark, rows), batches).collect()
     assert sorted(map(tuple, got)) == slow(rows)
 
 
-def test_log_and_compaction(spark):
-    rows = corpus(4, 50)
-    log = S.FingerprintLog(spark, most_runs=1)
+def folders(path):
+    return sorted(x for x in os.listdir(path.removeprefix("file:")) if x != "manifest")
+
+
+def test_log_reopens_and_compacts(spark):
+    rows = corpus(4, 90)
+    path = S.FingerprintLog(spark, buckets=3).path
     done = []
-    for lo in (30, 15, 0):  # later batches have smaller ids: the log still comes first
+    for lo in (60, 45, 30, 15, 0):  # later batches have smaller ids: the log still comes first
         part = [r for r in rows if lo <= r[0] < lo + 15]
-        got = S.dedup_batch(log, frame(spark, part), frame(spark, done)).collect()
-        log.compact()
+        log = S.FingerprintLog(spark, path, buckets=3 if lo == 60 else 7, most_runs=2)
+        assert log.live.buckets == 3
+        got = S.dedup_batch(log, frame(spark, part)).collect()
         assert sorted(map(tuple, got)) == slow(part, done)
-        assert len(log.runs) == 1
+        log.compact()
+        assert folders(path) == sorted(log.live.runs + log.live.texts)
+        log.close()
         done += part
+    assert log.live.version == 7 and len(log.live.runs) == len(log.live.texts) == 1
+    other = spark.newSession()
+    assert S.FingerprintLog(other, path).live == log.live
+
+
+def test_history_is_merged_without_a_shuffle(spark):
+    """The batch side alone is exchanged, and a passage of many documents is in the history once."""
+    words = " ".join(f"p{i}" for i in range(80))
+    rows = [(i, f"{words} own{i}") for i in range(40)]
+    log = S.FingerprintLog(spark)
+    S.dedup_batch(log, frame(spark, rows)).collect()
+    run = log.read(log.live.runs[0])
+    assert run.groupBy("fp").count().where("count > 1").count() <= 3
+    # Names the exchanges of a join of a batch with the run.
+    batch = frame(spark, rows).select(F.xxhash64("doc_id").alias("fp")).groupBy("fp").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = batch.join(run, "fp")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1
+    merged = log.read(log.live.runs[0]).unionByName(log.read(log.live.runs[0])).groupBy("fp").count()
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    log.close()
 
 
 def test_repeats_nulls_and_empty(spark):
