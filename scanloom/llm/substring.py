@@ -5,7 +5,7 @@ grams of a window is its fingerprint: equal windows always have the same one, an
 a text of n words has only about 2 n / (WINDOW - GRAM + 2) different ones.
 
 The log holds sorted immutable runs of ``fp, key, body`` rows, bucketed by
-fingerprint, and for each batch its texts, bucketed by ``key, body``. A batch is
+fingerprint, and for each batch its texts, bucketed by key (and a digest where keys repeat). A batch is
 staged once (words compressed, fingerprints), its fingerprints become a sorted table of the same buckets,
 and that is merge-joined with every run of the history: no run is shuffled
 again. Where two documents hold a fingerprint, the windows behind it are
@@ -28,11 +28,11 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import TEXT_ROWS, lookup
-from scanloom.session import cut, delete_path, scratch_path
+from scanloom.session import cut, delete_path, forget, kept, scratch_path
 
 WINDOW = 50
 GRAM = 16
@@ -41,6 +41,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Batches of a whole table, and runs of the history beyond which they are merged into one.
 BATCHES = 3
 MOST_RUNS = 1
+MANIFEST = "version int, buckets int, own array<string>, runs array<string>, texts array<string>"
 #: Distinct words whose hashes a worker remembers.
 WORDS_KEPT = 500_000
 
@@ -120,33 +121,29 @@ def staged(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, body, z, fps) -> the windows behind the fingerprints: key, body, fp, at, h, v."""
+    """(key, [body,] z, fps) -> the windows behind the fingerprints: key[, body], at, h, v."""
     open_ = zstandard.ZstdDecompressor()
     digest = xxhash.xxh3_64_intdigest
     for whole in batches:
+        own = whole.num_columns - 2
         for lo in range(0, whole.num_rows, TEXT_ROWS):
             part = whole.slice(lo, TEXT_ROWS)
-            rows, prints, spots, hashes, checks = [], [], [], [], []
+            rows, spots, hashes, checks = [], [], [], []
             for i in range(part.num_rows):
-                words = open_.decompress(part.column(2)[i].as_py()).split()
+                words = open_.decompress(part.column(own)[i].as_py()).split()
                 w = Windows(words)
-                wanted = part.column(3)[i].values.to_numpy().view(np.uint64)
-                fp = w.fingerprints()
-                at = np.flatnonzero(np.isin(fp, wanted, kind="sort"))
+                wanted = part.column(own + 1)[i].values.to_numpy().view(np.uint64)
+                at = np.flatnonzero(np.isin(w.fingerprints(), wanted, kind="sort"))
                 joined = b" ".join(words)
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                 starts = np.concatenate([[0], ends[:-1] + 1])
                 rows.append(np.full(len(at), i))
-                prints.append(fp[at].view(np.int64))
                 spots.append(at.astype(np.int32))
                 hashes.append(w.hashes(WINDOW)[at].view(np.int64))
                 checks.append(np.array([digest(joined[a:b]) for a, b in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)], np.uint64).view(np.int64))
             if rows:
                 row = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(row), part.column(1).take(row), *(pa.array(np.concatenate(x)) for x in (prints, spots, hashes, checks))],
-                    names=["key", "body", "fp", "at", "h", "v"],
-                )
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(own)), *(pa.array(np.concatenate(x)) for x in (spots, hashes, checks))], names=[*["key", "body"][:own], "at", "h", "v"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +177,8 @@ class Manifest:
 
     version: int = 0
     buckets: int = 0
+    #: What tells rows apart: the key, and the digest of the text unless keys are unique.
+    own: list[str] = field(default_factory=list)
     runs: list[str] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
 
@@ -188,14 +187,16 @@ class FingerprintLog:
     """Sorted immutable runs below ``path``, one for each batch until compacted.
 
     A log that exists there is opened as its last whole manifest says, in this session or
-    in another one; ``buckets`` then are those of the log. One writer at a time.
+    in another one; ``buckets`` and ``unique_keys`` then are those of the log. One writer at a
+    time. unique_keys: no two rows of all batches share a key, so rows need no digest beside it.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, most_runs: int = 4) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, most_runs: int = 4, unique_keys: bool = False) -> None:
         self.spark, self.most_runs = spark, most_runs
         self.path = path or scratch_path(spark, "fingerprint-log")
         self.live = self._read()
         self.live.buckets = self.live.buckets or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.live.own = self.live.own or (["key"] if unique_keys else ["key", "body"])
 
     def _read(self) -> Manifest:
         # A version's one file comes to its folder when it is whole.
@@ -208,13 +209,13 @@ class FingerprintLog:
         last = max((int(r["path"].split("/")[-2][1:]) for r in rows), default=0)
         if not last:
             return Manifest()
-        got = self.spark.read.schema("version int, buckets int, runs array<string>, texts array<string>").json(f"{self.path}/manifest/v{last:06d}").first()
+        got = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest/v{last:06d}").first()
         return Manifest(**got.asDict())
 
     def _commit(self, runs: list[str], texts: list[str]) -> None:
         """Make a new manifest the live one; only then are files that it no longer names deleted."""
-        old, self.live = self.live, Manifest(self.live.version + 1, self.live.buckets, runs, texts)
-        row = self.spark.createDataFrame([(self.live.version, self.live.buckets, runs, texts)], "version int, buckets int, runs array<string>, texts array<string>")
+        old, self.live = self.live, Manifest(self.live.version + 1, self.live.buckets, self.live.own, runs, texts)
+        row = self.spark.createDataFrame([(self.live.version, self.live.buckets, self.live.own, runs, texts)], MANIFEST)
         row.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/v{self.live.version:06d}")
         for name in {*old.runs, *old.texts}.difference(runs, texts):
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -229,7 +230,7 @@ class FingerprintLog:
     def read(self, name: str) -> DataFrame:
         """A table of the log, as buckets."""
         if not self.spark.catalog.tableExists(name):
-            by = "fp" if name.startswith("run") else "key, body"
+            by = "fp" if name.startswith("run") else ", ".join(self.live.own)
             columns = ", ".join(f"`{c}` {t}" for c, t in self.spark.read.parquet(f"{self.path}/{name}").dtypes)
             self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{self.path}/{name}') CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.live.buckets} BUCKETS")
         return self.spark.table(name)
@@ -252,69 +253,88 @@ class FingerprintLog:
         if len(self.live.runs) > self.most_runs:
             whole = lambda names: reduce(DataFrame.unionByName, map(self.read, names))
             run = self.write(whole(self.live.runs), "fp")
-            texts = self.write(whole(self.live.texts), "key", "body")
+            texts = self.write(whole(self.live.texts), *self.live.own)
             self._commit([run], [texts])
 
 
+def _first_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, [body,] z, fps, gone) -> fp, key[, body]: those of fps with a window that isn't in gone."""
+    open_ = zstandard.ZstdDecompressor()
+    for part in batches:
+        own = part.num_columns - 3
+        rows, prints = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(part.num_rows):
+            fp = Windows(open_.decompress(part.column(own)[i].as_py()).split()).fingerprints()
+            gone = part.column(own + 2)[i]
+            if gone.is_valid:
+                fp = np.delete(fp, gone.values.to_numpy())
+            left = np.intersect1d(fp.view(np.int64), part.column(own + 1)[i].values.to_numpy())
+            rows.append(np.full(len(left), i)), prints.append(left)
+        row = pa.array(np.concatenate(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints)), *(part.column(k).take(row) for k in range(own))], names=["fp", "key", "body"][: own + 1])
+
+
 def add_batch(log: FingerprintLog, docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
-    """Add docs to the log; returns the log's table of their texts and ``key, body, gone`` of
-    those that lose words (starts of removed windows, -1 for all), checkpointed."""
-    buckets, kind = log.live.buckets, dict(docs.dtypes)[key]
-    texts = log.write(staged(docs.where(F.col(key).isNotNull()), key, text).repartition(buckets, "key", "body"), "key", "body")
+    """Add docs to the log; returns the log's table of their texts and ``key[, body], gone`` of
+    those that lose words (starts of removed windows, -1 for all), written."""
+    spark, buckets, kind = log.spark, log.live.buckets, dict(docs.dtypes)[key]
+    here = docs.where(F.col(key).isNotNull())
+    own = log.live.own
+    texts = log.write(staged(here, key, text).repartition(buckets, *own), *own)
     rows = log.read(texts)
     full = rows.where(f"n_words >= {WINDOW}")
+    shape = ", ".join(f"{c} {kind if c == 'key' else 'long'}" for c in own)
 
     # Among whole copies only the first has to be looked at; the rest go whole.
     same = ["body", "check", "n_words"]
     copies = cut(full.groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    copied = cut(lookup(full.select("key", *same), copies, same, rows.count()).where("key > first").select("key", "body").distinct())
-    lead = full.join(copied, ["key", "body"], "left_anti").select("key", "body", F.explode("fps").alias("fp"))
+    copied = kept(lookup(full.select("key", *same), copies, same, rows.count()).where("key > first").select(*own).distinct(), "copies")
+    lead = full.join(copied, own, "left_anti").select(*own, F.explode("fps").alias("fp"))
 
     # The batch as sorted fingerprints, merged with each run: one row a fingerprint, with what is known of its holders.
-    ends = [f(c).alias(f"{n}_{c}") for c in ("key", "body") for n, f in (("low", F.min), ("high", F.max))]
-    mine = lead.groupBy("fp").agg(*ends, F.count("*").alias("n"))
+    low = [F.min(c).alias(c) for c in own]
+    mine = lead.groupBy("fp").agg(*low, *[F.max(c).alias(f"high_{c}") for c in own], F.count("*").alias("n"))
     for k, name in enumerate(log.live.runs):
         mine = mine.join(log.read(name).select("fp").distinct().withColumn(f"old{k}", F.lit(True)), "fp", "left")
     old = F.coalesce(*[F.col(f"old{k}") for k in range(len(log.live.runs))], F.lit(False))
-    batch = log.write(mine.select("fp", "low_key", "low_body", "n", old.alias("old"), (old | (F.col("low_key") != F.col("high_key")) | (F.col("low_body") != F.col("high_body"))).alias("shared")), "fp")
+    two = reduce(Column.__or__, [F.col(c) != F.col(f"high_{c}") for c in own])
+    batch = log.write(mine.select("fp", *own, "n", old.alias("old"), (old | two).alias("shared")), "fp")
     found = log.read(batch)
 
     # The windows behind shared fingerprints, here and in the touched documents of the history.
     wanted = lookup(lead, found.where("shared").select("fp", "n"), ["fp"], found.agg(F.sum("n")).first()[0] or 0)
-    wanted = wanted.groupBy("key", "body").agg(F.collect_set("fp").alias("fps"))
-    shape = f"key {kind}, body long, fp long, at int, h long, v long"
-    hash_ = lambda t, w: t.select("key", "body", "z").join(w, ["key", "body"]).select("key", "body", "z", "fps").mapInArrow(_shared_windows, shape)
+    wanted = kept(wanted.groupBy(*own).agg(F.collect_set("fp").alias("fps")), "wanted")
+    hash_ = lambda t, w: t.select(*own, "z").join(w, own).select(*own, "z", "fps").mapInArrow(_shared_windows, f"{shape}, at int, h long, v long")
     windows = hash_(full, wanted).withColumn("old", F.lit(False))
     if log.live.runs:
         asked = found.where("old").select("fp")
         held = reduce(DataFrame.unionByName, [log.read(r).join(asked, "fp", "left_semi") for r in log.live.runs])
-        held = cut(held.groupBy("key", "body").agg(F.collect_set("fp").alias("fps")))
+        held = kept(held.groupBy(*own).agg(F.collect_set("fp").alias("fps")), "held")
         for name in log.live.texts:
             windows = windows.unionByName(hash_(log.read(name), held).withColumn("old", F.lit(True)))
-    stored = scratch_path(log.spark, "windows")
-    windows.write.parquet(stored)
-    windows = log.spark.read.parquet(stored)
-    low, high = F.min(F.when(~F.col("old"), F.col("key"))), F.max(F.when(~F.col("old"), F.col("key")))
-    first = windows.groupBy("h", "v").agg(low.alias("low"), high.alias("high"), F.max("old").alias("old"), F.count("*").alias("n")).where("low is not null and (old or low <> high)")
-    first = cut(first.select("h", "v", "low", F.col("old").alias("known"), "n"))
-    gone = lookup(windows.where("not old"), first, ["h", "v"], windows.count()).where("known or key > low").select("key", "body", "fp", "at")
-    gone = cut(gone.distinct())
-    spots = gone.groupBy("key", "body").agg(F.collect_list("at").alias("gone"))
-    spots = cut(spots.unionByName(copied.select("key", "body", F.array(F.lit(-1)).alias("gone"))).groupBy("key", "body").agg(F.flatten(F.collect_list("gone")).alias("gone")))
+    windows = kept(windows, "windows")
+    first = windows.groupBy("h", "v").agg(F.min(F.when(~F.col("old"), F.col("key"))).alias("low"), F.max("old").alias("known"), F.count("*").alias("n"))
+    first = kept(first.where("low is not null and n > 1"), "first")
+    gone = lookup(windows.where("not old").drop("old"), first, ["h", "v"], windows.count()).where("known or key > low")
+    spots = gone.select(*own, "at").groupBy(*own).agg(F.collect_set("at").alias("gone"))
+    spots = kept(spots.unionByName(copied.select(*own, F.array(F.lit(-1)).alias("gone"))), "gone")
 
     # The run: unshared fingerprints with their one holder, shared ones with the documents where a window of theirs is first.
-    fresh = windows.where("not old").select("key", "body", "fp", "at").join(gone, ["key", "body", "fp", "at"], "left_anti").select("fp", "key", "body").distinct()
-    merged = found.join(fresh, "fp", "left").where("not shared or key is not null")
-    run = log.write(merged.select("fp", F.when(F.col("shared"), F.col("key")).otherwise(F.col("low_key")).alias("key"), F.when(F.col("shared"), F.col("body")).otherwise(F.col("low_body")).alias("body")), "fp")
+    left = full.select(*own, "z").join(wanted, own).join(spots, own, "left").select(*own, "z", "fps", "gone").mapInArrow(_first_here, f"fp long, {shape}").distinct()
+    merged = found.alias("b").join(left.alias("w"), "fp", "left").where("not shared or w.key is not null")
+    run = log.write(merged.select("fp", *[F.when(F.col("shared"), F.col(f"w.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in own]), "fp")
     log.append(run, texts)
     log.drop(batch)
+    for df in (copied, wanted, windows, first):
+        forget(df)
     return texts, spots
 
 
 def _result(rows: DataFrame, spots: DataFrame, key: str) -> DataFrame:
     """``key, n_words, n_removed, kept_text`` of staged rows."""
     shape = f"key {dict(rows.dtypes)['key']}, n_words long, n_removed long, kept_text string"
-    return rows.select("key", "body", "z").join(spots, ["key", "body"], "left").select("key", "z", "gone").mapInArrow(_cut_out, shape).withColumnRenamed("key", key)
+    own = [c for c in ("key", "body") if c in spots.columns]
+    return rows.select(*own, "z").join(spots, own, "left").select("key", "z", "gone").mapInArrow(_cut_out, shape).withColumnRenamed("key", key)
 
 
 def _keyless(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -347,7 +367,8 @@ def dedup_table(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", te
     compacted. A key that is no number arrives in one batch.
     """
     spark = docs.sparkSession
-    log = FingerprintLog(spark, most_runs=most_runs)
+    unique = not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").head(1)
+    log = FingerprintLog(spark, most_runs=most_runs, unique_keys=unique)
     number = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
     cuts = docs.agg(F.percentile_approx(key, [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 and number else []
     bounds = [None, *sorted(set(cuts)), None]

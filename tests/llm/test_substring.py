@@ -65,11 +65,11 @@ def folders(path):
 
 def test_log_reopens_and_compacts(spark):
     rows = corpus(4, 90)
-    path = S.FingerprintLog(spark, buckets=3).path
+    path = S.scratch_path(spark, "log")
     done = []
     for lo in (60, 45, 30, 15, 0):  # later batches have smaller ids: the log still comes first
         part = [r for r in rows if lo <= r[0] < lo + 15]
-        log = S.FingerprintLog(spark, path, buckets=3 if lo == 60 else 7, most_runs=2)
+        log = S.FingerprintLog(spark, path, buckets=3 if lo == 60 else 7, most_runs=2, unique_keys=lo == 30)
         assert log.live.buckets == 3
         got = S.dedup_batch(log, frame(spark, part)).collect()
         assert sorted(map(tuple, got)) == slow(part, done)
@@ -109,6 +109,11 @@ def test_repeats_nulls_and_empty(spark):
     got = sorted(map(tuple, S.dedup_table(frame(spark, rows)).collect()), key=str)
     assert got == sorted([(2, 61, 0, "y " + t), (5, 60, 60, ""), (5, 60, 60, ""), (7, 60, 60, ""), (None, 60, 0, t)], key=str)
     assert S.dedup_table(frame(spark, rows[:0])).collect() == []
+    # Different texts under one id, met only in a later batch, and a very long text.
+    long = " ".join(f"z{i % 70_001}" for i in range(300_000))
+    rows = [(1, "q " * 60), (2, t), (90, "a b " + t + " c"), (90, "other " * 3), (91, long), (92, "first " + long)]
+    got = sorted(map(tuple, S.dedup_table(frame(spark, rows), 3).collect()))
+    assert got == slow(rows)
 
 
 def test_sha_is_of_the_kept_words():
