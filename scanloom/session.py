@@ -37,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Like :func:`cut`, as a Parquet table in the shared folder: smaller, and :func:`forget` frees it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`kept` wrote, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete_path(df.sparkSession, folder)
+
+
 def find_package(spark: SparkSession) -> None:
     """Let Python workers on this machine import this package wherever the driver was started.
 
