@@ -70,9 +70,16 @@ def classes(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return rows.groupBy(F.col(label).alias("label"), "x").agg(F.min(key).alias("rep"), F.count("*").alias("copies"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    width = len(column[0])
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Rows of numbers; shorter ones end in zeros if a width is given."""
+    size = column.value_lengths().to_numpy()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = width or int(size.max())
+    if (size == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(size), width))
+    out[np.arange(width) < size[:, None]] = flat
+    return out
 
 
 def _pairs(runs: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -89,57 +96,73 @@ def _pairs(runs: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(left), step):
                 i = np.repeat(left[lo : lo + step], len(right))
                 j = np.tile(right, len(left[lo : lo + step]))
-                ok = rep[i] < rep[j]
+                ok = (rep[i] < rep[j]) & (table[i] == table[j])
                 i, j = i[ok], j[ok]
                 apart = full[i] ^ full[j]
                 near = np.bitwise_count(apart).sum(axis=1) <= FAR
                 i, j, apart = i[near], j[near], apart[near]
-                first = (np.bitwise_count(apart.view("<u2")) <= 1).argmax(axis=1) == table[start[k]]
+                first = (np.bitwise_count(apart.view("<u2")) <= 1).argmax(axis=1) == table[i]
                 if first.any():
                     yield pa.RecordBatch.from_arrays([pa.array(rep[i[first]]), pa.array(rep[j[first]])], names=["a", "b"])
 
 
 def candidates(found: DataFrame, mean: np.ndarray, directions: np.ndarray) -> DataFrame:
-    """Pairs ``a, b`` of class representatives with equal labels that share a bucket."""
+    """Pairs ``a, b`` of class representatives that share a bucket of one table.
+
+    A bucket's key mixes in a hash of the label; labels whose hashes meet are told
+    apart by :func:`rerank`.
+    """
+    spread = np.uint64(0x9E3779B97F4A7C15)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = np.concatenate([[0], 1 << np.arange(SUBSTRING)])
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 part = whole.slice(at, 1024)
-                x = _matrix(part.column(2))
+                x = _matrix(part.column(2), len(mean))
                 sub = codes(x / np.linalg.norm(x, axis=1, keepdims=True), mean, directions)
                 full = np.ascontiguousarray(sub).view(np.int64)
-                rep, label = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int64)
+                rep, label = part.column(0).to_numpy(), part.column(1).to_numpy().view(np.uint64) * spread
                 for t in range(TABLES):
-                    base = (label << 20) | (t << 16)
-                    probe = (sub[:, t].astype(np.int64)[:, None] ^ flips[None, :]) | base[:, None]
-                    keys = np.concatenate([sub[:, t] | base, probe.ravel()])
+                    base = (label + np.uint64(t << 16)).view(np.int64)
+                    probe = base[:, None] + (sub[:, t].astype(np.int64)[:, None] ^ flips[None, :])
+                    keys = np.concatenate([base + sub[:, t], probe.ravel()])
                     n = len(flips)
                     cols = [keys, np.concatenate([rep, np.repeat(rep, n)]), np.repeat(np.array([0, 1], np.int8), [len(rep), n * len(rep)]), np.full(len(keys), t, np.int8)]
                     cols += [np.concatenate([full[:, c], np.repeat(full[:, c], n)]) for c in range(2)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "rep", "side", "tab", "c0", "c1"])
 
     shape = "key long, rep long, side byte, tab byte, c0 long, c1 long"
-    rows = found.select("rep", F.col("label").cast("long"), "x").mapInArrow(expand, shape)
+    rows = found.select("rep", F.xxhash64("label"), "x").mapInArrow(expand, shape)
     runs = rows.repartition("key").sortWithinPartitions("key", "side")
     return runs.mapInArrow(lambda b: _pairs(whole_runs(b, 6)), "a long, b long")
 
 
 def rerank(pairs: DataFrame, found: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """The pairs whose original vectors reach the cosine: ``a, b``."""
-    own = found.select("rep", "x")
-    rows = pairs.join(own.toDF("a", "xa"), "a").join(own.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
+    """What the pairs come to whose labels are equal and whose original vectors, of one length, reach the cosine.
+
+    Rows ``u, n`` (u has n links, copies counted, in some block of pairs) and rows ``u, v`` (links that span
+    the components of a block): as many as a block has vectors, not as it has pairs.
+    """
+    one = found.select("rep", "label", "x", "copies")
+    rows = pairs.join(one.toDF("a", "la", "xa", "na"), "a").join(one.toDF("b", "lb", "xb", "nb"), "b")
+    rows = rows.where((F.col("la") == F.col("lb")) & (F.size("xa") == F.size("xb"))).select("a", "b", "xa", "xb", "na", "nb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             if not whole.num_rows:
                 continue
             x, y = _matrix(whole.column(2)), _matrix(whole.column(3))
-            got = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(1)], names=["a", "b"]).filter(pa.array(got >= cosine))
+            got = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= cosine
+            a, b, na, nb = (whole.column(k).to_numpy()[got] for k in (0, 1, 4, 5))
+            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            count = np.bincount(at, weights=np.concatenate([nb, na]), minlength=len(nodes)).astype(np.int64)
+            u, v = forest(a, b)
+            ends = [pa.nulls(len(nodes), pa.int64()), pa.array(v, pa.int64())]
+            counts = [pa.array(count, pa.int64()), pa.nulls(len(u), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([nodes, u]), pa.int64()), pa.concat_arrays(ends), pa.concat_arrays(counts)], names=["u", "v", "n"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "u long, v long, n long")
 
 
 def fit(spark: SparkSession, found: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
@@ -147,7 +170,8 @@ def fit(spark: SparkSession, found: DataFrame, sample: int = SAMPLE) -> tuple[np
     rows = found.select("x", "rep").orderBy(F.xxhash64("rep"), "rep").limit(sample).select("x").toPandas()
     if not len(rows):
         return None
-    x = np.stack(rows["x"].to_numpy())
+    width = found.agg(F.max(F.size("x"))).first()[0]
+    x = np.stack([np.pad(v, (0, width - len(v))) for v in rows["x"]])
     return learn(x / np.linalg.norm(x, axis=1, keepdims=True))
 
 
@@ -158,8 +182,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     other rows linked directly, component_id is the smallest key reachable, kept
     marks it. Equal vectors form one class, compared once. A vector that is
     null, zero, or holds a null or non-finite number, and a row without a label,
-    links with nothing. All vectors of a table have one length. Other columns are
-    ignored.
+    links with nothing. Labels may be of any type and are equal as Spark compares
+    them; vectors of two lengths never link. Rows with a null key are in no class.
+    Other columns are ignored, repeated rows are rows of their own, and an empty table gives no row.
     """
     spark = vectors.sparkSession
     found = cut(classes(vectors, key, vector, label))
@@ -168,16 +193,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     if model is None:
         return rows.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept"))
     links = cut(rerank(candidates(found, *model), found, cosine))
-    size = found.select("rep", "copies")
-    both = links.union(links.select("b", "a")).toDF("rep", "other")
-    degree = both.join(size.toDF("other", "n"), "other").groupBy("rep").agg(F.sum("n").alias("n"))
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = forest(b.column(0).to_numpy(), b.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["src", "dst"])
-
-    parts = connected_components(links.mapInArrow(stars, "src long, dst long")).toDF("rep", "component_id")
+    degree = links.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
+    parts = connected_components(links.where("v is not null").select("u", "v"), "u", "v").toDF("rep", "component_id")
     label_of = found.join(degree, "rep", "left").join(parts, "rep", "left").select(F.col("label").alias("l"), F.col("x").alias("y"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     # -0.0 and 0.0 are one class: both sides are normalised the way grouping does it.
     same = (F.col("label") == F.col("l")) & (F.transform("x", lambda e: e + F.lit(0.0)) == F.transform("y", lambda e: e + F.lit(0.0)))

@@ -43,7 +43,7 @@ BATCHES = 3
 MOST_RUNS = 1
 MANIFEST = "version int, buckets int, own array<string>, runs array<string>, texts array<string>"
 #: Distinct words whose hashes a worker remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 
 class WordHashes(dict):

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from scanloom.llm import embeddings as E
 
@@ -71,3 +72,15 @@ def test_empty(spark):
     assert E.near_duplicates(df).collect() == []
     df = spark.createDataFrame([(4, None, 1)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in E.near_duplicates(df).collect()] == [(4, 0, 4, True)]
+
+
+def test_labels_and_lengths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(8)
+    near = lambda n=8: [float(v) for v in x[:n] + rng.standard_normal(n) * 0.01]
+    far = [(k, [float(v) for v in rng.standard_normal(8)], 5.0) for k in range(100, 140)]
+    rows = [(0, near(), 5.0), (1, near(), 5.0 + 2**44), (2, near(), 5.0), (3, near(), 1.2), (4, near(), 1.4), (5, near(6), 5.0), (6, near(6), 5.0), (7, near(3), None)] + far
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")
+    for d in (df, df.withColumn("label", F.col("label").cast("string")), df.withColumn("label", (F.col("label") * 10).cast("long"))):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(d).collect() if r.vec_id < 100}
+        assert got == {0: (1, 0), 1: (0, 1), 2: (1, 0), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
