@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternates large-star and small-star contractions (each two shuffles on the
     node key, with map-side minima), so long chains shrink in O(log n) rounds and
     a hot node only ever costs partial aggregates and a splittable join. Every
-    round is checkpointed. Returns ``node, component``; self loops give single
+    round is checkpointed; rounds end when the edges stay the same, told by their number and two
+    64-bit sums. Returns ``node, component``; self loops give single
     nodes; null ends are ignored.
     """
     pairs = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"))
@@ -29,7 +30,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = cut(small.union(low).distinct())
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if mark == seen:
             break
         seen = mark
