@@ -20,6 +20,8 @@ ENTROPY = 0.95
 REPEATS = 4.0
 #: Documents of one block, about.
 BLOCK_DOCS = 256
+#: Stretches of turns are told by so many hexadecimal digits: 4,096 of them.
+PART_DIGITS = 3
 #: Rounds of bisection; the exponent is a multiple of 2^-ROUNDS.
 ROUNDS = 24
 #: Rounds that one job evaluates at once.
@@ -104,8 +106,9 @@ def budgets(sizes: DataFrame, a: float, budget: float | None = None) -> DataFram
     norm, widest = sizes.where("tokens > 0").agg(F.sum(F.pow(t, F.lit(a))), F.max(F.pow(t, F.lit(1.0 - a)))).first()
     whole = (widest or 0.0) * (norm or 0.0) if budget is None else float(budget)
     weight = F.when(F.col("tokens") > 0, F.pow(t, F.lit(a)) / F.lit(norm or 1.0))
-    out = sizes.withColumn("weight", weight)
-    return out.withColumn("quota", F.coalesce(F.floor(F.col("weight") * F.lit(whole) + F.lit(1e-6)), F.lit(0)).cast("long"))
+    quota = F.coalesce(F.floor(F.col("weight") * F.lit(whole) + F.lit(1e-6)), F.lit(0)).cast("long")
+    # Without a budget every source comes whole at least once, whatever the last bit of the product is.
+    return sizes.withColumn("weight", weight).withColumn("quota", quota if budget is not None else F.greatest(quota, "tokens"))
 
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -113,12 +116,12 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
 
     A document comes in epoch e if its source's stream (epoch after epoch, blocks
     in random order, documents in random order within their block) reaches it
-    before the source's quota is spent; start is its place in that stream, in
-    tokens. Blocks are dealt by hash, so one source with a third of all rows is many
-    blocks; only block totals are ordered by source. Null sources are one source,
+    before the source's quota is spent, and always in the first epoch if there is no
+    budget; start is its place in that stream, in tokens. Blocks are dealt by hash, so one source with a third of all rows is many
+    blocks; their totals are summed in two levels, so no source is ordered in one task. Null sources are one source,
     documents without words come where the stream passes them, sources
-    without words come once, repeated rows are documents of their own (tied in
-    order), other columns are ignored.
+    without words come once, repeated rows are documents of their own (in order of
+    their length where they share a key), a very long text is one number, other columns are ignored.
     """
     counted = cut(token_counts(docs, text).select(F.col(key).alias("key"), F.col(source).alias("source"), "n_tokens"))
     sizes = cut(source_sizes(counted))
@@ -135,13 +138,20 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     turns = blocks.alias("d").join(plan.alias("p"), same).select("d.source", "block", "block_tokens", "epoch", "tokens", "left")
     turns = turns.withColumn("turn", F.md5(F.concat_ws("|", F.lit(seed), "epoch", name, "block")))
-    w = Window.partitionBy("source", "epoch").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumn("before", F.coalesce(F.sum("block_tokens").over(w), F.lit(0)))
-    turns = turns.where((F.col("before") < F.col("left")) | (F.col("epoch") == 0) & (F.col("tokens") == 0)).select("source", "block", "epoch", "tokens", "left", "before")
+    # Blocks of one stretch of turns follow each other: the stretches of a source and epoch are summed first, then the blocks inside.
+    turns = cut(turns.withColumn("part", F.substring("turn", 1, PART_DIGITS)))
+    w = Window.partitionBy("source", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = turns.groupBy("source", "epoch", "part").agg(F.sum("block_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    w = Window.partitionBy("source", "epoch", "part").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("inside", F.coalesce(F.sum("block_tokens").over(w), F.lit(0)))
+    where = same & (F.col("d.epoch") == F.col("p.epoch")) & (F.col("d.part") == F.col("p.part"))
+    turns = turns.alias("d").join(parts.alias("p"), where).select("d.source", "block", "d.epoch", "tokens", "left", (F.col("base") + F.col("inside")).alias("before"))
+    first = (F.col("epoch") == 0) & (F.lit(budget is None) | (F.col("tokens") == 0))
+    turns = turns.where((F.col("before") < F.col("left")) | first)
     both = F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.block") == F.col("t.block"))
     placed = dealt.alias("d").join(turns.alias("t"), both).select("key", "d.source", "n_tokens", "epoch", "d.block", "tokens", "left", "before")
     order = F.md5(F.concat_ws("|", F.lit(seed), "epoch", F.coalesce(F.col("key").cast("string"), F.lit("-"))))
-    w = Window.partitionBy("source", "block", "epoch").orderBy(order, "key").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("source", "block", "epoch").orderBy(order, "key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("at", F.col("before") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
-    placed = placed.where((F.col("at") < F.col("left")) | (F.col("epoch") == 0) & (F.col("tokens") == 0))
+    placed = placed.where((F.col("at") < F.col("left")) | first)
     return placed.select(F.col("key").alias(key), F.col("source").alias(source), "n_tokens", "epoch", "block", (F.col("epoch") * F.col("tokens") + F.col("at")).alias("start"))

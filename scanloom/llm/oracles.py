@@ -28,6 +28,15 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
+ABLATIONS = f"""
+WITH o AS ({OP1}),
+r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('capitals', 16), ('exclamations', 32), ('word_length', 64)),
+p(policy, mask) AS (VALUES ('base', 3), ('v1', 15), ('v2', 127))
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS failed, count(*) FILTER (fail_bits & mask = bit) AS failed_alone,
+  count(*) FILTER (fail_bits & mask & ~bit = 0) AS kept_without
+FROM p JOIN r ON mask & bit <> 0 CROSS JOIN o GROUP BY policy, rule
+"""
+
 OP3 = rf"""
 WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
@@ -73,7 +82,7 @@ bis(k, lo, hi, rlo, rhi) AS (
         FROM (SELECT bis.*, sh.*, (lo + hi) // 2 AS mid, (rlo + rhi) // 2 AS rmid FROM bis, sh WHERE k < 26))),
 ex AS (SELECT CASE WHEN n = 1 THEN 1.0 ELSE greatest(lo, rhi) / 16777216.0 END AS a FROM bis, sh WHERE k = 26),
 nm AS (SELECT sum(pow(CAST(tokens AS DOUBLE), a)) AS norm, max(pow(CAST(tokens AS DOUBLE), 1.0 - a)) AS widest FROM s, ex WHERE tokens > 0),
-pl AS (SELECT source, docs, tokens, CAST(CASE WHEN tokens > 0 THEN floor(pow(CAST(tokens AS DOUBLE), a) / norm * (widest * norm) + 1e-6) ELSE 0 END AS BIGINT) AS quota, CAST(ceil(docs / 256.0) AS BIGINT) AS blocks FROM s, ex, nm),
+pl AS (SELECT source, docs, tokens, CAST(CASE WHEN tokens > 0 THEN greatest(floor(pow(CAST(tokens AS DOUBLE), a) / norm * (widest * norm) + 1e-6), tokens) ELSE 0 END AS BIGINT) AS quota, CAST(ceil(docs / 256.0) AS BIGINT) AS blocks FROM s, ex, nm),
 ep AS (SELECT *, quota - epoch * tokens AS room FROM (SELECT *, unnest(range(CASE WHEN tokens > 0 THEN greatest(1, CAST(ceil(quota / tokens) AS BIGINT)) ELSE 1 END)) AS epoch FROM pl)),
 db AS (SELECT d.doc_id, d.source, n_tokens, CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 8) AS BIGINT) % blocks AS block
        FROM d JOIN pl ON d.source IS NOT DISTINCT FROM pl.source),
@@ -82,8 +91,8 @@ tu AS (SELECT bt.source, block, epoch, tokens, room, coalesce(CAST(sum(block_tok
          ORDER BY md5('7|' || epoch || '|' || coalesce('=' || bt.source, '-') || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
        FROM bt JOIN ep ON bt.source IS NOT DISTINCT FROM ep.source),
 pp AS (SELECT db.doc_id, db.source, n_tokens, epoch, db.block, tokens, room, before + coalesce(CAST(sum(n_tokens) OVER (PARTITION BY db.source, db.block, epoch
-         ORDER BY md5('7|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '-')), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS spot
+         ORDER BY md5('7|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '-')), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS spot
        FROM db JOIN tu ON db.source IS NOT DISTINCT FROM tu.source AND db.block = tu.block)
 SELECT doc_id, source, n_tokens, CAST(epoch AS INT) AS epoch, block, epoch * tokens + spot AS start
-FROM pp WHERE spot < room OR (epoch = 0 AND tokens = 0)
+FROM pp WHERE spot < room OR epoch = 0
 """
