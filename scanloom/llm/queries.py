@@ -20,6 +20,10 @@ def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -63,11 +67,12 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_rule_ledger, op2_best_two_fit, op3_fingerprint_log, op4_lookup_shards, op5_itq_embeddings, op6_bit_planes, op7_noisy_channel, op8_simhash_golay, op9_rule_ensemble, op10_temperature_mix)
+    for f in (op1_rule_ledger, rule_ablations, op2_best_two_fit, op3_fingerprint_log, op4_lookup_shards, op5_itq_embeddings, op6_bit_planes, op7_noisy_channel, op8_simhash_golay, op9_rule_ensemble, op10_temperature_mix)
 }
 
 ORACLES: dict[str, str] = {
     "op1_rule_ledger": oracles.OP1,
+    "rule_ablations": oracles.ABLATIONS,
     "op3_fingerprint_log": oracles.OP3,
     "op5_itq_embeddings": oracles.OP5,
     "op10_temperature_mix": oracles.OP10,

@@ -79,19 +79,25 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and MEASURES of every row; null texts have no words."""
-    kind = dict(docs.dtypes)[key]
+    """``key`` and MEASURES of every row; null texts have no words, a very long text costs its length."""
+    return _measured(docs.select(F.col(key), F.col(text)), text, [key])
+
+
+def _measured(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` of docs and MEASURES, in one pass."""
+    kinds, names = dict(docs.dtypes), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXT_ROWS):
-                part = whole.slice(at, TEXT_ROWS)
-                found = [measure(t or b"") for t in part.column(1).cast(pa.binary()).to_pylist()]
+            for lo in range(0, whole.num_rows, TEXT_ROWS):
+                part = whole.slice(lo, TEXT_ROWS)
+                found = [measure(t or b"") for t in part.column(names.index(text)).cast(pa.binary()).to_pylist()]
                 cols = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["key", *MEASURES])
+                held = [part.column(names.index(c)) for c in carry]
+                yield pa.RecordBatch.from_arrays([*held, *cols], names=[*(f"c{i}" for i in range(len(carry))), *MEASURES])
 
-    shape = f"key {kind}, " + ", ".join(f"{m} long" for m in MEASURES)
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, shape).withColumnRenamed("key", key)
+    shape = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(carry)), *(f"{m} long" for m in MEASURES)])
+    return docs.mapInArrow(run, shape).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
 
 
 def mask(rules: tuple[str, ...]) -> int:
@@ -99,14 +105,27 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << names.index(r) for r in rules)
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, MEASURES and ``fail_bits``: one row per row of docs, repeated rows
-    included; an empty table gives an empty ledger and other columns are ignored."""
-    found = measurements(docs, key, text)
+def _bits() -> Column:
+    """One bit for each rule that fails, from the measurements."""
     bits = F.lit(0).cast("long")
     for k, (_, failed) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return found.withColumn("fail_bits", bits)
+    return bits
+
+
+def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, MEASURES and ``fail_bits``: one row per row of docs, repeated rows
+    included; an empty table gives an empty ledger and other columns are ignored."""
+    return measurements(docs, key, text).withColumn("fail_bits", _bits())
+
+
+def keep(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
+    """The rows of docs that a policy and the base rules keep, as they are: measured and judged where
+    they lie, without a shuffle. No row is told by its key, so null and repeated keys are no matter."""
+    own = docs.columns
+    plain = docs.toDF(*(f"d{i}" for i in range(len(own))))
+    found = _measured(plain, f"d{own.index(text)}", plain.columns).withColumn("fail_bits", _bits())
+    return found.where(~(fails("base") | fails(policy))).select(*plain.columns).toDF(*own)
 
 
 def fails(policy: str, bits: str = "fail_bits") -> Column:

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from scanloom.llm import rules as R
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,3 +57,14 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert R.judge(R.ledger(df)).count() == 0
     assert {r.failed for r in R.ablations(R.ledger(df)).collect()} <= {0}
+
+
+def test_keep_carries_all_columns(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, good, "a"), (1, good, "a"), (None, good, "b"), (2, None, "c"), (3, "x " * 90, "d"), (4, good + " " + "y" * 1000, None), (5, " ".join(f"v{i}" for i in range(400_000)), "long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string").withColumn("fail_bits", F.lit("z"))
+    got = R.keep(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text, str(r.n_words)) for r in got.collect()) == sorted((str(a), b, str(c)) for a, b, c in rows if a not in (2, 3))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert R.keep(df.limit(0)).collect() == []
