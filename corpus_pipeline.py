@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Texts change only where a stage decides so.
-Documents are told apart by doc_id: rows without one leave at the first stage, and
-of rows that share one the near-duplicate stage keeps one. Other columns than
+Documents are told apart by doc_id: rows without one leave at the first stage,
+which judges every other row by itself; of rows that share one the near-duplicate stage keeps the
+one whose text has the smallest hash. Near duplicates are op 8's: fingerprints at most three bits apart. Other columns than
 those of documents are dropped, whatever their names; null texts have no words and
 leave at the first stage; an empty table stays empty.
 """
@@ -23,17 +24,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go. The verdict is joined by id, so texts are read twice but never travel with it."""
-    docs = docs.select(*COLUMNS)
-    judged = rules.judge(rules.ledger(docs)).where("kept").select("doc_id").distinct()
-    return docs.join(judged, "doc_id", "left_semi").select(*COLUMNS)
+    """Rejected rows go; each is judged where it lies, so nothing is shuffled."""
+    return rules.keep(docs.select(*COLUMNS).where("doc_id is not null"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
+    """The document with the smallest id of each group stays; of rows that share an id the one whose text has the smallest hash."""
     docs = docs.select(*COLUMNS)
     first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").drop_duplicates(["doc_id"]).select(*COLUMNS)
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), *COLUMNS)).alias("d")
+    return docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(one).select(*(f"d.{c}" for c in COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

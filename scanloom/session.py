@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where none is set a temporary one serves local masters; a
+    cluster can't do with a folder of the driver's machine, so there it is an error."""
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="spark-")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
