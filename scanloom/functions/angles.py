@@ -40,8 +40,8 @@ def tilt_from_vertical(nz: Column) -> Column:
 
 
 def facade_direction(nx: Column, ny: Column, nz: Column) -> Column:
-    """roof, or the side of the compass that a wall looks to."""
-    a = azimuth(nx, ny)
+    """roof, or the side of the compass that a wall looks to; headings count to nine decimals, so that borders are exact."""
+    a = F.round(azimuth(nx, ny), 9)
     return F.when(F.abs(nz) > 0.3, "roof").when((a >= 315) | (a < 45), "north").when(a < 135, "east").when(a < 225, "south").otherwise("west")
 
 

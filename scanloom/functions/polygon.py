@@ -50,7 +50,7 @@ def zone_contains(x: Column, y: Column, z: Column, center: tuple[Column, Column,
     """Inclusive height slab, then the polygon if there is one, else the inclusive box."""
     slab = F.abs(z - center[2]) <= size[2] / 2
     box = (F.abs(x - center[0]) <= size[0] / 2) & (F.abs(y - center[1]) <= size[1] / 2)
-    return slab & (box if ring is None else F.when(F.size(ring) >= 3, contains(ring, x, y)).otherwise(box))
+    return slab & (box if ring is None else F.when(F.coalesce(F.size(ring), F.lit(0)) >= 3, contains(ring, x, y)).otherwise(box))
 
 
 def facade_size(vertices: Column, nx: Column, ny: Column, nz: Column) -> tuple[Column, Column]:

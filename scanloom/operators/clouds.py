@@ -1,7 +1,9 @@
-"""Point-cloud operators. Every step shuffles by (cloud, cell), never by cloud alone."""
+"""Point-cloud operators. Points are shuffled by (cloud, cell); by cloud alone go only sums, bounded samples and planes."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,9 +27,16 @@ def voxel_downsample(points: DataFrame, size: float, mode: str = "mean") -> Data
 
 
 def spacing_sample(points: DataFrame, most: int = 5000) -> DataFrame:
-    """At most ``most`` points a cloud, the first by a hash of their id."""
-    w = Window.partitionBy("cloud_id").orderBy(F.md5(F.concat_ws("|", "cloud_id", "point_id")), "point_id")
-    return points.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
+    """At most ``most`` points a cloud, the first by a hash of their id.
+
+    A threshold on the hash, four times what is needed, leaves a bounded number of points to order.
+    """
+    mark = F.md5(F.concat_ws("|", "cloud_id", "point_id"))
+    n = points.groupBy("cloud_id").agg(F.count("*").alias("size"))
+    low = F.conv(F.substring(mark, 1, 8), 16, 10).cast("double") / float(1 << 32) <= (4.0 * most + 64) / F.col("size")
+    some = points.withColumn("mark", mark).join(small(n), "cloud_id").where(low)
+    w = Window.partitionBy("cloud_id").orderBy("mark", "point_id")
+    return some.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn", "mark", "size")
 
 
 def nn_spacing(points: DataFrame, reach: float = 0.5, most: int = 5000) -> DataFrame:
@@ -47,15 +56,25 @@ def detection_defaults(spacing: DataFrame) -> DataFrame:
 
 
 def knn_mean_distance(points: DataFrame, k: int, reach: float) -> DataFrame:
-    """``cloud_id, point_id, mean_d`` over the k nearest others within reach (fewer where there are fewer)."""
+    """``cloud_id, point_id, mean_d`` over the k nearest others, however far, or all others of a smaller cloud.
+
+    Neighbours are sought within reach first; points with fewer than k there look again twice as far.
+    """
     p = points.select("cloud_id", "point_id", "x", "y", "z")
-    near = within(p, p, reach, "cloud_id").where("a.point_id <> b.point_id").select("a.cloud_id", "a.point_id", "distance", F.col("b.point_id").alias("o"))
+    sizes = p.groupBy("cloud_id").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    todo, done = cut(p.join(small(sizes), "cloud_id").withColumn("want", F.least(F.lit(k), F.col("others"))).drop("others")), []
     w = Window.partitionBy("cloud_id", "point_id").orderBy("distance", "o")
-    return near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).groupBy("cloud_id", "point_id").agg(F.avg("distance").alias("mean_d"))
+    while todo.head(1):
+        near = within(todo, p, reach, "cloud_id").where("a.point_id <> b.point_id").select("a.cloud_id", "a.point_id", "a.want", "distance", F.col("b.point_id").alias("o"))
+        best = near.withColumn("rn", F.row_number().over(w)).where("rn <= want").groupBy("cloud_id", "point_id", "want").agg(F.count("*").alias("n"), F.avg("distance").alias("mean_d"))
+        done.append(cut(best.where("n = want").select("cloud_id", "point_id", "mean_d")))
+        todo = cut(todo.join(done[-1], ["cloud_id", "point_id"], "left_anti"))
+        reach *= 2
+    return reduce(DataFrame.unionByName, done, points.select("cloud_id", "point_id", F.lit(0.0).alias("mean_d")).limit(0))
 
 
 def remove_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, reach: float = 0.5) -> DataFrame:
-    """Points whose mean neighbour distance is at most mean + ratio * standard deviation of their cloud; points without neighbours go."""
+    """Points whose mean neighbour distance is at most mean + ratio * standard deviation of their cloud; the only point of a cloud goes."""
     d = cut(knn_mean_distance(points, k, reach))
     limit = d.groupBy("cloud_id").agg((F.avg("mean_d") + ratio * F.stddev_samp("mean_d")).alias("limit"))
     ok = d.join(small(limit), "cloud_id").where("mean_d <= limit").select("cloud_id", "point_id")
@@ -139,27 +158,46 @@ def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     return rows.select("cloud_id", "point_id", F.coalesce("label", "touched", F.lit(-1)).alias("label"))
 
 
-def greedy_dedupe(points: DataFrame, r: float, max_rounds: int = 60) -> DataFrame:
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What the pairs (low, high) of one block decide, in id order: ``cloud_id, point_id, kept`` of highs whose lows are all known."""
+    state: dict[int, bool] = {}
+    cloud, out = pdf["cloud_id"].iloc[0], []
+    for high, own in pdf.sort_values("high", kind="stable").groupby("high", sort=False):
+        known = [True if free else state.get(low) for low, free in zip(own["low"], own["free"], strict=True)]
+        if any(known):
+            state[high] = False
+        elif None not in known:
+            state[high] = True
+        else:
+            continue
+        out.append((cloud, high, state[high]))
+    return pd.DataFrame(out, columns=["cloud_id", "point_id", "kept"])
+
+
+def greedy_dedupe(points: DataFrame, r: float) -> DataFrame:
     """Keep a point unless a kept point with a lower id of its cloud lies within r, as in id order.
 
-    Each round settles every point whose lower neighbours are all settled.
+    The pairs within r are settled by blocks of space, each block in id order as far as its lows are known. Blocks grow
+    fourfold from round to round, so a chain of any length ends after a few of them; what a task holds are the
+    pairs of its block that are still open, which in the last rounds means long chains alone.
     """
     p = points.select("cloud_id", "point_id", "x", "y", "z")
-    pairs = cut(within(p, p, r, "cloud_id").where("a.point_id < b.point_id").select("a.cloud_id", F.col("a.point_id").alias("low"), F.col("b.point_id").alias("high")))
-    gone, live = None, pairs
-    for _ in range(max_rounds):
-        if not live.head(1):
-            break
-        # Lowest undecided points are kept; what they reach is dropped.
-        waiting = live.select("cloud_id", F.col("high").alias("low")).distinct()
-        kept = live.select("cloud_id", "low").distinct().join(waiting, ["cloud_id", "low"], "left_anti")
-        dropped = live.join(kept, ["cloud_id", "low"]).select("cloud_id", F.col("high").alias("point_id")).distinct()
-        gone = cut(dropped if gone is None else gone.unionByName(dropped))
-        live = live.join(gone.withColumnRenamed("point_id", "high"), ["cloud_id", "high"], "left_anti").join(gone.withColumnRenamed("point_id", "low"), ["cloud_id", "low"], "left_anti").join(kept, ["cloud_id", "low"], "left_anti")
-        live = cut(live)
-    else:
-        raise RuntimeError(f"not settled in {max_rounds} rounds")
-    return points if gone is None else points.join(gone, ["cloud_id", "point_id"], "left_anti")
+    near = within(p, p, r, "cloud_id").where("a.point_id < b.point_id")
+    live = cut(near.select("a.cloud_id", F.col("a.point_id").alias("low"), F.col("b.point_id").alias("high"), *[F.col(f"b.{a}") for a in "xyz"]))
+    kinds = dict(points.dtypes)
+    shape = f"cloud_id {kinds['cloud_id']}, point_id {kinds['point_id']}, kept boolean"
+    gone, edge = [], 8 * r
+    while live.head(1):
+        waits = live.select("cloud_id", F.col("high").alias("low"), F.lit(False).alias("free")).distinct()
+        rows = live.join(waits, ["cloud_id", "low"], "left").withColumn("free", F.coalesce("free", F.lit(True)))
+        block = [F.floor(F.col(a) / edge).alias(f"b{a}") for a in "xyz"]
+        found = cut(rows.select("cloud_id", "low", "high", "free", *block).groupBy("cloud_id", "bx", "by", "bz").applyInPandas(_settle, shape))
+        dropped = found.where("not kept").select("cloud_id", "point_id")
+        gone.append(dropped)
+        live = live.join(found.select("cloud_id", F.col("point_id").alias("high")), ["cloud_id", "high"], "left_anti")
+        live = cut(live.join(dropped.withColumnRenamed("point_id", "low"), ["cloud_id", "low"], "left_anti"))
+        edge *= 4
+    return points.join(reduce(DataFrame.unionByName, gone), ["cloud_id", "point_id"], "left_anti") if gone else points
 
 
 def hull(xy: np.ndarray) -> np.ndarray:
@@ -200,9 +238,39 @@ def convex_hulls(points: DataFrame, key: str = "cloud_id") -> DataFrame:
     return some.groupBy("k").applyInPandas(final, f"k {kind}, seq int, x double, y double").withColumnRenamed("k", key)
 
 
-def register(source: DataFrame, target: DataFrame, reach: float, rounds: int = 20, tolerance: float = 1e-5) -> DataFrame:
+def register_scales(source: DataFrame, target: DataFrame, voxels: tuple[float, ...] = (0.5, 0.25), yaws: tuple[float, ...] = (0.0, 90.0, 180.0, 270.0), rounds: int = 20) -> DataFrame:
+    """Alignment from coarse to fine: ``cloud_id, m, yaw_deg, per_scale (voxel_m, fitness, rmse)``.
+
+    Each source starts once for every yaw, its centre on the target's; the start with the best fitness (share of
+    points with a partner within three voxels), then the least error, at the coarsest scale goes on. Both clouds are thinned to cell means at
+    every scale.
+    """
+    centre = lambda p, n: p.groupBy("cloud_id").agg(*[F.avg(a).alias(f"{n}{a}") for a in "xyz"])
+    seeds = centre(source, "s").join(centre(target, "t"), "cloud_id").withColumn("seed", F.explode(F.array(*[F.lit(float(y)) for y in yaws])))
+    c, s = F.cos(F.radians("seed")), F.sin(F.radians("seed"))
+    at = [F.col("tx") - (c * F.col("sx") - s * F.col("sy")), F.col("ty") - (s * F.col("sx") + c * F.col("sy")), F.col("tz") - F.col("sz")]
+    zero, one = F.lit(0.0), F.lit(1.0)
+    pose = cut(seeds.select("cloud_id", "seed", F.array(c, -s, zero, at[0], s, c, zero, at[1], zero, zero, one, at[2], zero, zero, zero, one).alias("m"), F.array().cast("array<struct<voxel_m:double,fitness:double,rmse:double>>").alias("per_scale")))
+    pick = Window.partitionBy("cloud_id").orderBy(F.desc("fitness"), "rmse", "seed")
+    for voxel in voxels:
+        thin = lambda p: voxel_downsample(p, voxel).select("cloud_id", F.xxhash64("ix", "iy", "iz").alias("point_id"), "x", "y", "z")  # noqa: B023, E731
+        fine = cut(thin(source))
+        size = fine.groupBy("cloud_id").agg(F.count("*").alias("all"))
+        key = F.struct("cloud_id", "seed")
+        both = pose.select("cloud_id", "seed")
+        found = register(fine.join(small(both), "cloud_id").withColumn("cloud_id", key), cut(thin(target)).join(small(both), "cloud_id").withColumn("cloud_id", key), 3 * voxel, rounds, start=pose.select(key.alias("cloud_id"), "m"))
+        found = found.select("cloud_id.*", "m", "rmse", "pairs").join(pose.select("cloud_id", "seed", "per_scale"), ["cloud_id", "seed"]).join(size, "cloud_id")
+        found = found.withColumn("fitness", F.col("pairs") / F.col("all"))
+        found = found.withColumn("per_scale", F.concat("per_scale", F.array(F.struct(F.lit(float(voxel)).alias("voxel_m"), "fitness", "rmse"))))
+        pose = cut(found.withColumn("rn", F.row_number().over(pick)).where("rn = 1").select("cloud_id", "seed", "m", "per_scale"))
+    return pose.select("cloud_id", "m", F.degrees(F.atan2(F.col("m")[4], F.col("m")[0])).alias("yaw_deg"), "per_scale")
+
+
+def register(source: DataFrame, target: DataFrame, reach: float, rounds: int = 20, tolerance: float = 1e-5, start: DataFrame | None = None) -> DataFrame:
     """Rigid alignment of each source cloud to the target with its id: ``cloud_id, m (4x4), rmse, pairs``.
 
+    start: ``cloud_id, m`` to begin with, the identity if it isn't given.
+
     Each round matches points to their nearest target within reach, sums the 3x3
     cross-covariance per cloud on the executors and solves it on one row a cloud.
     """
@@ -225,7 +293,7 @@ def register(source: DataFrame, target: DataFrame, reach: float, rounds: int = 2
         return pd.Series(out)
 
     identity = F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)])
-    pose = cut(source.select("cloud_id").distinct().withColumn("m", identity))
+    pose = cut(source.select("cloud_id").distinct().withColumn("m", identity) if start is None else start)
     last: float | None = None
     for _ in range(rounds):
         m = F.col("m")

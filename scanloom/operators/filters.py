@@ -14,9 +14,11 @@ BOUNDS = (("speed_ms", 0.5, 15.0), ("gimbal_pitch_deg", -90.0, 35.0), ("z", 2.0,
 
 def zone_verdicts(waypoints: DataFrame, zones: DataFrame) -> DataFrame:
     """Waypoints with ``allowed``: inside some inclusion zone of their mission if it has any, in no
-    no-fly zone, and (inspection rows) in no no-inspect zone."""
-    z = zones.select("mission_id", "zone_type", "center_x", "center_y", "center_z", "size_x", "size_y", "size_z")
-    inside = polygon.zone_contains(F.col("x"), F.col("y"), F.col("z"), (F.col("center_x"), F.col("center_y"), F.col("center_z")), (F.col("size_x"), F.col("size_y"), F.col("size_z")))
+    no-fly zone, and (inspection rows) in no no-inspect zone. Zones with a ``polygon`` of three corners
+    or more are that prism, others their box."""
+    ring = ["polygon"] if "polygon" in zones.columns else []
+    z = zones.select("mission_id", "zone_type", "center_x", "center_y", "center_z", "size_x", "size_y", "size_z", *ring)
+    inside = polygon.zone_contains(F.col("x"), F.col("y"), F.col("z"), (F.col("center_x"), F.col("center_y"), F.col("center_z")), (F.col("size_x"), F.col("size_y"), F.col("size_z")), F.col("polygon") if ring else None)
     hit = waypoints.join(small(z), "mission_id").groupBy("mission_id", "idx").agg(
         F.bool_or(F.col("zone_type") == "inclusion").alias("bounded"),
         F.bool_or((F.col("zone_type") == "inclusion") & inside).alias("included"),

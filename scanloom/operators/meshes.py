@@ -25,8 +25,10 @@ def box_meshes(buildings: DataFrame) -> DataFrame:
         sx, sy = ((-1, -1), (1, -1), (1, 1), (-1, 1))[k % 4]
         return vec.vec(hw * sx * c - hd * sy * s, hw * sx * s + hd * sy * c, F.col("height") if k > 3 else F.lit(0.0))
 
-    tri = F.array(*[F.struct(F.lit(i).alias("fid"), *[F.lit(v).alias(f"v{n}") for n, v in enumerate(t)], *[corner(v).alias(x) for x, v in zip("abc", t, strict=True)]) for i, t in enumerate(BOX)])
-    rows = buildings.select(F.col("building_id").alias("mesh_id"), F.inline(tri))
+    # A generator of one row: the corners are computed once, not in every triangle.
+    rows = buildings.select(F.col("building_id").alias("mesh_id"), F.inline(F.array(F.struct(*[corner(k).alias(f"p{k}") for k in range(8)]))))
+    tri = F.array(*[F.struct(F.lit(i).alias("fid"), *[F.lit(v).alias(f"v{n}") for n, v in enumerate(t)], *[F.col(f"p{v}").alias(x) for x, v in zip("abc", t, strict=True)]) for i, t in enumerate(BOX)])
+    rows = rows.select("mesh_id", F.inline(tri))
     return rows.select("mesh_id", "fid", "v0", "v1", "v2", *[F.col(f"{p}.{a}").alias(f"{p}{a}") for p in "abc" for a in "xyz"])
 
 
@@ -39,7 +41,7 @@ def with_normals(faces: DataFrame) -> DataFrame:
 
 
 def ray_distance(o: tuple[str, str, str], d: tuple[str, str, str]) -> Column:
-    """Distance along a unit ray to the triangle in scope, null where it misses (no eps border counts twice: half-open in u, v)."""
+    """Distance along a unit ray to the triangle in scope, null where it misses. A ray through a side hits both triangles."""
     col = F.col
     e1 = [col(f"b{a}") - col(f"a{a}") for a in "xyz"]
     e2 = [col(f"c{a}") - col(f"a{a}") for a in "xyz"]
@@ -51,24 +53,89 @@ def ray_distance(o: tuple[str, str, str], d: tuple[str, str, str]) -> Column:
     qx, qy, qz = ty * e1[2] - tz * e1[1], tz * e1[0] - tx * e1[2], tx * e1[1] - ty * e1[0]
     v = (dx * qx + dy * qy + dz * qz) / det
     t = (e2[0] * qx + e2[1] * qy + e2[2] * qz) / det
-    return F.when((F.abs(det) > 1e-12) & (u >= 0) & (v >= 0) & (u + v < 1) & (t > 1e-9), t)
+    return F.when((F.abs(det) > 1e-12) & (u >= -1e-12) & (v >= -1e-12) & (u + v <= 1 + 1e-12) & (t > 1e-9), t)
+
+
+def _crossed() -> Column:
+    """Whether a ray from (x, y, z) towards +x meets the triangle in scope: even-odd on its shadow on (y, z).
+
+    A side counts for the half-open range of its z, and is computed from its lower end whichever triangle asks, so that
+    of two triangles that share a side exactly one is met.
+    """
+    def side(u: str, v: str) -> tuple[Column, Column]:
+        first = F.struct(F.col(f"{u}z"), F.col(f"{u}y")) <= F.struct(F.col(f"{v}z"), F.col(f"{v}y"))
+        lo = lambda a: F.when(first, F.col(f"{u}{a}")).otherwise(F.col(f"{v}{a}"))
+        hi = lambda a: F.when(first, F.col(f"{v}{a}")).otherwise(F.col(f"{u}{a}"))
+        over = (lo("z") <= F.col("z")) & (F.col("z") < hi("z"))
+        at = lo("y") + (F.col("z") - lo("z")) * (hi("y") - lo("y")) / F.nullif(hi("z") - lo("z"), F.lit(0.0))
+        return over, at
+
+    count = F.lit(0)
+    for u, v in (("a", "b"), ("b", "c"), ("c", "a")):
+        over, at = side(u, v)
+        count = count + F.when(over & (F.col("y") < at), 1).otherwise(0)
+    e1, e2 = ([F.col(f"{q}{a}") - F.col(f"a{a}") for a in "xyz"] for q in "bc")
+    nx, ny, nz = e1[1] * e2[2] - e1[2] * e2[1], e1[2] * e2[0] - e1[0] * e2[2], e1[0] * e2[1] - e1[1] * e2[0]
+    ahead = F.col("ax") - (ny * (F.col("y") - F.col("ay")) + nz * (F.col("z") - F.col("az"))) / F.nullif(nx, F.lit(0.0)) > F.col("x")
+    return (count % 2 == 1) & F.coalesce(ahead, F.lit(False))
 
 
 def inside_mesh(points: DataFrame, faces: DataFrame, ids: list[str], cell: float = 4.0) -> DataFrame:
     """Points (``mesh_id, ids, x, y, z``) with ``inside``: an odd number of hits of a ray towards +x.
 
-    Triangles are filed under the (y, z) cells of their bounding box, so a point meets only those its ray can hit.
+    Triangles are filed under the (y, z) cells of their bounding box, so a point meets only those its ray can hit. Rays through
+    sides and corners count as they should; a point on the surface itself may be on either side. Points without a mesh are outside.
     """
     span = lambda a: F.sequence(F.floor(F.least(f"a{a}", f"b{a}", f"c{a}") / cell), F.floor(F.greatest(f"a{a}", f"b{a}", f"c{a}") / cell))
     filed = faces.withColumn("gy", F.explode(span("y"))).withColumn("gz", F.explode(span("z")))
-    p = points.select("mesh_id", *ids, "x", "y", "z", F.floor(F.col("y") / cell).alias("gy"), F.floor(F.col("z") / cell).alias("gz"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
-    hits = p.join(filed, ["mesh_id", "gy", "gz"]).where(ray_distance(("x", "y", "z"), ("dx", "dy", "dz")).isNotNull()).groupBy("mesh_id", *ids).agg(F.count_distinct("fid").alias("hits"))
+    p = points.select("mesh_id", *ids, "x", "y", "z", F.floor(F.col("y") / cell).alias("gy"), F.floor(F.col("z") / cell).alias("gz"))
+    hits = p.join(filed, ["mesh_id", "gy", "gz"]).where(_crossed()).groupBy("mesh_id", *ids).agg(F.count_distinct("fid").alias("hits"))
     return points.join(hits, ["mesh_id", *ids], "left").withColumn("inside", F.coalesce(F.col("hits") % 2 == 1, F.lit(False))).drop("hits")
 
 
+def _grids(faces: DataFrame) -> DataFrame:
+    """``mesh_id, gs, x0 .. z1``: a cell size that puts about one triangle of the mesh in a cell of its surface, and its box."""
+    box = [f(w(f"a{a}", f"b{a}", f"c{a}")).alias(f"{a}{k}") for a in "xyz" for k, f, w in ((0, F.min, F.least), (1, F.max, F.greatest))]
+    g = faces.groupBy("mesh_id").agg(F.count("*").alias("n"), *box)
+    most = F.greatest(*[F.col(f"{a}1") - F.col(f"{a}0") for a in "xyz"], F.lit(1e-6))
+    return g.withColumn("gs", most / F.greatest(F.lit(1.0), F.least(F.lit(256.0), F.floor(F.sqrt(F.col("n") / 6))))).drop("n")
+
+
+def ray_hits(rays: DataFrame, faces: DataFrame) -> DataFrame:
+    """Every hit of rays (``mesh_id, x, y, z, dx, dy, dz`` unit, any others; ``far`` bounds them if there) as columns of both and ``t``.
+
+    Rays are cut to the mesh's box and into pieces of one cell; pieces and triangles meet in the cells of their
+    boxes, so a ray is tested against what lies along it. A hit may come more than once.
+    """
+    grids = _grids(faces)
+    spans = lambda lo, hi: F.sequence(F.floor(lo / F.col("gs")).cast("int"), F.floor(hi / F.col("gs")).cast("int"))
+    filed = faces.join(grids.select("mesh_id", "gs", *[f"{a}0" for a in "xyz"]), "mesh_id")
+    for a in "xyz":
+        filed = filed.withColumn(f"g{a}", F.explode(spans(F.least(f"a{a}", f"b{a}", f"c{a}") - F.col(f"{a}0"), F.greatest(f"a{a}", f"b{a}", f"c{a}") - F.col(f"{a}0"))))
+    filed = filed.drop("gs", "x0", "y0", "z0")
+    r = rays.join(grids, "mesh_id")
+    enter, leave = [F.lit(0.0)], [F.col("far")] if "far" in rays.columns else []
+    for a in "xyz":
+        d = F.nullif(F.col(f"d{a}"), F.lit(0.0))
+        one, two = (F.col(f"{a}0") - F.col(a)) / d, (F.col(f"{a}1") - F.col(a)) / d
+        miss = d.isNull() & ((F.col(a) < F.col(f"{a}0") - 1e-9) | (F.col(a) > F.col(f"{a}1") + 1e-9))
+        enter.append(F.when(miss, float("inf")).otherwise(F.coalesce(F.least(one, two), F.lit(0.0))))
+        leave.append(F.coalesce(F.greatest(one, two), F.lit(float("inf"))))
+    # Generators of one row keep long expressions from being written out wherever they are used.
+    once = lambda **e: F.inline(F.array(F.struct(*[c.alias(n) for n, c in e.items()])))
+    r = r.select("*", once(t0=F.greatest(*enter) - 1e-6, t1=F.least(*leave) + 1e-6)).where("t0 <= t1 and t0 < double('infinity')")
+    r = r.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("t1") - F.col("t0")) / F.col("gs")).cast("int"))))
+    r = r.select("*", once(p0=F.col("t0") + F.col("piece") * F.col("gs"), p1=F.least(F.col("t1"), F.col("t0") + (F.col("piece") + 1) * F.col("gs"))))
+    for a in "xyz":
+        u, v = (F.col(a) + F.col(p) * F.col(f"d{a}") - F.col(f"{a}0") for p in ("p0", "p1"))
+        r = r.withColumn(f"g{a}", F.explode(spans(F.least(u, v) - 1e-6, F.greatest(u, v) + 1e-6)))
+    r = r.select(*rays.columns, "gx", "gy", "gz")
+    return r.join(filed, ["mesh_id", "gx", "gy", "gz"]).withColumn("t", ray_distance(("x", "y", "z"), ("dx", "dy", "dz"))).where("t is not null").drop("gx", "gy", "gz")
+
+
 def first_hits(rays: DataFrame, faces: DataFrame, ids: list[str]) -> DataFrame:
     """Rays (``mesh_id, ids, x, y, z, dx, dy, dz``, unit) with the distance ``hit`` of the nearest triangle (null: none)."""
-    d = rays.join(faces, "mesh_id").withColumn("t", ray_distance(("x", "y", "z"), ("dx", "dy", "dz"))).groupBy("mesh_id", *ids).agg(F.min("t").alias("hit"))
+    d = ray_hits(rays, faces).groupBy("mesh_id", *ids).agg(F.min("t").alias("hit"))
     return rays.join(d, ["mesh_id", *ids], "left")
 
 
@@ -78,8 +145,7 @@ def colliding_segments(waypoints: DataFrame, faces: DataFrame, margin: float = 0
     legs = waypoints.withColumns({f"n{a}": F.lead(a).over(w) for a in "xyz"}).where("nx is not null")
     n = F.sqrt(F.expr("(nx-x)*(nx-x)+(ny-y)*(ny-y)+(nz-z)*(nz-z)"))
     legs = legs.withColumn("len", n).where("len > 1e-9").select(F.col("building_id").alias("mesh_id"), "mission_id", "idx", "x", "y", "z", "len", *[((F.col(f"n{a}") - F.col(a)) / F.col("len")).alias(f"d{a}") for a in "xyz"])
-    t = ray_distance(("x", "y", "z"), ("dx", "dy", "dz"))
-    return legs.join(faces, "mesh_id").where((t > margin) & (t < F.col("len") - margin)).select("mission_id", "idx").distinct()
+    return ray_hits(legs.withColumn("far", F.col("len")), faces).where((F.col("t") > margin) & (F.col("t") < F.col("len") - margin)).select("mission_id", "idx").distinct()
 
 
 def surface_distance(points: DataFrame, faces: DataFrame, ids: list[str]) -> DataFrame:
@@ -125,22 +191,31 @@ def regions(faces: DataFrame, max_deg: float = 15.0) -> DataFrame:
 
 
 def surface_samples(faces: DataFrame, n: int) -> DataFrame:
-    """About n points a mesh, by area, at places drawn from a hash of (mesh, face, number): ``mesh_id, fid, k, x, y, z, fnx, fny, fnz``."""
+    """n points a mesh, dealt to its faces in order by their share of the area, at places drawn from a hash of (mesh, face, number): ``mesh_id, fid, k, x, y, z, fnx, fny, fnz``."""
     f = with_normals(faces).where("area > 0")
-    share = F.col("area") / F.sum("area").over(Window.partitionBy("mesh_id"))
-    f = f.withColumn("m", F.round(share * n).cast("int")).where("m > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    w = Window.partitionBy("mesh_id").orderBy("fid")
+    f = f.withColumn("upto", F.sum("area").over(w))
+    whole = F.max("upto").over(Window.partitionBy("mesh_id"))
+    count = lambda c: F.floor(c / whole * n + 1e-9)
+    f = f.withColumn("m", (count(F.col("upto")) - count(F.col("upto") - F.col("area"))).cast("int"))
+    f = f.where("m > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m"))))
     draw = lambda salt: F.pmod(F.xxhash64("mesh_id", "fid", "k", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
     f = f.withColumns({"r": F.sqrt(draw(1)), "s": draw(2)})
     at = lambda a: F.expr(f"(1-r)*a{a} + r*(1-s)*b{a} + r*s*c{a}").alias(a)
     return f.select("mesh_id", "fid", "k", at("x"), at("y"), at("z"), "fnx", "fny", "fnz")
 
 
-def visible_share(looks: DataFrame, faces: DataFrame, ids: list[str], spread: float = 0.3, tolerance: float = 0.5) -> DataFrame:
+def ray_spread(step: Column, extent: Column) -> Column:
+    """How far the outer rays of a look lie off its middle: 0.3 of the grid step, but within 0.4 of the face's extent (0.05 m at least)."""
+    return F.least(0.3 * step, F.greatest(F.lit(0.05), 0.4 * extent))
+
+
+def visible_share(looks: DataFrame, faces: DataFrame, ids: list[str], spread: Column | float = 0.3, tolerance: float = 0.5) -> DataFrame:
     """Looks (``mesh_id, ids, x, y, z, tx, ty, tz, ux, uy, uz, vx, vy, vz``) with ``visible``: the share of five rays, to the target
-    and to ``spread`` along u and v around it, that nothing stops more than ``tolerance`` short of their end. Looks without length get 0."""
-    offs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(((0.0, 0.0), (spread, 0.0), (-spread, 0.0), (0.0, spread), (0.0, -spread)))])
-    rays = looks.withColumn("o", F.explode(offs))
-    rays = rays.withColumns({f"e{a}": F.col(f"t{a}") + F.col("o.a") * F.col(f"u{a}") + F.col("o.b") * F.col(f"v{a}") - F.col(a) for a in "xyz"})
+    and to ``spread`` (see :func:`ray_spread`) along u and v around it, that nothing stops more than ``tolerance`` short of their end. Looks without length get 0."""
+    offs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(((0.0, 0.0), (1.0, 0.0), (-1.0, 0.0), (0.0, 1.0), (0.0, -1.0)))])
+    rays = looks.withColumn("spread", spread if isinstance(spread, Column) else F.lit(spread)).withColumn("o", F.explode(offs))
+    rays = rays.withColumns({f"e{a}": F.col(f"t{a}") + F.col("spread") * (F.col("o.a") * F.col(f"u{a}") + F.col("o.b") * F.col(f"v{a}")) - F.col(a) for a in "xyz"})
     rays = rays.withColumn("len", F.sqrt(F.expr("ex*ex + ey*ey + ez*ez"))).where("len > 1e-6")
     rays = rays.select("mesh_id", *ids, F.col("o.k").alias("k"), "x", "y", "z", "len", *[(F.col(f"e{a}") / F.col("len")).alias(f"d{a}") for a in "xyz"])
     seen = first_hits(rays, faces, [*ids, "k"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +40,39 @@ def aim_quality(waypoints: DataFrame, facades: DataFrame, reaches: tuple[float,
     return g.join(n, "mission_id").select("reach", "mission_id", "aimed", (F.col("aimed") / F.col("n") * 100).alias("aimed_pct"), "mean_weight")
 
 
-def cone_targets(waypoints: DataFrame, points: DataFrame, reach: float = 60.0, key: str = "building_id") -> DataFrame:
+def cone_targets(waypoints: DataFrame, points: DataFrame, reach: float = 60.0, key: str = "building_id", cell: float = 1.0) -> DataFrame:
     """The cloud point each camera looks at best: within reach (over 0.5 m) and 45 degrees of the view, most central, a
-    little nearer on ties: ``mission_id, idx, point_id, off_deg``. Points are thinned to one per metre first."""
-    thin = clouds.voxel_downsample(points.withColumnRenamed(key, "cloud_id"), 1.0, "first").withColumnRenamed("cloud_id", key)
+    little nearer on ties, then the lower id: ``mission_id, idx, point_id, off_deg``.
+
+    Cameras meet the cells of the cloud first. A cell has a bound that none of its points can beat, from its sphere, and the
+    score of one point of its own; only the points of cells that can still win are compared.
+    """
     fwd = angles.camera_forward(F.col("heading_deg"), F.col("gimbal_yaw_deg"), F.col("gimbal_pitch_deg"))
     w = waypoints.where("not is_transition").select(key, "mission_id", "idx", "x", "y", "z", fwd.alias("v"))
-    pairs = w.join(thin.select(key, "point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")), key)
+    cells = {f"c{a}": F.floor(F.col(a) / cell).cast("long") for a in "xyz"}
+    filed = points.select(key, "point_id", "x", "y", "z").withColumns(cells)
+    some = filed.groupBy(key, *cells).agg(F.min_by(F.struct(F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")), "point_id").alias("one"))
+    some = some.select(key, *cells, "one.*", *[((F.col(c) + 0.5) * cell).alias(a) for c, a in zip(cells, "xyz", strict=True)])
+    cosine = lambda d, n: vec.dot(d, F.col("a.v")) / F.nullif(n, F.lit(0.0))
+    least = F.cos(F.radians(F.lit(45.0)))
+    half = cell * math.sqrt(3) / 2
+    pairs = joins.within(w, some, reach + half, key)
+    from_camera = lambda x, y, z: vec.vec(F.col(x) - F.col("a.x"), F.col(y) - F.col("a.y"), F.col(z) - F.col("a.z"))
+    middle, own = from_camera("b.x", "b.y", "b.z"), from_camera("b.px", "b.py", "b.pz")
+    far = F.col("distance")
+    wide = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(middle, far)))) - F.asin(F.least(F.lit(1.0), half / far))
+    top = F.when(far <= half + 1e-6, F.lit(1.0)).otherwise(F.cos(F.greatest(F.lit(0.0), wide)))
+    d = vec.norm(own)
+    c = cosine(own, d)
+    mine = F.when((d > 0.5) & (d <= reach) & (c >= least), c - 0.001 * d / reach)
+    pairs = pairs.select(F.col(f"a.{key}").alias(key), "a.mission_id", "a.idx", *[F.col(f"b.{c}").alias(c) for c in cells], top.alias("top"), (top - 0.001 * F.greatest(F.lit(0.0), far - half) / reach).alias("bound"), mine.alias("own")).where(F.col("top") >= least - 1e-9)
+    best = F.max("own").over(Window.partitionBy("mission_id", "idx"))
+    open_ = pairs.withColumn("best", best).where(F.col("best").isNull() | (F.col("bound") >= F.col("best") - 1e-8)).select(key, "mission_id", "idx", *cells)
+    rows = open_.join(filed.select(key, *cells, "point_id", *[F.col(a).alias(f"p{a}") for a in "xyz"]), [key, *cells]).join(w, [key, "mission_id", "idx"])
     d = vec.sub(vec.at("px", "py", "pz"), vec.at())
-    pairs = pairs.withColumn("d", vec.norm(d)).where((F.col("d") > 0.5) & (F.col("d") <= reach)).withColumn("cos", vec.dot(d, F.col("v")) / F.col("d"))
+    rows = rows.withColumn("d", vec.norm(d)).where((F.col("d") > 0.5) & (F.col("d") <= reach)).withColumn("cos", vec.dot(d, F.col("v")) / F.col("d"))
     score = F.col("cos") - 0.001 * F.col("d") / reach
-    best = pairs.where(F.col("cos") >= F.cos(F.radians(F.lit(45.0)))).groupBy("mission_id", "idx").agg(F.max(F.struct(F.round(score, 9).alias("s"), (-F.col("point_id")).alias("p"), "cos")).alias("m"))
+    best = rows.where(F.col("cos") >= least).groupBy("mission_id", "idx").agg(F.max(F.struct(F.round(score, 9).alias("s"), (-F.col("point_id")).alias("p"), "cos")).alias("m"))
     return best.select("mission_id", "idx", (-F.col("m.p")).alias("point_id"), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("m.cos"))))).alias("off_deg"))
 
 

@@ -30,26 +30,18 @@ def voxel_first(spark, sf_dir):
     return rounded(clouds.voxel_downsample(pts(spark, sf_dir), 0.25, "first"))
 
 
-_CELLS = f"{PT}, v AS (SELECT cloud_id, min(point_id) AS point_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM (SELECT *, CAST(floor(x/0.4e0) AS BIGINT) AS ix, CAST(floor(y/0.4e0) AS BIGINT) AS iy, CAST(floor(z/0.4e0) AS BIGINT) AS iz FROM points) GROUP BY cloud_id, ix, iy, iz)"
-
-
-def thin(spark, sf_dir):
-    p = pts(spark, sf_dir)
-    k = [F.floor(F.col(a) / 0.4).cast("long").alias(f"i{a}") for a in "xyz"]
-    return p.groupBy("cloud_id", *k).agg(F.min("point_id").alias("point_id"), *[F.avg(a).alias(a) for a in "xyz"]).select("cloud_id", "point_id", "x", "y", "z")
-
-
-_NEAR = "n AS (SELECT a.cloud_id, a.point_id, b.point_id AS o, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) AS d FROM v a JOIN v b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id WHERE (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 <= 0.81e0)"
+@register("nn_spacing_defaults", f"WITH {PT}, v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY md5(cloud_id || '|' || point_id), point_id) AS rn FROM points) WHERE rn <= 5000), m AS (SELECT a.cloud_id, a.point_id, sqrt(min((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2)) AS d FROM v a JOIN points b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id GROUP BY ALL), s AS (SELECT cloud_id, median(greatest(0.01e0, least(0.3e0, d))) AS nn_m FROM m GROUP BY cloud_id) SELECT cloud_id, round(nn_m,6) AS nn_m, round(greatest(0.015e0, least(0.05e0, nn_m*0.5)),6) AS epsilon_m, round(greatest(0.1e0, least(0.5e0, nn_m*4)),6) AS cluster_m, CAST(greatest(25e0, least(250e0, round(0.3/(nn_m*nn_m)))) AS INT) AS min_points, round(greatest(0.03e0, least(0.15e0, nn_m*1.5)),6) AS mesh_voxel_m FROM s")
+def nn_spacing_defaults(spark, sf_dir):
+    return rounded(clouds.detection_defaults(clouds.nn_spacing(pts(spark, sf_dir), reach=0.3)))
 
 
-@register("nn_spacing_defaults", f"WITH {_CELLS}, {_NEAR}, m AS (SELECT cloud_id, point_id, min(d) AS d FROM n GROUP BY ALL), s AS (SELECT v.cloud_id, median(greatest(0.01e0, least(0.9e0, coalesce(d, 0.9e0)))) AS nn_m FROM v LEFT JOIN m USING (cloud_id, point_id) GROUP BY v.cloud_id) SELECT cloud_id, round(nn_m,6) AS nn_m, round(greatest(0.015e0, least(0.05e0, nn_m*0.5)),6) AS epsilon_m, round(greatest(0.1e0, least(0.5e0, nn_m*4)),6) AS cluster_m, CAST(greatest(25e0, least(250e0, round(0.3/(nn_m*nn_m)))) AS INT) AS min_points, round(greatest(0.03e0, least(0.15e0, nn_m*1.5)),6) AS mesh_voxel_m FROM s")
-def nn_spacing_defaults(spark, sf_dir):
-    return rounded(clouds.detection_defaults(clouds.nn_spacing(thin(spark, sf_dir), reach=0.9)))
+#: Every point has six others within a metre here.
+_KNN = f"{PT}, c AS (SELECT *, floor(x) AS cx, floor(y) AS cy, floor(z) AS cz FROM points), u AS (SELECT unnest([-1e0,0e0,1e0]) AS o), n AS (SELECT a.cloud_id, a.point_id, b.point_id AS o, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) AS d FROM (SELECT c.*, cx+i.o AS kx, cy+j.o AS ky, cz+k.o AS kz FROM c, u i, u j, u k) a JOIN c b ON a.cloud_id = b.cloud_id AND a.kx = b.cx AND a.ky = b.cy AND a.kz = b.cz AND a.point_id <> b.point_id WHERE (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 <= 1e0)"
 
 
-@register("statistical_outliers", f"WITH {_CELLS}, {_NEAR}, k AS (SELECT cloud_id, point_id, avg(d) AS m FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id, point_id ORDER BY d, o) AS r FROM n) WHERE r <= 6 GROUP BY ALL), l AS (SELECT cloud_id, avg(m) + 1.5e0*stddev_samp(m) AS lim FROM k GROUP BY cloud_id) SELECT cloud_id, point_id FROM k JOIN l USING (cloud_id) WHERE m <= lim")
+@register("statistical_outliers", f"WITH {_KNN}, k AS (SELECT cloud_id, point_id, avg(d) AS m FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id, point_id ORDER BY d, o) AS r FROM n) WHERE r <= 6 GROUP BY ALL), l AS (SELECT cloud_id, avg(m) + 1.5e0*stddev_samp(m) AS lim FROM k GROUP BY cloud_id) SELECT cloud_id, point_id FROM k JOIN l USING (cloud_id) WHERE m <= lim")
 def statistical_outliers(spark, sf_dir):
-    return clouds.remove_outliers(thin(spark, sf_dir), k=6, ratio=1.5, reach=0.9).select("cloud_id", "point_id")
+    return clouds.remove_outliers(pts(spark, sf_dir), k=6, ratio=1.5, reach=0.1).select("cloud_id", "point_id")
 
 
 @register("rigid_transform", f"WITH {PT} SELECT cloud_id, point_id, round(0.8e0*x-0.6e0*y+1,6)+0 AS x, round(0.6e0*x+0.8e0*y-2,6)+0 AS y, round(z+0.5e0,6)+0 AS z FROM points")
@@ -58,15 +50,17 @@ def rigid_transform(spark, sf_dir):
     return rounded(clouds.apply_transform(pts(spark, sf_dir), m).select("cloud_id", "point_id", "x", "y", "z"))
 
 
-@register("greedy_point_dedup", f"WITH RECURSIVE {_CELLS}, {_NEAR}, e AS (SELECT cloud_id, point_id AS hi, list(o) AS lows FROM n WHERE o < point_id AND d <= 0.35e0 GROUP BY ALL), o AS (SELECT v.cloud_id, v.point_id, lows, row_number() OVER (PARTITION BY v.cloud_id ORDER BY v.point_id) AS r FROM v LEFT JOIN e ON e.cloud_id = v.cloud_id AND e.hi = v.point_id), "
-          "g AS (SELECT cloud_id, r, [point_id] AS kept FROM o WHERE r = 1 UNION ALL SELECT o.cloud_id, o.r, CASE WHEN lows IS NOT NULL AND list_has_any(kept, lows) THEN kept ELSE list_append(kept, o.point_id) END FROM g JOIN o ON o.cloud_id = g.cloud_id AND o.r = g.r + 1), z AS (SELECT cloud_id, max(r) AS r FROM g GROUP BY cloud_id) SELECT cloud_id, unnest(kept) AS point_id FROM g JOIN z USING (cloud_id, r)")
+@register("greedy_point_dedup", f"WITH RECURSIVE {WP}, e AS (SELECT b.mission_id, b.idx AS hi, list(a.idx) AS lows FROM waypoints a JOIN waypoints b ON a.mission_id = b.mission_id AND a.idx < b.idx AND (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 <= 2.25e0 GROUP BY ALL), o AS (SELECT v.mission_id, v.idx, lows FROM waypoints v LEFT JOIN e ON e.mission_id = v.mission_id AND e.hi = v.idx), "
+          "g AS (SELECT mission_id, idx, [idx] AS kept FROM o WHERE idx = 0 UNION ALL SELECT o.mission_id, o.idx, CASE WHEN lows IS NOT NULL AND list_has_any(kept, lows) THEN kept ELSE list_append(kept, o.idx) END FROM g JOIN o ON o.mission_id = g.mission_id AND o.idx = g.idx + 1), z AS (SELECT mission_id, max(idx) AS idx FROM g GROUP BY mission_id) SELECT mission_id, unnest(kept) AS idx FROM g JOIN z USING (mission_id, idx)")
 def greedy_point_dedup(spark, sf_dir):
-    return clouds.greedy_dedupe(thin(spark, sf_dir), 0.35).select("cloud_id", "point_id")
+    """The positions of every mission, as its path takes them."""
+    p = view(spark, sf_dir, "waypoints").select(F.col("mission_id").alias("cloud_id"), F.col("idx").alias("point_id"), "x", "y", "z")
+    return clouds.greedy_dedupe(p, 1.5).select(F.col("cloud_id").alias("mission_id"), F.col("point_id").alias("idx"))
 
 
 @register("dbscan")
 def dbscan(spark, sf_dir):
-    return clouds.dbscan(thin(spark, sf_dir), 0.45, 4)
+    return clouds.dbscan(pts(spark, sf_dir), 0.12, 4)
 
 
 @register("grow_planes")
@@ -84,20 +78,23 @@ def convex_hulls(spark, sf_dir):
     return rounded(clouds.convex_hulls(pts(spark, sf_dir)))
 
 
-@register("register_clouds")
+@register("register_clouds", "SELECT cloud_id, true AS near FROM (SELECT DISTINCT l_suppkey % 4 AS cloud_id FROM lineitem)")
 def register_clouds(spark, sf_dir):
-    target = thin(spark, sf_dir)
-    turn = [0.9998477, -0.0174524, 0.0, 0.03, 0.0174524, 0.9998477, 0.0, -0.02, 0.0, 0.0, 1.0, 0.01, 0.0, 0.0, 0.0, 1.0]
-    found = clouds.register(clouds.apply_transform(target, turn), target, 0.6)
-    return found.select("cloud_id", "pairs", F.round("rmse", 4).alias("rmse"), *[F.round(F.col("m")[i], 4).alias(f"m{i}") for i in (0, 1, 3, 7, 11)])
+    """Every cloud against itself turned by 90 degrees and its number, and moved; the yaw is found to half a degree."""
+    p = pts(spark, sf_dir)
+    a = F.radians(90 + F.col("cloud_id"))
+    turned = p.withColumns({"x": F.col("x") * F.cos(a) - F.col("y") * F.sin(a) + 3, "y": F.col("x") * F.sin(a) + F.col("y") * F.cos(a) - 2, "z": F.col("z") + 0.5})
+    found = clouds.register_scales(turned, p)
+    off = F.pmod(F.col("yaw_deg") + 90 + F.col("cloud_id") + 180, F.lit(180.0))  # a box looks the same from behind
+    return found.select("cloud_id", ((off < 0.5) | (off > 179.5)).alias("near"))
 
 
-_EDGES = "SELECT l_partkey AS src, 10000000 + l_suppkey AS dst FROM lineitem WHERE l_orderkey % 40 = 0"
+_EDGES = "SELECT o_orderkey AS src, 10000000 + o_custkey AS dst FROM orders"
 
 
 @register("connected_components", f"WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), c AS (SELECT DISTINCT a AS n, a AS m FROM b UNION SELECT b.b, c.m FROM c JOIN b ON b.a = c.n WHERE c.m < b.b) SELECT n AS node, min(m) AS component FROM c GROUP BY n")
 def connected_components(spark, sf_dir):
-    pts(spark, sf_dir)  # registers lineitem
+    view(spark, sf_dir, "waypoints")  # registers orders
     return graph.connected_components(spark.sql(_EDGES))
 
 

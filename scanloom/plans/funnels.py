@@ -42,9 +42,9 @@ def generation_funnel(spark, sf_dir):
     return funnels.funnel([("planned", w), ("altitude", a), ("speed", b), ("deduplicated", joins.drop_cross_facade_duplicates(b, radius=2.58))], "mission_id")
 
 
-@register("weighted_mean_normal", f"WITH {FACADES_SQL}, s AS (SELECT building_id, sum(nx*width_m*height_m) AS sx, sum(ny*width_m*height_m) AS sy, sum(nz*width_m*height_m) AS sz FROM facades WHERE facade_index <> 1 GROUP BY building_id) SELECT building_id, round(sx/sqrt(sx*sx+sy*sy+sz*sz),6)+0 AS nx, round(sy/sqrt(sx*sx+sy*sy+sz*sz),6)+0 AS ny, round(sz/sqrt(sx*sx+sy*sy+sz*sz),6)+0 AS nz FROM s WHERE sqrt(sx*sx+sy*sy+sz*sz) >= 1e-9")
+@register("weighted_mean_normal", f"WITH {FACADES_SQL}, s AS (SELECT building_id, sum(nx*width_m*height_m) AS sx, sum(ny*width_m*height_m) AS sy, sum(nz*width_m*height_m) AS sz FROM facades GROUP BY building_id) SELECT building_id, round(sx/sqrt(sx*sx+sy*sy+sz*sz),6)+0 AS nx, round(sy/sqrt(sx*sx+sy*sy+sz*sz),6)+0 AS ny, round(sz/sqrt(sx*sx+sy*sy+sz*sz),6)+0 AS nz FROM s WHERE sqrt(sx*sx+sy*sy+sz*sz) >= 1e-9")
 def weighted_mean_normal(spark, sf_dir):
-    return rounded(funnels.weighted_mean_normal(facades(spark, sf_dir).where("facade_index <> 1"), "building_id", "area_m2"))
+    return rounded(funnels.weighted_mean_normal(facades(spark, sf_dir), "building_id", "area_m2"))
 
 
 @register("archive_bounds", f"WITH {RG}, {PT}, r AS (SELECT mission_id, max(x)-min(x) AS w, max(y)-min(y) AS d FROM rings GROUP BY mission_id), c AS (SELECT cloud_id AS mission_id, max(z)-min(z) AS h FROM points GROUP BY cloud_id) SELECT mission_id, round(coalesce(w,0),6)+0 AS width_m, round(coalesce(d,0),6)+0 AS depth_m, round(coalesce(h,0),6)+0 AS height_m FROM r FULL JOIN c USING (mission_id)")

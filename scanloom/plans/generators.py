@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanloom.functions import angles, geo
+from scanloom.functions import geo
 from scanloom.operators import aggregates, generate
 from scanloom.plans.common import FACADES_SQL, GRID_SQL, facades, rounded
 from scanloom.registry import register
@@ -94,12 +94,9 @@ def l_shaped_walls(spark, sf_dir):
     return rounded(generate.l_shaped_facades(view(spark, sf_dir, "buildings")).drop("vertices"))
 
 
-@register("direction_rollup", f"WITH {FACADES_SQL}, {GRID_SQL}, a AS (SELECT building_id, facade_index, nz, degrees(atan2(nx, ny)) - 360*floor(degrees(atan2(nx, ny))/360) AS az FROM facades), "
-          "d AS (SELECT *, CASE WHEN abs(nz) > 0.3 THEN 'roof' WHEN az >= 315 OR az < 45 THEN 'north' WHEN az < 135 THEN 'east' WHEN az < 225 THEN 'south' ELSE 'west' END AS direction FROM a WHERE abs(az - 45) > 1e-9 AND abs(az-135) > 1e-9 AND abs(az-225) > 1e-9 AND abs(az-315) > 1e-9), "
+@register("direction_rollup", f"WITH {FACADES_SQL}, {GRID_SQL}, a AS (SELECT building_id, facade_index, nz, round(degrees(atan2(nx, ny)) - 360*floor(degrees(atan2(nx, ny))/360), 9) AS az FROM facades), "
+          "d AS (SELECT *, CASE WHEN abs(nz) > 0.3 THEN 'roof' WHEN az >= 315 OR az < 45 THEN 'north' WHEN az < 135 THEN 'east' WHEN az < 225 THEN 'south' ELSE 'west' END AS direction FROM a), "
           "n AS (SELECT building_id, facade_index, count(*) AS n FROM grid GROUP BY ALL) SELECT building_id, direction, count(*) AS facades, CAST(sum(n) AS BIGINT) AS waypoints FROM d JOIN n USING (building_id, facade_index) GROUP BY building_id, direction")
 def direction_rollup(spark, sf_dir):
     f = facades(spark, sf_dir)
-    az = angles.azimuth(F.col("nx"), F.col("ny"))
-    # Faces exactly on a border between two sides are left to neither engine's rounding.
-    off = (F.abs(az - 45) > 1e-9) & (F.abs(az - 135) > 1e-9) & (F.abs(az - 225) > 1e-9) & (F.abs(az - 315) > 1e-9)
-    return aggregates.direction_rollup(f.where(off), generate.facade_waypoints(f))
+    return aggregates.direction_rollup(f, generate.facade_waypoints(f))

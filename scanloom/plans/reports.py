@@ -30,7 +30,7 @@ def aim_quality_sweep(spark, sf_dir):
 _FWD = "CASE WHEN gimbal_yaw_deg IS NULL THEN radians(heading_deg) ELSE radians(gimbal_yaw_deg) END"
 
 
-@register("camera_cone_targets", f"WITH {WP}, {PT}, t AS (SELECT cloud_id, arg_min(x, point_id) AS px, arg_min(y, point_id) AS py, arg_min(z, point_id) AS pz, min(point_id) AS point_id FROM points GROUP BY cloud_id, floor(x), floor(y), floor(z)), c AS (SELECT mission_id, idx, point_id, sqrt((px-x)**2+(py-y)**2+(pz-z)**2) AS d, ((px-x)*sin({_FWD})*cos(radians(gimbal_pitch_deg))+(py-y)*cos({_FWD})*cos(radians(gimbal_pitch_deg))+(pz-z)*sin(radians(gimbal_pitch_deg)))/sqrt((px-x)**2+(py-y)**2+(pz-z)**2) AS c FROM waypoints w JOIN t ON t.cloud_id = w.building_id WHERE NOT is_transition AND (px-x)**2+(py-y)**2+(pz-z)**2 > 0.25), r AS (SELECT *, row_number() OVER (PARTITION BY mission_id, idx ORDER BY round(c-0.001e0*d/60,9) DESC, point_id) AS n FROM c WHERE d <= 60 AND c >= cos(radians(45))) SELECT mission_id, idx, point_id, round(degrees(acos(greatest(-1e0,least(1e0,c)))),4)+0 AS off_deg FROM r WHERE n = 1")
+@register("camera_cone_targets", f"WITH {WP}, {PT}, t AS (SELECT cloud_id, x AS px, y AS py, z AS pz, point_id FROM points), c AS (SELECT mission_id, idx, point_id, sqrt((px-x)**2+(py-y)**2+(pz-z)**2) AS d, ((px-x)*sin({_FWD})*cos(radians(gimbal_pitch_deg))+(py-y)*cos({_FWD})*cos(radians(gimbal_pitch_deg))+(pz-z)*sin(radians(gimbal_pitch_deg)))/sqrt((px-x)**2+(py-y)**2+(pz-z)**2) AS c FROM waypoints w JOIN t ON t.cloud_id = w.building_id WHERE NOT is_transition AND (px-x)**2+(py-y)**2+(pz-z)**2 > 0.25), r AS (SELECT *, row_number() OVER (PARTITION BY mission_id, idx ORDER BY round(c-0.001e0*d/60,9) DESC, point_id) AS n FROM c WHERE d <= 60 AND c >= cos(radians(45))) SELECT mission_id, idx, point_id, round(degrees(acos(greatest(-1e0,least(1e0,c)))),4)+0 AS off_deg FROM r WHERE n = 1")
 def camera_cone_targets(spark, sf_dir):
     p = view(spark, sf_dir, "points").withColumnRenamed("cloud_id", "building_id")
     return reports.cone_targets(wps(spark, sf_dir), p).withColumn("off_deg", F.round("off_deg", 4) + 0.0)

@@ -42,13 +42,13 @@ def geo_transforms(spark, sf_dir):
 _FWD = "CASE WHEN gimbal_yaw_deg IS NULL THEN radians(heading_deg) ELSE radians(gimbal_yaw_deg) END"
 
 
-@register("angle_functions", f"WITH {WP} SELECT mission_id, idx, round({pmod360('(heading_deg*3+180)')}-180,6)+0 AS wrapped, round(CASE WHEN heading_deg > 180 THEN heading_deg-360 ELSE heading_deg END,6)+0 AS folded, round({fold180('(heading_deg-gimbal_yaw_deg)')},6)+0 AS delta, round({pmod360('(CASE WHEN facade_index = 0 THEN gimbal_yaw_deg ELSE heading_deg+gimbal_yaw_deg END+180)')}-180,6)+0 AS absolute_yaw, round(sin({_FWD})*cos(radians(gimbal_pitch_deg)),6)+0 AS fx, round(cos({_FWD})*cos(radians(gimbal_pitch_deg)),6)+0 AS fy, round(sin(radians(gimbal_pitch_deg)),6)+0 AS fz, round({pmod360('degrees(atan2(x,y))')},6)+0 AS azimuth, round(degrees(asin(least(1e0,abs(z)/20e0))),6) AS tilt, round(greatest(-90e0, least(35e0, gimbal_pitch_deg*1.2e0)),6)+0 AS clamped FROM waypoints WHERE x <> 0 OR y <> 0")
+@register("angle_functions", f"WITH {WP} SELECT mission_id, idx, round({pmod360('(heading_deg*3+180)')}-180,6)+0 AS wrapped, round(CASE WHEN heading_deg > 180 THEN heading_deg-360 ELSE heading_deg END,6)+0 AS folded, round({fold180('(heading_deg-gimbal_yaw_deg)')},6)+0 AS delta, round({pmod360('(CASE WHEN facade_index = 0 THEN gimbal_yaw_deg ELSE heading_deg+gimbal_yaw_deg END+180)')}-180,6)+0 AS absolute_yaw, round(sin({_FWD})*cos(radians(gimbal_pitch_deg)),6)+0 AS fx, round(cos({_FWD})*cos(radians(gimbal_pitch_deg)),6)+0 AS fy, round(sin(radians(gimbal_pitch_deg)),6)+0 AS fz, round({pmod360('degrees(atan2(x,y))')},6)+0 AS azimuth, round(degrees(asin(least(1e0,abs(z)/20e0))),6) AS tilt, round(greatest(-90e0, least(35e0, gimbal_pitch_deg*1.2e0)),6)+0 AS clamped FROM waypoints")
 def angle_functions(spark, sf_dir):
     c = F.col
     fwd = angles.camera_forward(c("heading_deg"), c("gimbal_yaw_deg"), c("gimbal_pitch_deg"))
     base = F.when(c("facade_index") == 0, "north").otherwise("aircraft")
     cols = {"wrapped": angles.to_pm180(c("heading_deg") * 3), "folded": angles.heading_fold(c("heading_deg")), "delta": angles.angle_delta(c("heading_deg"), c("gimbal_yaw_deg")), "absolute_yaw": angles.absolute_gimbal_yaw(base, c("heading_deg"), c("gimbal_yaw_deg")), "fx": fwd["x"], "fy": fwd["y"], "fz": fwd["z"], "azimuth": angles.azimuth(c("x"), c("y")), "tilt": angles.tilt_from_vertical(c("z") / 20), "clamped": angles.clamp_pitch(c("gimbal_pitch_deg") * 1.2)}
-    return view(spark, sf_dir, "waypoints").where("x <> 0 or y <> 0").select("mission_id", "idx", *[r6(v).alias(k) for k, v in cols.items()])
+    return view(spark, sf_dir, "waypoints").select("mission_id", "idx", *[r6(v).alias(k) for k, v in cols.items()])
 
 
 @register("polygon_functions", f"WITH rings AS ({VIEWS['rings']}), n AS (SELECT a.*, b.x AS bx, b.y AS b2 FROM rings a JOIN rings b ON a.mission_id = b.mission_id AND b.seq = (a.seq+1) % 6), a AS (SELECT mission_id, sum(x*b2-bx*y)/2 AS area, avg(x) AS mx, avg(y) AS my FROM n GROUP BY mission_id), e AS (SELECT r.mission_id, seq, mx+(x-mx)*(sqrt((x-mx)**2+(y-my)**2)+2)/sqrt((x-mx)**2+(y-my)**2) AS x, my+(y-my)*(sqrt((x-mx)**2+(y-my)**2)+2)/sqrt((x-mx)**2+(y-my)**2) AS y FROM rings r JOIN a USING (mission_id)) SELECT a.mission_id, round(any_value(area),6)+0 AS area, round(-any_value(area),6)+0 AS reversed_area, round(sum(p.x*q.y-q.x*p.y)/2,6)+0 AS wide_area FROM a JOIN e p USING (mission_id) JOIN e q ON q.mission_id = p.mission_id AND q.seq = (p.seq+1) % 6 GROUP BY a.mission_id")
