@@ -84,7 +84,7 @@ def register_clouds(spark, sf_dir):
     p = pts(spark, sf_dir)
     a = F.radians(90 + F.col("cloud_id"))
     turned = p.withColumns({"x": F.col("x") * F.cos(a) - F.col("y") * F.sin(a) + 3, "y": F.col("x") * F.sin(a) + F.col("y") * F.cos(a) - 2, "z": F.col("z") + 0.5})
-    found = clouds.register_scales(turned, p)
+    found = clouds.register_scales(turned, p, (0.6, 0.3), rounds=6)
     off = F.pmod(F.col("yaw_deg") + 90 + F.col("cloud_id") + 180, F.lit(180.0))  # a box looks the same from behind
     return found.select("cloud_id", ((off < 0.5) | (off > 179.5)).alias("near"))
 
