@@ -40,17 +40,25 @@ def whole_runs(batches: Iterator[pa.RecordBatch], columns: int, least: int = 100
     """Rows sorted by their first column, as lists of arrays in which no run of equal keys is cut."""
     import numpy as np
 
-    held: list | None = None
+    held: list[list] = []
+    rows = 0
+
+    def joined() -> list:
+        return [np.concatenate(c) for c in zip(*held, strict=True)]
+
     for batch in batches:
-        got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        held = got if held is None else [np.concatenate([x, y]) for x, y in zip(held, got, strict=True)]
-        if len(held[0]) < least or held[0][0] == held[0][-1]:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)])
+        rows += batch.num_rows
+        if rows < least or held[0][0][0] == held[-1][0][-1]:
             continue
-        last = int(np.searchsorted(held[0], held[0][-1]))
-        yield [x[:last] for x in held]
-        held = [x[last:] for x in held]
-    if held is not None and len(held[0]):
-        yield held
+        whole = joined()
+        last = int(np.searchsorted(whole[0], whole[0][-1]))
+        yield [x[:last] for x in whole]
+        held, rows = [[x[last:] for x in whole]], len(whole[0]) - last
+    if rows:
+        yield joined()
 
 
 def lookup(rows: DataFrame, found: DataFrame, on: list[str], total: int) -> DataFrame:

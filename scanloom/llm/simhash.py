@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import map_text
+from scanloom.llm.common import map_text, whole_runs
 from scanloom.operators.graph import connected_components
 from scanloom.session import cut
 
@@ -188,8 +188,6 @@ def _links(fp: np.ndarray, start: np.ndarray, filed: np.ndarray, size: np.ndarra
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by key and side: links of each run of equal keys."""
-    held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8)]
-
     def emit(key: np.ndarray, fp: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         size = np.diff(np.concatenate([start, [len(key)]]))
@@ -197,15 +195,8 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _links(fp, start, filed, size)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
 
-    for batch in batches:
-        got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        held = [np.concatenate([x, y]) for x, y in zip(held, got, strict=True)]
-        if len(held[0]) < 100_000 or held[0][0] == held[0][-1]:
-            continue
-        last = int(np.searchsorted(held[0], held[0][-1]))
-        yield emit(*(x[:last] for x in held))
-        held = [x[last:] for x in held]
-    yield emit(*held)
+    for key, fp, side in whole_runs(batches, 3):
+        yield emit(key, fp, side)
 
 
 def fingerprint_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
