@@ -55,12 +55,18 @@ def forget(df: DataFrame) -> None:
         delete_path(df.sparkSession, folder)
 
 
+#: Rows that go to Python together, instead of Spark's 10,000: whole texts are long, and two batches of them a core are in memory at once.
+BATCH_ROWS = 2_000
+
+
 def find_package(spark: SparkSession) -> None:
-    """Let Python workers on this machine import this package wherever the driver was started.
+    """Keep Arrow batches small unless the session says how large they are, and let Python workers on this machine import this package wherever the driver was started.
 
     On a cluster the package is installed or shipped with ``--py-files``; an extra path
     that isn't there does no harm.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (here, env.get("PYTHONPATH", "")) if x)
