@@ -43,7 +43,7 @@ BATCHES = 3
 MOST_RUNS = 1
 MANIFEST = "version int, buckets int, own array<string>, runs array<string>, texts array<string>"
 #: Distinct words whose hashes a worker remembers.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 50_000
 
 
 class WordHashes(dict):
@@ -70,6 +70,12 @@ class Windows:
         a = np.fromiter(map(Windows._words.__getitem__, words), np.uint64, n)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(a * Windows._up[:n], dtype=np.uint64)])
 
+    @classmethod
+    def forget(cls) -> None:
+        """Free what is remembered between texts."""
+        cls._words.clear()
+        cls._up = cls._down = np.ones(1, np.uint64)
+
     def hashes(self, k: int) -> np.ndarray:
         h = (self.sums[k:] - self.sums[:-k]) * Windows._down[: len(self.sums) - k]
         return h
@@ -148,6 +154,7 @@ def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, z, gone) -> key, n_words, n_removed, kept; gone: starts of removed windows, -1 for all, null for none."""
+    Windows.forget()  # no text is hashed any more, and the worker may serve other stages
     open_ = zstandard.ZstdDecompressor()
     for whole in batches:
         for lo in range(0, whole.num_rows, TEXT_ROWS):
