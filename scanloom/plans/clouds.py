@@ -78,15 +78,14 @@ def convex_hulls(spark, sf_dir):
     return rounded(clouds.convex_hulls(pts(spark, sf_dir)))
 
 
-@register("register_clouds", "SELECT cloud_id, true AS near FROM (SELECT DISTINCT l_suppkey % 4 AS cloud_id FROM lineitem)")
+@register("register_clouds")
 def register_clouds(spark, sf_dir):
-    """Every cloud against itself turned by 90 degrees and its number, and moved; the yaw is found to half a degree."""
+    """Every cloud against itself turned by 90 degrees and its number, and moved: the yaw found (from before or behind, which a box can't tell)."""
     p = pts(spark, sf_dir)
     a = F.radians(90 + F.col("cloud_id"))
     turned = p.withColumns({"x": F.col("x") * F.cos(a) - F.col("y") * F.sin(a) + 3, "y": F.col("x") * F.sin(a) + F.col("y") * F.cos(a) - 2, "z": F.col("z") + 0.5})
     found = clouds.register_scales(turned, p, (0.6, 0.3), rounds=6)
-    off = F.pmod(F.col("yaw_deg") + 90 + F.col("cloud_id") + 180, F.lit(180.0))  # a box looks the same from behind
-    return found.select("cloud_id", ((off < 0.5) | (off > 179.5)).alias("near"))
+    return found.select("cloud_id", F.round("yaw_deg", 3).alias("yaw_deg"), F.round(F.element_at("per_scale", -1)["fitness"], 4).alias("fitness"))
 
 
 _EDGES = "SELECT o_orderkey AS src, 10000000 + o_custkey AS dst FROM orders"
