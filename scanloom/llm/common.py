@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +15,44 @@ from pyspark.sql import functions as F
 TEXT_ROWS = 512
 #: Keys that hold a HOT-th of all rows or more are broadcast by :func:`lookup`: HOT of them at most.
 HOT = 4_000
+#: What this Python worker remembers from task to task, for one operator at a time.
+_REMEMBERED: dict[object, object] = {}
+T = TypeVar("T")
+
+
+def remembered(name: object, make: Callable[[], T]) -> T:
+    """The thing of this name, made when the worker first asks for it. What it remembered for others goes."""
+    if name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[name] = make()
+    return _REMEMBERED[name]
+
+
+def trim() -> None:
+    """Hand free memory back to the system; a worker that waits for its next task would hold it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if give:
+            give(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, in a worker that first forgets what it remembers for other operators and gives free memory back at the end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
+def _forget() -> None:
+    _REMEMBERED.clear()
+    trim()
 
 
 def map_text(df: DataFrame, key: str, text: str, schema: str, per_batch: Callable[[list, list], dict]) -> DataFrame:
@@ -33,7 +74,7 @@ def map_text(df: DataFrame, key: str, text: str, schema: str, per_batch: Callabl
                 got = per_batch(part.column(0).to_pylist(), texts)
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, out)
+    return df.select(F.col(key), F.col(text)).mapInArrow(tidy(run), out)
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], columns: int, least: int = 100_000) -> Iterator[list]:

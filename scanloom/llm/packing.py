@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import TEXT_ROWS
-from scanloom.llm.tokens import Encoder
+from scanloom.llm.common import TEXT_ROWS, trim
+from scanloom.llm.tokens import PIECES_KEPT, Encoder
 from scanloom.session import cut
 
 CAPACITY = 2048
@@ -20,18 +20,19 @@ CAPACITY = 2048
 GROUP = 50_000
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False, pieces_kept: int = PIECES_KEPT) -> DataFrame:
     """``key, piece, start, length, ids_crc32[, ids]``: each text's ids with end_id after them, cut only where longer than capacity.
 
     Null and blank texts are the end id alone; repeated rows give repeated pieces.
-    ids: little-endian unsigned 32-bit bytes.
+    ids: little-endian unsigned 32-bit bytes. pieces_kept: how many words a worker remembers the ids of; it
+    changes memory and time alone.
     """
     kind = dict(docs.dtypes)[key]
     end = np.array([end_id], "<u4").tobytes()
     names = ["key", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer, spaced=False)
+        encoder = Encoder.of(tokenizer, False, pieces_kept)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXT_ROWS):
                 part = whole.slice(at, TEXT_ROWS)
@@ -45,6 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                             c.append(x)
                 kinds = (part.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[: len(names)], kinds, strict=False)], names=names)
+        trim()
 
     shape = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, shape).withColumnRenamed("key", key)
@@ -146,9 +148,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP, key: st
     return dealt.groupBy("bin_group").applyInArrow(_pack_group(capacity), shape).withColumnRenamed("key", key)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", pieces_kept: int = PIECES_KEPT) -> DataFrame:
     """Pieces of all texts with their places in sequences of at most capacity tokens."""
-    return pack(cut(pieces(docs, tokenizer, end_id, capacity, key, text)), capacity, key=key)
+    return pack(cut(pieces(docs, tokenizer, end_id, capacity, key, text, pieces_kept=pieces_kept)), capacity, key=key)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

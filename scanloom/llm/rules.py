@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import TEXT_ROWS
+from scanloom.llm.common import TEXT_ROWS, tidy
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -97,7 +97,7 @@ def _measured(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*held, *cols], names=[*(f"c{i}" for i in range(len(carry))), *MEASURES])
 
     shape = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(carry)), *(f"{m} long" for m in MEASURES)])
-    return docs.mapInArrow(run, shape).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
+    return docs.mapInArrow(tidy(run), shape).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
 
 
 def mask(rules: tuple[str, ...]) -> int:

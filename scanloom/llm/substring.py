@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import TEXT_ROWS, lookup
+from scanloom.llm.common import TEXT_ROWS, lookup, tidy
 from scanloom.session import cut, delete_path, forget, kept, scratch_path
 
 WINDOW = 50
@@ -123,7 +123,7 @@ def staged(docs: DataFrame, key: str, text: str) -> DataFrame:
                 longs = [pa.array(x, pa.int64()) for x in (body, check, n_words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *longs, pa.array(z, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["key", "body", "check", "n_words", "z", "fps"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {kind}, body long, check long, n_words long, z binary, fps array<long>")
+    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(tidy(run), f"key {kind}, body long, check long, n_words long, z binary, fps array<long>")
 
 
 def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +311,7 @@ def add_batch(log: FingerprintLog, docs: DataFrame, key: str = "doc_id", text: s
     # The windows behind shared fingerprints, here and in the touched documents of the history.
     wanted = lookup(lead, found.where("shared").select("fp", "n"), ["fp"], found.agg(F.sum("n")).first()[0] or 0)
     wanted = kept(wanted.groupBy(*own).agg(F.collect_set("fp").alias("fps")), "wanted")
-    hash_ = lambda t, w: t.select(*own, "z").join(w, own).select(*own, "z", "fps").mapInArrow(_shared_windows, f"{shape}, at int, h long, v long")
+    hash_ = lambda t, w: t.select(*own, "z").join(w, own).select(*own, "z", "fps").mapInArrow(tidy(_shared_windows), f"{shape}, at int, h long, v long")
     windows = hash_(full, wanted).withColumn("old", F.lit(False))
     if log.live.runs:
         asked = found.where("old").select("fp")
@@ -327,7 +327,7 @@ def add_batch(log: FingerprintLog, docs: DataFrame, key: str = "doc_id", text: s
     spots = kept(spots.unionByName(copied.select(*own, F.array(F.lit(-1)).alias("gone"))), "gone")
 
     # The run: unshared fingerprints with their one holder, shared ones with the documents where a window of theirs is first.
-    left = full.select(*own, "z").join(wanted, own).join(spots, own, "left").select(*own, "z", "fps", "gone").mapInArrow(_first_here, f"fp long, {shape}").distinct()
+    left = full.select(*own, "z").join(wanted, own).join(spots, own, "left").select(*own, "z", "fps", "gone").mapInArrow(tidy(_first_here), f"fp long, {shape}").distinct()
     merged = found.alias("b").join(left.alias("w"), "fp", "left").where("not shared or w.key is not null")
     run = log.write(merged.select("fp", *[F.when(F.col("shared"), F.col(f"w.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in own]), "fp")
     log.append(run, texts)
@@ -341,14 +341,14 @@ def _result(rows: DataFrame, spots: DataFrame, key: str) -> DataFrame:
     """``key, n_words, n_removed, kept_text`` of staged rows."""
     shape = f"key {dict(rows.dtypes)['key']}, n_words long, n_removed long, kept_text string"
     own = [c for c in ("key", "body") if c in spots.columns]
-    return rows.select(*own, "z").join(spots, own, "left").select("key", "z", "gone").mapInArrow(_cut_out, shape).withColumnRenamed("key", key)
+    return rows.select(*own, "z").join(spots, own, "left").select("key", "z", "gone").mapInArrow(tidy(_cut_out), shape).withColumnRenamed("key", key)
 
 
 def _keyless(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows without a key, as they are."""
     rows = staged(docs.where(F.col(key).isNull()), key, text)
     shape = f"key {dict(rows.dtypes)['key']}, n_words long, n_removed long, kept_text string"
-    return rows.select("key", "z", F.lit(None).cast("array<int>").alias("gone")).mapInArrow(_cut_out, shape).withColumnRenamed("key", key)
+    return rows.select("key", "z", F.lit(None).cast("array<int>").alias("gone")).mapInArrow(tidy(_cut_out), shape).withColumnRenamed("key", key)
 
 
 def dedup_batch(log: FingerprintLog, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ from array import array
 
 import numpy as np
 
+from scanloom.llm.common import remembered
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words, and words with the ASCII white space before them; tokens never cross their ends.
@@ -20,7 +22,7 @@ EXOTIC = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x16
 #: lower form ends in a combining dot that belongs to the marks.
 MARKED = re.compile(r"(?s)(.*[A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,;:!?#$%&*|]+)")
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-#: Pieces whose ids a worker remembers, in each of two generations.
+#: Pieces whose ids a worker remembers, in each of two generations, unless told otherwise.
 PIECES_KEPT = 400_000
 #: Words that one call of the library encodes together.
 TOGETHER = 500
@@ -36,13 +38,11 @@ class Encoder:
     white space, so they lie whole in one piece.
     """
 
-    _open: dict[str, Encoder] = {}
-
-    def __init__(self, path: str, spaced: bool) -> None:
+    def __init__(self, path: str, spaced: bool, pieces_kept: int = PIECES_KEPT) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = spaced
+        self.spaced, self.pieces_kept = spaced, pieces_kept
         vocabulary = self.tokenizer.get_vocab()
         #: Ids that begin a word (spaced) or end one.
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -52,10 +52,8 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str, spaced: bool) -> Encoder:
-        if path not in cls._open:
-            cls._open[path] = cls(path, spaced)
-        return cls._open[path]
+    def of(cls, path: str, spaced: bool, pieces_kept: int = PIECES_KEPT) -> Encoder:
+        return remembered((path, spaced, pieces_kept), lambda: cls(path, spaced, pieces_kept))
 
     def cut(self, text: str) -> list[str]:
         if not self.spaced:  # other white space is dropped too; only these four marks aren't white space to the tokenizer
@@ -88,7 +86,7 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Make all pieces known."""
-        if len(self.known) > PIECES_KEPT:
+        if len(self.known) > self.pieces_kept:
             self.known, self.older = {}, self.known
         known, older, parts, small = self.known, self.older, {}, set()
         for p in pieces.difference(known):
