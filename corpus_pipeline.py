@@ -21,6 +21,8 @@ from scanloom.llm import mixing, packing, rules, simhash, substring
 from scanloom.session import find_package, scratch_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words that a worker of the last stage remembers, twice; fewer than op 2 alone, as executors hold the memory of the other stages too.
+PIECES_KEPT = 100_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
+    return packing.pack_documents(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), end_id=0, pieces_kept=PIECES_KEPT)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
