@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.functions import vec
+from scanloom.functions import polygon, vec
+from scanloom.operators import joins
 from scanloom.operators.graph import connected_components
 from scanloom.session import cut
 
@@ -245,3 +246,37 @@ def with_detours(waypoints: DataFrame, faces: DataFrame, clearance: float = 2.0,
     mid = inside_mesh(mid.withColumn("mesh_id", F.col("building_id")), faces, ["mission_id", "idx"]).where("not inside")
     both = waypoints.withColumn("idx", F.col("idx").cast("double")).unionByName(mid.select(*waypoints.columns))
     return both.withColumn("idx", F.row_number().over(w) - 1)
+
+
+def axis_swap(faces: DataFrame) -> DataFrame:
+    """Faces of files whose y axis points up: (x, -z, y)."""
+    return faces.withColumns({k: e for p in "abc" for k, e in ((f"{p}y", -F.col(f"{p}z")), (f"{p}z", F.col(f"{p}y")))})
+
+
+def auto_scale(faces: DataFrame, heights: DataFrame | None = None, tall: float = 50.0, usual: float = 8.0) -> DataFrame:
+    """Faces scaled so that their mesh is as high as ``mesh_id, height`` says; without a height, meshes over ``tall`` are made ``usual`` high.
+    Flat meshes keep their size."""
+    lo, hi = (f(g(*[f"{p}z" for p in "abc"])) for f, g in ((F.min, F.least), (F.max, F.greatest)))
+    rows = faces.groupBy("mesh_id").agg((hi - lo).alias("now"))
+    rows = rows.join(heights.select("mesh_id", "height"), "mesh_id", "left") if heights is not None else rows.withColumn("height", F.lit(None).cast("double"))
+    want = F.when(F.col("height") > 0, F.col("height")).when(F.col("now") > tall, F.lit(usual)).otherwise(F.col("now"))
+    scale = rows.select("mesh_id", F.when(F.col("now") > 0, want / F.col("now")).otherwise(F.lit(1.0)).alias("scale"))
+    return faces.join(scale, "mesh_id").withColumns({f"{p}{a}": F.col(f"{p}{a}") * F.col("scale") for p in "abc" for a in "xyz"}).drop("scale")
+
+
+def clip_mesh(faces: DataFrame, rings: DataFrame, margin: float = 1.0, least: int = 100) -> DataFrame:
+    """Faces whose middle lies in the ring ``mesh_id, ring`` of their mesh widened by margin; a mesh without a ring, or of which fewer than ``least`` faces would remain, stays whole."""
+    wide = rings.select("mesh_id", polygon.expand(F.col("ring"), F.lit(margin)).alias("ring"))
+    middle = lambda a: sum((F.col(f"{p}{a}") for p in "bc"), F.col(f"a{a}")) / 3
+    rows = faces.join(joins.small(wide), "mesh_id", "left").withColumn("in", F.coalesce((F.size("ring") < 3) | polygon.contains(F.col("ring"), middle("x"), middle("y")), F.lit(True))).drop("ring")
+    n = rows.groupBy("mesh_id").agg(F.count_if("in").alias("left"))
+    return rows.join(n, "mesh_id").where(F.col("in") | (F.col("left") < least)).drop("in", "left")
+
+
+def envelope_filter(facades: DataFrame, faces: DataFrame, reach: float = 2.0, key: str = "building_id") -> DataFrame:
+    """Faces of buildings (the mesh has the building's id) whose probe, ``reach`` before their centre, lies outside the mesh, numbered anew."""
+    probe = facades.select(F.col(key).alias("mesh_id"), "facade_index", *[(F.col(f"c{a}") + reach * F.col(f"n{a}")).alias(a) for a in "xyz"])
+    inner = inside_mesh(probe, faces, ["facade_index"]).where("inside").select(F.col("mesh_id").alias(key), "facade_index")
+    order = Window.partitionBy(key).orderBy("facade_index")
+    rows = facades.join(inner, [key, "facade_index"], "left_anti")
+    return rows.withColumn("facade_index", F.row_number().over(order) - 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -84,24 +87,42 @@ def photo_interval(waypoints: DataFrame, speed: float = 3.0, interval_s: float =
     return rows.where(F.col("same") & (F.col("d") / speed < interval_s) & (F.col("d") < least_m)).select("mission_id", "idx", F.col("d").alias("distance_m"))
 
 
+POSE = ("is_transition", "gimbal_pitch_deg", "gimbal_yaw_deg", "heading_deg")
+
+
+def fold_poses(rows: Iterable[tuple], state: tuple, pitch_deg: float, heading_deg: float) -> tuple[list[bool], list[bool], tuple]:
+    """(emit_gimbal, emit_heading, state) of POSE rows in order; state: the last commanded pitch, yaw and heading (null: none)."""
+    none = lambda v: v is None or v != v
+    turn = lambda a, b: abs((a - b + 180) % 360 - 180)
+    pitch, yaw, heading = state
+    gimbal, nose = [], []
+    for transit, p, y, h in rows:
+        a = b = False
+        if not transit:
+            a = none(pitch) or pitch_deg < 0 or (not none(p) and abs(p - pitch) > pitch_deg) or (not none(y) and not none(yaw) and turn(y, yaw) > pitch_deg)
+            b = none(heading) or heading_deg < 0 or (not none(h) and turn(h, heading) > heading_deg)
+            if a:
+                pitch, yaw = p, yaw if none(y) else y
+            if b:
+                heading = h
+        gimbal.append(a)
+        nose.append(b)
+    return gimbal, nose, (pitch, yaw, heading)
+
+
 def dedupe_poses(waypoints: DataFrame, pitch_deg: float = 5.0, heading_deg: float = 5.0) -> DataFrame:
     """Which rows command the gimbal and the heading anew: ``mission_id, idx, emit_gimbal, emit_heading``.
 
-    Each is compared with the last *commanded* value, so it is an ordered fold over
-    a mission's rows (65,535 at most). A missing yaw counts as unchanged; a
-    negative threshold switches folding off. Transit rows command nothing.
+    Each is compared with the last *commanded* value, so it is one ordered pass over
+    a mission's rows (65,535 at most by the hardware limit). A missing yaw, pitch or heading counts as
+    unchanged; a negative threshold switches folding off. Transit rows command nothing.
     """
-    item = F.struct("idx", "is_transition", "gimbal_pitch_deg", "gimbal_yaw_deg", "heading_deg")
-    rows = waypoints.groupBy("mission_id").agg(F.array_sort(F.collect_list(item)).alias("w"))
-    out = "array<struct<idx:int,emit_gimbal:boolean,emit_heading:boolean>>"
-    sql = f"""aggregate(w, named_struct('o', cast(array() as {out}), 'p', cast(null as double), 'y', cast(null as double), 'h', cast(null as double)),
-      (s, a) -> CASE WHEN a.is_transition THEN named_struct('o', concat(s.o, array(named_struct('idx', cast(a.idx as int), 'emit_gimbal', false, 'emit_heading', false))), 'p', s.p, 'y', s.y, 'h', s.h)
-      ELSE named_struct(
-        'o', concat(s.o, array(named_struct('idx', cast(a.idx as int),
-            'emit_gimbal', s.p is null or {pitch_deg} < 0 or abs(a.gimbal_pitch_deg - s.p) > {pitch_deg} or coalesce(abs(pmod(a.gimbal_yaw_deg - s.y + 180, 360) - 180) > {pitch_deg}, false),
-            'emit_heading', s.h is null or {heading_deg} < 0 or abs(pmod(a.heading_deg - s.h + 180, 360) - 180) > {heading_deg}))),
-        'p', CASE WHEN s.p is null or {pitch_deg} < 0 or abs(a.gimbal_pitch_deg - s.p) > {pitch_deg} or coalesce(abs(pmod(a.gimbal_yaw_deg - s.y + 180, 360) - 180) > {pitch_deg}, false) THEN a.gimbal_pitch_deg ELSE s.p END,
-        'y', CASE WHEN s.p is null or {pitch_deg} < 0 or abs(a.gimbal_pitch_deg - s.p) > {pitch_deg} or coalesce(abs(pmod(a.gimbal_yaw_deg - s.y + 180, 360) - 180) > {pitch_deg}, false) THEN coalesce(a.gimbal_yaw_deg, s.y) ELSE s.y END,
-        'h', CASE WHEN s.h is null or {heading_deg} < 0 or abs(pmod(a.heading_deg - s.h + 180, 360) - 180) > {heading_deg} THEN a.heading_deg ELSE s.h END) END,
-      s -> s.o)"""
-    return rows.select("mission_id", F.inline(F.expr(sql)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx", kind="stable")
+        a, b, _ = fold_poses(zip(*(pdf[c].tolist() for c in POSE), strict=True), (None, None, None), pitch_deg, heading_deg)
+        return pd.DataFrame({"mission_id": pdf["mission_id"], "idx": pdf["idx"], "emit_gimbal": a, "emit_heading": b})
+
+    kind = dict(waypoints.dtypes)
+    shape = f"mission_id {kind['mission_id']}, idx {kind['idx']}, emit_gimbal boolean, emit_heading boolean"
+    return waypoints.select("mission_id", "idx", *POSE).groupBy("mission_id").applyInPandas(run, shape)

@@ -76,6 +76,28 @@ def cone_targets(waypoints: DataFrame, points: DataFrame, reach: float = 60.0, k
     return best.select("mission_id", "idx", (-F.col("m.p")).alias("point_id"), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("m.cos"))))).alias("off_deg"))
 
 
+def aim_verification(waypoints: DataFrame, targets: DataFrame, max_aim_deg: float = 15.0, jump_deg: float = 30.0) -> DataFrame:
+    """One row a mission: inspection rows, those without a target, those within max_aim_deg of it, the spread of the
+    aim error, of the pitch and of the changes of pitch and yaw between neighbours among the inspection rows.
+
+    targets: :func:`cone_targets`. Shares are of all inspection rows, that of jumps of all neighbours; a mission of one row has no jumps.
+    """
+    look = waypoints.where("not is_transition").withColumn("yaw", F.coalesce("gimbal_yaw_deg", "heading_deg"))
+    back = lambda c: F.lag(c).over(paths.path())
+    look = look.withColumns({"dp": F.abs(F.col("gimbal_pitch_deg") - back("gimbal_pitch_deg")), "dy": angles.angle_delta(F.col("yaw"), back("yaw"))})
+    rows = look.join(targets.select("mission_id", "idx", "off_deg"), ["mission_id", "idx"], "left")
+    p = F.col("gimbal_pitch_deg")
+    g = rows.groupBy("mission_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("off_deg").isNull()).alias("no_hit"), F.count_if(F.col("off_deg") <= max_aim_deg).alias("on_target"),
+        F.median("off_deg").alias("aim_median"), F.avg("off_deg").alias("aim_mean"), F.percentile("off_deg", 0.9).alias("aim_p90"), F.max("off_deg").alias("aim_max"),
+        F.count_if(p > 25).alias("pitch_up"), F.count_if(p < -85).alias("pitch_down"), F.count_if((p > -30) & (p < 10)).alias("pitch_level"),
+        F.median("dp").alias("pitch_jump_median"), F.percentile("dp", 0.9).alias("pitch_jump_p90"), F.median("dy").alias("yaw_jump_median"), F.percentile("dy", 0.9).alias("yaw_jump_p90"),
+        F.count_if(F.col("dy") > jump_deg).alias("yaw_jumps"),
+    )
+    share = lambda c: F.col(c) / F.col("n") * 100
+    return g.withColumns({"no_hit_pct": share("no_hit"), "on_target_pct": share("on_target"), "yaw_jumps_pct": F.col("yaw_jumps") / F.nullif(F.col("n") - 1, F.lit(0)) * 100})
+
+
 def latest(rows: DataFrame, key: list[str], when: str, tie: str) -> DataFrame:
     """The last written row of every key."""
     w = Window.partitionBy(*key).orderBy(F.desc(when), F.desc(tie))

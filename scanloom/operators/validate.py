@@ -60,6 +60,18 @@ def issues(missions: DataFrame, waypoints: DataFrame, facades: DataFrame, zones:
     return reduce(DataFrame.unionByName, found)
 
 
+def filter_issues(clipped: DataFrame, blocked: DataFrame, collisions: DataFrame, resolved: DataFrame, disabled: DataFrame) -> DataFrame:
+    """Findings about what filters did, one a mission: rows ``mission_id, idx`` clipped at the area's edge, blocked by the
+    cloud, legs that still meet the mesh, legs that a detour mended, and disabled faces ``mission_id, facade_index``."""
+    return reduce(DataFrame.unionByName, [
+        _finding(clipped, 14, "warning", "mapping_polygon_clipped", 5),
+        _finding(blocked, 15, "warning", "pointcloud_obstacle", 5),
+        _finding(collisions, 16, "warning", "path_collision", 5),
+        _finding(resolved, 17, "info", "path_collision_resolved", 5),
+        _finding(disabled.withColumnRenamed("facade_index", "idx"), 18, "info", "facades_disabled", 5),
+    ])
+
+
 def ranked(found: DataFrame) -> DataFrame:
     """Worst severity first, then in rule order, within each mission: adds ``position``."""
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), F.col("severity"))

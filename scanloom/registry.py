@@ -25,6 +25,11 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def twin(name: str) -> str:
+    """The SQL of a query that is registered already, as a part of another's."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     from scanloom import plans
 

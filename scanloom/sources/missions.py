@@ -54,8 +54,8 @@ def archives(xml: DataFrame) -> DataFrame:
 
 
 def read_archives(files: DataFrame) -> DataFrame:
-    """``archive_id, kind, text, error`` members of archives ``archive_id, content``: template and waylines by
-    suffix (the last match wins), archives inside archives only where neither is there; a row with an error where
+    """``archive_id, kind, text, error, data`` members of archives ``archive_id, content``: template, waylines, scan description
+    and cloud (its bytes in ``data``) by suffix (the last match wins), archives inside archives only where neither is there; a row with an error where
     no route is found."""
     def members(content: bytes, depth: int = 0) -> dict[str, bytes]:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -67,7 +67,11 @@ def read_archives(files: DataFrame) -> DataFrame:
                     got["template"] = z.read(name)
                 elif low.endswith("waylines.wpml"):
                     got["waylines"] = z.read(name)
-            if not got and depth < 2:
+                elif low.endswith("sfm_geo_desc.json"):
+                    got["geo_desc"] = z.read(name)
+                elif low.endswith("cloud.ply"):
+                    got["cloud"] = z.read(name)
+            if not got.keys() & {"template", "waylines"} and depth < 2:
                 for name in names:
                     if name.lower().endswith((".kmz", ".zip")):
                         got = members(z.read(name), depth + 1)
@@ -81,12 +85,12 @@ def read_archives(files: DataFrame) -> DataFrame:
                     got = members(bytes(content))
                     if "waylines" not in got:
                         raise ValueError("no route")
-                    rows += [(k, kind, x.decode("utf-8"), None) for kind, x in got.items()]
+                    rows += [(k, kind, None, None, x) if kind == "cloud" else (k, kind, x.decode("utf-8"), None, None) for kind, x in got.items()]
                 except (ValueError, zipfile.BadZipFile) as e:
-                    rows.append((k, "error", None, str(e)))
-            yield pd.DataFrame(rows, columns=["archive_id", "kind", "text", "error"])
+                    rows.append((k, "error", None, str(e), None))
+            yield pd.DataFrame(rows, columns=["archive_id", "kind", "text", "error", "data"])
 
-    return files.select("archive_id", "content").mapInPandas(run, f"archive_id {dict(files.dtypes)['archive_id']}, kind string, text string, error string")
+    return files.select("archive_id", "content").mapInPandas(run, f"archive_id {dict(files.dtypes)['archive_id']}, kind string, text string, error string, data binary")
 
 
 def parse_waylines(members: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scanloom.operators import paths
+
 WATERMARK = "10 minutes"
 
 
@@ -79,6 +81,24 @@ def state_intervals_batch(events: DataFrame) -> DataFrame:
     return g.select("flight_id", "mission_state", "entered", F.coalesce(nxt, "last").alias("left"), "events")
 
 
+POSES_OUT = "mission_id long, idx int, emit_gimbal boolean, emit_heading boolean"
+
+
+def pose_commands(waypoints: DataFrame, pitch_deg: float = 5.0, heading_deg: float = 5.0) -> DataFrame:
+    """:func:`scanloom.operators.paths.dedupe_poses` of a stream: a mission's state is its last commanded pitch, yaw and heading.
+
+    Rows of one trigger are taken in index order; a row that comes after a later one was taken is folded when it comes.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches)).sort_values("idx", kind="stable")
+        gimbal, nose, last = paths.fold_poses(zip(*(pdf[c].tolist() for c in paths.POSE), strict=True), state.getOption or (None, None, None), pitch_deg, heading_deg)
+        state.update(tuple(None if v is None or v != v else float(v) for v in last))
+        yield pd.DataFrame({"mission_id": key[0], "idx": pdf["idx"], "emit_gimbal": gimbal, "emit_heading": nose})
+
+    return waypoints.select("mission_id", "idx", *paths.POSE).groupBy("mission_id").applyInPandasWithState(run, POSES_OUT, "p double, y double, h double", "append", GroupStateTimeout.NoTimeout)
+
+
 def voxel_accumulation(points: DataFrame, size: float) -> DataFrame:
     """Running mean of each cell, for update mode."""
     cells = [F.floor(F.col(a) / size).cast("long").alias(f"i{a}") for a in "xyz"]
