@@ -27,9 +27,10 @@ def nearest_neighbour_tour(groups: DataFrame, key: str = "mission_id") -> DataFr
     mid = "sqrt((g.fx+g.lx)*(g.fx+g.lx)+(g.fy+g.ly)*(g.fy+g.ly)+(g.fz+g.lz)*(g.fz+g.lz))/2"
     start = f"array_min(transform(groups, g -> struct({mid} as d, g.g as g)))"
     cost = f"least({_d('s.at.l', 'g.f')}, {_d('s.at.l', 'g.l')})"
-    step = f"""aggregate(sequence(2, size(groups)), named_struct('o', array(first), 'at', element_at(filter(groups, g -> g.g = first), 1)),
-      (s, i) -> named_struct('o', concat(s.o, array(array_min(transform(filter(groups, g -> not array_contains(s.o, g.g)), g -> struct({cost} as d, g.g as g))).g)),
-        'at', element_at(filter(groups, h -> h.g = array_min(transform(filter(groups, g -> not array_contains(s.o, g.g)), g -> struct({cost} as d, g.g as g))).g), 1)),
+    near = f"array_min(transform(s.rest, g -> struct({cost} as d, g.g as g, g as w)))"
+    # Each step looks at the faces that are left once.
+    step = f"""aggregate(sequence(2, size(groups)), named_struct('o', array(first), 'at', element_at(filter(groups, g -> g.g = first), 1), 'rest', filter(groups, g -> g.g <> first)),
+      (s, i) -> element_at(transform(array({near}), b -> named_struct('o', concat(s.o, array(b.g)), 'at', b.w, 'rest', filter(s.rest, g -> g.g <> b.g))), 1),
       s -> s.o)"""
     rows = groups.withColumn("first", F.expr(f"{start}.g"))
     order = F.when(F.size("groups") <= 2, F.transform("groups", lambda g: g["g"])).otherwise(F.expr(step))
