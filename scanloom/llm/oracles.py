@@ -96,3 +96,66 @@ pp AS (SELECT db.doc_id, db.source, n_tokens, epoch, db.block, tokens, room, bef
 SELECT doc_id, source, n_tokens, CAST(epoch AS INT) AS epoch, block, epoch * tokens + spot AS start
 FROM pp WHERE spot < room OR epoch = 0
 """
+
+# crc32 of decimal digits: a table of 256 entries made by the rule, then one step a byte.
+CRC = r"""
+RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+CRC_OF = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT))), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP11 = rf"""
+WITH {CRC},
+d AS (SELECT doc_id, source, {_leaf("text")} AS leaf,
+        CASE WHEN {CRC_OF.format("doc_id")} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS now FROM documents, crc_table),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (SELECT source, 0 AS lev, k, n, leaf AS h FROM l UNION ALL
+      SELECT source, lev + 1, k // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY k)) FROM t WHERE n > 1 GROUP BY source, lev, k // 16, n),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS k, count(*) OVER () AS n, lev AS height FROM t WHERE n = 1),
+u AS (SELECT 0 AS lev, k, n, subroot AS h FROM s UNION ALL
+      SELECT lev + 1, k // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY k)) FROM u WHERE n > 1 GROUP BY lev, k // 16, n),
+nodes AS (SELECT source, lev, k, h, n, false AS top FROM t UNION ALL SELECT NULL, lev, k, h, n, true FROM u),
+sib AS (SELECT a.top, a.source, a.lev, a.k, coalesce(string_agg(b.h, '' ORDER BY b.k) FILTER (b.k < a.k), '') AS l,
+          coalesce(string_agg(b.h, '' ORDER BY b.k) FILTER (b.k > a.k), '') AS r
+        FROM nodes a JOIN nodes b ON a.top = b.top AND a.source IS NOT DISTINCT FROM b.source AND a.lev = b.lev AND a.k // 16 = b.k // 16 WHERE a.n > 1 GROUP BY ALL),
+f AS (SELECT doc_id, leaf, s.subroot, height, s.k AS sk, source, CAST(0 AS BIGINT) AS lev, l.k AS k, now AS h, '' AS p
+      FROM l JOIN s USING (source) WHERE source IS NOT NULL
+      UNION ALL SELECT doc_id, leaf, s.subroot, height, s.k, l.source, 0, l.k, now, '' FROM l JOIN s ON l.source IS NULL AND s.source IS NULL
+      UNION ALL
+      SELECT f.doc_id, f.leaf, f.subroot, f.height, f.sk, f.source, f.lev + 1, CASE WHEN f.lev + 1 = f.height THEN f.sk ELSE f.k // 16 END, sha256(sib.l || f.h || sib.r), f.p || sib.l || sib.r
+      FROM f JOIN sib ON NOT sib.top AND f.lev < f.height AND sib.source IS NOT DISTINCT FROM f.source AND sib.lev = f.lev AND sib.k = f.k),
+g AS (SELECT doc_id, leaf, subroot, 0 AS lev, sk AS k, h, p FROM f WHERE lev = height
+      UNION ALL
+      SELECT g.doc_id, g.leaf, g.subroot, g.lev + 1, g.k // 16, sha256(sib.l || g.h || sib.r), g.p || sib.l || sib.r FROM g JOIN sib ON sib.top AND sib.lev = g.lev AND sib.k = g.k)
+SELECT doc_id, leaf, subroot, root, sha256(p) AS proof_sha256, g.h AS folded_root, g.h = root AS verified
+FROM g JOIN (SELECT lev, h AS root FROM u WHERE n = 1) USING (lev)
+"""
+
+OP12 = rf"""
+WITH {CRC},
+c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, {CRC_OF.format("conv_id")} % 6 AS h, conv_id - ((conv_id % 100) + 100) % 100 AS base FROM (SELECT DISTINCT conv_id FROM c), crc_table),
+r AS (SELECT k.conv_id, 0 AS part, p, role, text FROM k JOIN c ON c.conv_id = k.base AND p < h
+      UNION ALL SELECT conv_id, 1, p, role, text FROM k JOIN c USING (conv_id) WHERE p >= h),
+e AS (SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars,
+        md5(string_agg(md5(role) || md5(text), '' ORDER BY part, p) OVER (PARTITION BY conv_id ORDER BY part, p ROWS UNBOUNDED PRECEDING)) AS pre FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, p)),
+f AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS len FROM e
+      UNION ALL SELECT conv_id, 0, 0, '', (SELECT count(*) FROM r WHERE r.conv_id = k.conv_id) FROM k),
+n AS (SELECT depth, pre, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len) AS ends FROM f GROUP BY depth, pre),
+-- A node's prefixes are those of any member.
+up AS (SELECT n.depth, n.pre, a.depth AS d, a.pre AS ap FROM n JOIN f a ON a.conv_id = n.conv_id AND a.depth <= n.depth),
+kid AS (SELECT d AS depth, ap AS pre, count(*) AS n_children FROM up WHERE d = depth - 1 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kid USING (depth, pre)),
+sub AS (SELECT up.d AS depth, up.ap AS pre, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM up JOIN m ON m.depth = up.depth AND m.pre = up.pre GROUP BY ALL),
+par AS (SELECT up.depth, up.pre, n.conv_id AS parent_conv_id FROM up JOIN n ON n.depth = up.d AND n.pre = up.ap WHERE up.d = up.depth - 1)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM m JOIN sub USING (depth, pre) LEFT JOIN par USING (depth, pre)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import embeddings, mixing, oracles, packing, planes, quality, rules, sharding, simhash, substring, toxicity
+from scanloom.llm import embeddings, manifest, mixing, oracles, packing, planes, prefixes, quality, rules, sharding, simhash, slack, substring, toxicity
 from scanloom.session import table
 
 #: Production shards of op4.
@@ -65,9 +65,23 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf against the manifest, where a fifth of the documents are tampered with."""
+    made = manifest.manifest(table(spark, sf_dir, "documents"), now={"text": manifest.lower_fifth()})
+    return manifest.verified(made)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.shared_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_minimum_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack.pack_tightly(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_rule_ledger, rule_ablations, op2_best_two_fit, op3_fingerprint_log, op4_lookup_shards, op5_itq_embeddings, op6_bit_planes, op7_noisy_channel, op8_simhash_golay, op9_rule_ensemble, op10_temperature_mix)
+    for f in (op1_rule_ledger, rule_ablations, op2_best_two_fit, op3_fingerprint_log, op4_lookup_shards, op5_itq_embeddings, op6_bit_planes, op7_noisy_channel, op8_simhash_golay, op9_rule_ensemble, op10_temperature_mix, op11_merkle_manifest, op12_prefix_trie, op13_minimum_slack)
 }
 
 ORACLES: dict[str, str] = {
@@ -76,4 +90,6 @@ ORACLES: dict[str, str] = {
     "op3_fingerprint_log": oracles.OP3,
     "op5_itq_embeddings": oracles.OP5,
     "op10_temperature_mix": oracles.OP10,
+    "op11_merkle_manifest": oracles.OP11,
+    "op12_prefix_trie": oracles.OP12,
 }
