@@ -18,13 +18,31 @@ _M = lambda lat: f"111132.92e0-559.82e0*cos(2*radians({lat}))+1.175e0*cos(4*radi
 _K = lambda lat: f"111412.84e0*cos(radians({lat}))-93.5e0*cos(3*radians({lat}))"
 
 
+def _capture_xml(w):
+    """Routes as capture flights write them: heading and gimbal stand in the placemark, the yaw base once before, an area beside the rows, no actions."""
+    n = lambda c: F.format_string("%.8f", c)
+    tag = lambda name, *inner: F.concat(F.lit(f"<wpml:{name}>"), *inner, F.lit(f"</wpml:{name}>"))
+    place = F.concat(
+        F.lit("<Placemark>\n  <Point><coordinates>\n    "), n(F.col("lon")), F.lit(","), n(F.col("lat")), F.lit("\n  </coordinates></Point>"), tag("index", F.col("idx").cast("string")), tag("executeHeight", n(F.col("alt"))), tag("waypointSpeed", n(F.col("speed_ms"))),
+        tag("waypointHeadingParam", tag("waypointHeadingMode", F.lit("followWayline")), tag("waypointHeadingAngle", n(F.col("heading_deg")))),
+        tag("waypointGimbalHeadingParam", tag("waypointGimbalHeadingMode", F.lit("fixed")), tag("waypointGimbalPitchAngle", n(F.col("gimbal_pitch_deg"))), tag("waypointGimbalYawAngle", n(F.coalesce("gimbal_yaw_deg", F.lit(0.0))))), F.lit("</Placemark>"),
+    )
+    g = w.groupBy("mission_id").agg(F.array_sort(F.collect_list(F.struct("idx", place.alias("place")))).alias("p"))
+    start = F.when(F.col("mission_id") % 2 == 0, "<wpml:startActionGroup><wpml:action><wpml:actionActuatorFuncParam><wpml:gimbalHeadingYawBase> north </wpml:gimbalHeadingYawBase></wpml:actionActuatorFuncParam></wpml:action></wpml:startActionGroup>").otherwise("")
+    area = "<Placemark><Point><coordinates>\n5.0,52.0,1\n5.1,52.0,1\n5.1,52.1,1\n</coordinates></Point></Placemark>"
+    xml = F.concat(F.lit('<?xml version="1.0"?>\n<kml xmlns="k" xmlns:wpml="w"><Document><Folder>'), start, F.lit(area), F.array_join(F.transform("p", lambda x: x["place"]), "\n"), F.lit("</Folder></Document></kml>"))
+    return g.select("mission_id", xml.alias("xml"))
+
+
 def _members(spark, sf_dir):
-    """Members of archives built from the waypoints: every second mission has a take-off point, every fifth a scan description, and rows 10 to 19 a rosette."""
+    """Members of archives built from the waypoints: every third mission as a capture flight, the others as exported; every second
+    mission has a take-off point, every fifth a scan description, and rows 10 to 19 two rosettes, of which the first counts."""
     w = view(spark, sf_dir, "waypoints").withColumns({"lat": 52 + F.col("y") / 10_000, "lon": 5 + F.col("x") / 10_000, "alt": F.col("z")})
-    pose = "".join(f"<wpml:smartObliquePoint><wpml:smartObliqueEulerPitch>-45</wpml:smartObliqueEulerPitch><wpml:smartObliqueEulerYaw>{30 * k}</wpml:smartObliqueEulerYaw></wpml:smartObliquePoint>" for k in range(5))
-    group = f"<wpml:actionGroup><wpml:actionGroupStartIndex>10</wpml:actionGroupStartIndex><wpml:actionGroupEndIndex>19</wpml:actionGroupEndIndex><wpml:action><wpml:actionActuatorFunc>startSmartOblique</wpml:actionActuatorFunc>{pose}</wpml:action></wpml:actionGroup>"
-    # The route reader sees the groups of rows only; the rosette stands beside them.
-    routes = missions.waylines_xml(w).select(F.col("mission_id").alias("archive_id"), F.lit("waylines").alias("kind"), F.replace(F.replace("xml", F.lit("<kml>"), F.lit('<kml xmlns:wpml="w">')), F.lit("</Folder>"), F.lit(f"</Folder>{group}")).alias("text"))
+    pose = lambda pitch, k: f"<wpml:smartObliquePoint><wpml:smartObliqueEulerPitch>{pitch}</wpml:smartObliqueEulerPitch><wpml:smartObliqueEulerYaw>{30 * k}</wpml:smartObliqueEulerYaw></wpml:smartObliquePoint>"
+    group = lambda a, b, poses: f"<wpml:actionGroup><wpml:actionGroupStartIndex>{a}</wpml:actionGroupStartIndex><wpml:actionGroupEndIndex>{b}</wpml:actionGroupEndIndex><wpml:action><wpml:actionActuatorFunc>startSmartOblique</wpml:actionActuatorFunc><wpml:actionActuatorFuncParam>{poses}</wpml:actionActuatorFuncParam></wpml:action></wpml:actionGroup>"
+    groups = group(10, 19, "".join(pose(-45, k) for k in range(5))) + group(0, 19, pose(-90, 0)).replace("<wpml:actionGroupStartIndex>0<", "<wpml:actionGroupStartIndex>12<")
+    flown = _capture_xml(w.where("mission_id % 3 = 1")).unionByName(missions.waylines_xml(w.where("mission_id % 3 <> 1")).drop("n"))
+    routes = flown.select(F.col("mission_id").alias("archive_id"), F.lit("waylines").alias("kind"), F.replace("xml", F.lit("</Folder>"), F.lit(f"{groups}</Folder>")).alias("text"))
     ring = spatial.ring_table(spark, sf_dir).select("mission_id", F.transform("ring", lambda p: F.struct((5 + F.round(p["x"], 1) / 10_000).alias("lon"), (52 + F.round(p["y"], 1) / 10_000).alias("lat"), F.lit(7.5).alias("alt"))).alias("ring"))
     ids = w.select("mission_id").distinct().join(ring, "mission_id", "left")
     at = F.when(F.col("mission_id") % 2 == 0, F.struct(F.lit(51.99).alias("lat"), F.lit(4.99).alias("lon"), F.lit(3.0).alias("alt")))
@@ -42,9 +60,10 @@ def template_round_trip(spark, sf_dir):
 
 @register("flown_waypoints", f"""WITH {WP}, f AS (SELECT mission_id, arg_min(x, idx) AS fx, arg_min(y, idx) AS fy, arg_min(z, idx) AS fz FROM waypoints GROUP BY mission_id),
 r AS (SELECT mission_id, CASE WHEN mission_id % 5 = 0 THEN 52e0 WHEN mission_id % 2 = 0 THEN 51.99e0 ELSE 52e0 + fy/10000 END AS rlat, CASE WHEN mission_id % 5 = 0 THEN 5e0 WHEN mission_id % 2 = 0 THEN 4.99e0 ELSE 5e0 + fx/10000 END AS rlon,
-  CASE WHEN mission_id % 5 = 0 THEN 0e0 WHEN mission_id % 2 = 0 THEN 3e0 ELSE greatest(fz, 2e0) END AS ralt FROM f),
-k AS (SELECT w.mission_id, idx, (5e0 + x/10000 - rlon) * ({_K('rlat')}) AS x, (52e0 + y/10000 - rlat) * ({_M('rlat')}) AS y, greatest(z, 2e0) - ralt AS z, is_transition, heading_deg AS h, coalesce(CASE WHEN NOT is_transition THEN gimbal_yaw_deg END, 0e0) AS g FROM waypoints w JOIN r USING (mission_id))
-SELECT mission_id AS archive_id, idx, round(x,4)+0 AS x, round(y,4)+0 AS y, round(z,4)+0 AS z, round({pmod360('(h+g+180)')}-180,6)+0 AS gimbal_yaw_deg, CAST(CASE WHEN idx BETWEEN 10 AND 19 THEN 5 ELSE 0 END AS INT) AS poses, CASE WHEN idx BETWEEN 10 AND 19 THEN round({pmod360('(h+120+180)')}-180,6)+0 END AS last_yaw FROM k""")
+  CASE WHEN mission_id % 5 = 0 THEN 0e0 WHEN mission_id % 2 = 0 THEN 3e0 WHEN mission_id % 3 <> 1 AND fz = 0 THEN 2e0 ELSE fz END AS ralt FROM f),
+k AS (SELECT w.mission_id, idx, (5e0 + x/10000 - rlon) * ({_K('rlat')}) AS x, (52e0 + y/10000 - rlat) * ({_M('rlat')}) AS y, CASE WHEN w.mission_id % 3 <> 1 AND z = 0 THEN 2e0 ELSE z END - ralt AS z, heading_deg AS h,
+  CASE WHEN w.mission_id % 3 = 1 THEN coalesce(gimbal_yaw_deg, 0e0) + CASE WHEN w.mission_id % 2 = 0 THEN 0 ELSE heading_deg END WHEN is_transition OR gimbal_yaw_deg IS NULL THEN heading_deg ELSE gimbal_yaw_deg END AS g FROM waypoints w JOIN r USING (mission_id))
+SELECT mission_id AS archive_id, idx, round(x,4)+0 AS x, round(y,4)+0 AS y, round(z,4)+0 AS z, round({pmod360('(g+180)')}-180,6)+0 AS gimbal_yaw_deg, CAST(CASE WHEN idx BETWEEN 10 AND 19 THEN 5 ELSE 0 END AS INT) AS poses, CASE WHEN idx BETWEEN 10 AND 19 THEN round({pmod360('(h+120+180)')}-180,6)+0 END AS last_yaw FROM k""")
 def flown_waypoints(spark, sf_dir):
     m = _members(spark, sf_dir)
     route = missions.parse_waylines(m)

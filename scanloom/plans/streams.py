@@ -51,19 +51,44 @@ def placed(spark, sf_dir):
     return w.withColumns({"lat": lat, "lon": lon, "alt": alt})
 
 
-@register("archive_round_trip", f"WITH {WP} SELECT mission_id, idx, round(52e0 + y/(111132.92e0-559.82e0*cos(2*radians(52e0))+1.175e0*cos(4*radians(52e0))), 8) AS lat, round(5e0 + x/(111412.84e0*cos(radians(52e0))-93.5e0*cos(3*radians(52e0))), 8) AS lon, round(greatest(z, 2e0), 6) AS alt, CASE WHEN heading_deg > 180 THEN heading_deg - 360 ELSE heading_deg END + 0 AS heading_deg, CASE WHEN NOT is_transition THEN greatest(-90e0, least(35e0, gimbal_pitch_deg)) + 0 END AS gimbal_pitch_deg, CASE WHEN NOT is_transition THEN coalesce(gimbal_yaw_deg, 0) + 0 END AS gimbal_yaw_deg, speed_ms + 0 AS speed_ms, is_transition FROM waypoints")
-def archive_round_trip(spark, sf_dir):
+_LAT = "52e0 + y/(111132.92e0-559.82e0*cos(2*radians(52e0))+1.175e0*cos(4*radians(52e0)))"
+_LON = "5e0 + x/(111412.84e0*cos(radians(52e0))-93.5e0*cos(3*radians(52e0)))"
+_READ = """round(CASE WHEN z = 0 THEN 2e0 ELSE z END, 6)+0 AS alt, CASE WHEN heading_deg > 180 THEN heading_deg - 360 ELSE heading_deg END + 0 AS heading_deg, CASE WHEN is_transition THEN 0e0 ELSE greatest(-90e0, least(35e0, gimbal_pitch_deg)) + 0 END AS gimbal_pitch_deg,
+  CASE WHEN is_transition THEN 0e0 ELSE coalesce(gimbal_yaw_deg, 0e0) + 0 END AS gimbal_yaw_raw_deg, CASE WHEN is_transition OR gimbal_yaw_deg IS NULL THEN 'aircraft' ELSE 'north' END AS gimbal_yaw_base, speed_ms + 0 AS speed_ms"""
+
+
+def read_back(spark, sf_dir):
     """Waypoints through route XML, zip archives, and back."""
     files = missions.archives(missions.waylines_xml(placed(spark, sf_dir))).withColumnRenamed("mission_id", "archive_id")
-    back = missions.parse_waylines(missions.read_archives(files)).withColumnRenamed("archive_id", "mission_id")
+    return missions.parse_waylines(missions.read_archives(files)).withColumnRenamed("archive_id", "mission_id")
+
+
+@register("archive_round_trip", f"WITH {WP} SELECT mission_id, idx, round({_LAT}, 8) AS lat, round({_LON}, 8) AS lon, {_READ}, is_transition FROM waypoints")
+def archive_round_trip(spark, sf_dir):
     place = F.struct(F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
+    back = read_back(spark, sf_dir).drop("gimbal_heading_mode")
     return rounded(back.withColumn("p", place).drop("lat", "lon")).select("*", "p.lat", "p.lon").drop("p")
 
 
-@register("intent_round_trip", f"WITH {WP} SELECT mission_id, idx, round(greatest(z, -1e9), 6) AS alt, heading_deg + 0 AS heading_deg, gimbal_pitch_deg + 0 AS gimbal_pitch_deg, gimbal_yaw_deg + 0 AS gimbal_yaw_deg, speed_ms + 0 AS speed_ms FROM waypoints")
+@register("route_totals", f"WITH {WP}, s AS (SELECT *, sqrt((x-lag(x) OVER w)**2+(y-lag(y) OVER w)**2+(z-lag(z) OVER w)**2) AS d FROM waypoints WINDOW w AS (PARTITION BY mission_id ORDER BY idx)) SELECT mission_id, count(*) AS n, round(coalesce(sum(d), 0), 3)+0 AS distance_m, round(coalesce(sum(d), 0)/3 + 0.5*count(*), 3)+0 AS duration_s, round(greatest(-90e0, least(35e0, arg_min(gimbal_pitch_deg, idx))), 6)+0 AS start_pitch, count(*) FILTER (NOT is_transition) AS photos FROM s GROUP BY mission_id")
+def route_totals(spark, sf_dir):
+    """Length, duration, first pitch and photos, read from the text of each exported route."""
+    got = lambda tag: F.regexp_extract("xml", f"<wpml:{tag}>([^<]+)</", 1).cast("double")
+    photos = F.regexp_count("xml", F.lit("<wpml:actionActuatorFunc>takePhoto</")).cast("long")
+    xml = missions.waylines_xml(placed(spark, sf_dir))
+    return xml.select("mission_id", "n", (got("distance") + 0.0).alias("distance_m"), (got("duration") + 0.0).alias("duration_s"), (F.round(got("gimbalPitchRotateAngle"), 6) + 0.0).alias("start_pitch"), photos.alias("photos"))
+
+
+@register("intent_round_trip", f"WITH {WP} SELECT mission_id, idx, {_READ}, 'smoothTransition' AS gimbal_heading_mode, CASE WHEN mission_id % 2 = 0 THEN 52e0 ELSE 0e0 END AS ref_lat, CASE WHEN idx % 10 = 3 THEN -30e0 END AS pose_pitch FROM waypoints")
 def intent_round_trip(spark, sf_dir):
-    back, _ = missions.read_intents(missions.write_intents(placed(spark, sf_dir)))
-    return rounded(back.drop("lat", "lon"))
+    """Parsed routes with poses and references through JSON documents, and back."""
+    none = F.array().cast("array<struct<pitch:double,yaw_offset:double,roll:double>>")
+    pose = F.when(F.col("idx") % 10 == 3, F.array(F.struct(F.lit(-30.0).alias("pitch"), F.lit(90.0).alias("yaw_offset"), F.lit(0.0).alias("roll")))).otherwise(none)
+    route = read_back(spark, sf_dir).withColumn("poses", pose)
+    ref = route.select("mission_id").distinct().where("mission_id % 2 = 0").select("mission_id", F.lit(52.0).alias("ref_lat"), F.lit(5.0).alias("ref_lon"), F.lit(0.0).alias("ref_alt"))
+    back, _ = missions.read_intents(missions.write_intents(route, ref))
+    back = back.select(F.col("name").cast("long").alias("mission_id"), "idx", "alt", "heading_deg", "gimbal_pitch_deg", "gimbal_yaw_raw_deg", "gimbal_yaw_base", "speed_ms", "gimbal_heading_mode", F.col("ref.lat").alias("ref_lat"), F.try_element_at("poses", F.lit(1))["pitch"].alias("pose_pitch"))
+    return rounded(back)
 
 
 @register("cloud_file_sizes", f"WITH points AS ({VIEWS['points']}), c AS (SELECT cloud_id, count(*) AS n FROM points GROUP BY cloud_id) SELECT cloud_id, n AS points, length('ply' || chr(10) || 'format binary_little_endian 1.0' || chr(10) || 'element vertex ' || n || chr(10) || 'property float x' || chr(10) || 'property float y' || chr(10) || 'property float z' || chr(10) || 'end_header' || chr(10)) + 12 * n AS bytes FROM c")

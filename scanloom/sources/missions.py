@@ -7,34 +7,85 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions import angles
+from scanloom.operators import paths
 
 #: Entry of the route in an archive.
 WAYLINES = "wpmz/waylines.wpml"
+#: Namespaces of the format.
+KML, WPML = "http://www.opengis.net/kml/2.2", "http://www.dji.com/wpmz/1.0.6"
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+(STATE|ACTION|UPLOAD|START|ERROR)\b(.*)$"
 
 
-def waylines_xml(waypoints: DataFrame, most: int = 65_535) -> DataFrame:
-    """``mission_id, n, xml``: the route of every mission, built from columns.
+def _tag(name: str, *inner: Column) -> Column:
+    """An element of the mission namespace."""
+    return F.concat(F.lit(f"<wpml:{name}>"), *inner, F.lit(f"</wpml:{name}>"))
 
-    Heights are at least 2 m, headings within 180 degrees, pitch within the
-    gimbal's limits, and transit rows carry no actions. A mission of more than
-    ``most`` rows has a null xml.
+
+def _value(name: str, value: str) -> Column:
+    return _tag(name, F.lit(value))
+
+
+def _number(c: Column) -> Column:
+    return F.format_string("%.8f", c.cast("double"))
+
+
+def _gimbal(pitch: Column, yaw: Column) -> Column:
+    """A gimbal command: yaw from north, or none of its own where it is null."""
+    base = F.when(yaw.isNull(), F.lit("aircraft")).otherwise(F.lit("north"))
+    on = F.when(yaw.isNull(), F.lit("0")).otherwise(F.lit("1"))
+    return _tag(
+        "actionActuatorFuncParam", _tag("gimbalHeadingYawBase", base), _value("gimbalRotateMode", "absoluteAngle"), _value("gimbalPitchRotateEnable", "1"), _tag("gimbalPitchRotateAngle", _number(angles.clamp_pitch(pitch))),
+        _value("gimbalRollRotateEnable", "0"), _value("gimbalRollRotateAngle", "0"), _tag("gimbalYawRotateEnable", on), _tag("gimbalYawRotateAngle", _number(F.coalesce(yaw, F.lit(0.0)))),
+        _value("gimbalRotateTimeEnable", "0"), _value("gimbalRotateTime", "0"), _value("payloadPositionIndex", "0"),
+    )
+
+
+def _start_group(pitch: Column) -> Column:
+    """Before the first waypoint: its pitch, half a second to settle, manual focus."""
+    act = lambda n, func, inner: _tag("action", _value("actionId", str(n)), _value("actionActuatorFunc", func), inner)
+    hover = _tag("actionActuatorFuncParam", _value("hoverTime", "0.5"))
+    focus = _tag("actionActuatorFuncParam", _value("cameraFocusType", "manual"), _value("payloadPositionIndex", "0"))
+    return _tag("startActionGroup", act(0, "gimbalRotate", _gimbal(pitch, F.lit(None).cast("double"))), act(1, "hover", hover), act(2, "setFocusType", focus))
+
+
+def waylines_xml(waypoints: DataFrame, most: int = 65_535, speed_ms: float = 3.0) -> DataFrame:
+    """``mission_id, n, xml``: the executable route of every mission in the standard layout, built from columns.
+
+    Height over the start (``z``, else ``alt``) is at least 2 m, the ellipsoid height is ``alt`` unless that is 0; headings
+    lie within 180 degrees, pitch within the gimbal's limits. Other than transit rows command the gimbal (yaw from
+    north, none of its own where null) and a photo; rows where ``emit_gimbal`` is false (see
+    :func:`scanloom.operators.paths.dedupe_poses`) only a photo, and a heading where ``emit_heading`` is true.
+    The folder holds distance and duration (half a second a row, at ``speed_ms``) where rows have x, y and z,
+    and the group of actions before the first row. A mission of more than ``most`` rows has a null xml.
     """
-    n = lambda c: F.format_string("%.8f", c.cast("double"))
-    photo = F.concat(F.lit("<actionGroup><action><gimbalPitchRotateAngle>"), n(angles.clamp_pitch(F.col("gimbal_pitch_deg"))), F.lit("</gimbalPitchRotateAngle><gimbalYawRotateAngle>"), n(F.coalesce("gimbal_yaw_deg", F.lit(0.0))), F.lit("</gimbalYawRotateAngle></action></actionGroup>"))
+    have, c = set(waypoints.columns), F.col
+    height = F.greatest(c("z" if "z" in have else "alt").cast("double"), F.lit(2.0))
+    ellipsoid = F.coalesce(F.nullif(c("alt").cast("double"), F.lit(0.0)), height)
+    emit = F.coalesce(c("emit_gimbal"), F.lit(True)) if "emit_gimbal" in have else F.lit(True)
+    nose = F.coalesce(c("emit_heading"), F.lit(False)) if "emit_heading" in have else F.lit(False)
+    heading = _number(angles.heading_fold(c("heading_deg")))
+    # Ids count what is there: the gimbal, the heading and the photo.
+    func = lambda n, name, inner: _tag("action", _tag("actionId", n.cast("string")), _value("actionActuatorFunc", name), inner)
+    rotate = F.when(emit, func(F.lit(0), "gimbalRotate", _gimbal(c("gimbal_pitch_deg"), c("gimbal_yaw_deg")))).otherwise("")
+    turn = F.when(nose, func(emit.cast("int"), "rotateYaw", _tag("actionActuatorFuncParam", _tag("aircraftHeading", heading), _value("aircraftPathMode", "counterClockwise")))).otherwise("")
+    photo = func(emit.cast("int") + nose.cast("int"), "takePhoto", _tag("actionActuatorFuncParam", _tag("fileSuffix", F.concat(F.lit("wp"), c("idx").cast("string"))), _value("payloadPositionIndex", "0")))
+    group = _tag("actionGroup", _tag("actionGroupId", c("idx").cast("string")), _tag("actionGroupStartIndex", c("idx").cast("string")), _tag("actionGroupEndIndex", c("idx").cast("string")), _value("actionGroupMode", "sequence"), _tag("actionTrigger", _value("actionTriggerType", "reachPoint")), rotate, turn, photo)
     place = F.concat(
-        F.lit("<Placemark><index>"), F.col("idx").cast("string"), F.lit("</index><coordinates>"), n(F.col("lon")), F.lit(","), n(F.col("lat")),
-        F.lit("</coordinates><executeHeight>"), n(F.greatest(F.col("alt"), F.lit(2.0))), F.lit("</executeHeight><waypointSpeed>"), n(F.col("speed_ms")),
-        F.lit("</waypointSpeed><waypointHeadingAngle>"), n(angles.heading_fold(F.col("heading_deg"))), F.lit("</waypointHeadingAngle>"),
-        F.when(F.col("is_transition"), "").otherwise(photo), F.lit("</Placemark>"),
-    )
-    rows = waypoints.select("mission_id", "idx", place.alias("place"))
-    g = rows.groupBy("mission_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("idx", "place"))).alias("p"))
-    body = F.concat(F.lit('<?xml version="1.0"?><kml><Document><Folder>'), F.array_join(F.transform("p", lambda x: x["place"]), ""), F.lit("</Folder></Document></kml>"))
+        F.lit("<Placemark><Point><coordinates>"), _number(c("lon")), F.lit(","), _number(c("lat")), F.lit("</coordinates></Point>"), _tag("index", c("idx").cast("string")),
+        _tag("executeHeight", _number(height)), _tag("ellipsoidHeight", _number(ellipsoid)), _tag("waypointSpeed", _number(c("speed_ms"))), _tag("waypointHeadingParam", _value("waypointHeadingMode", "smoothTransition"), _tag("waypointHeadingAngle", heading)),
+        _tag("waypointTurnParam", _value("waypointTurnMode", "toPointAndPassWithContinuityCurvature"), _value("waypointTurnDampingDist", "0")), F.when(c("is_transition"), "").otherwise(group), F.lit("</Placemark>"),
+    )
+    measured = have >= {"x", "y", "z"}
+    rows = (paths.with_path(waypoints) if measured else waypoints.withColumn("seg_m", F.lit(None).cast("double"))).select("mission_id", "idx", "seg_m", "gimbal_pitch_deg", place.alias("place"))
+    g = rows.groupBy("mission_id").agg(F.count("*").alias("n"), F.sum("seg_m").alias("m"), F.min_by("gimbal_pitch_deg", "idx").alias("pitch"), F.array_sort(F.collect_list(F.struct("idx", "place"))).alias("p"))
+    three = lambda v: F.format_string("%.3f", v)
+    size = F.concat(_tag("distance", three(c("m"))), _tag("duration", three(c("m") / max(speed_ms, 0.1) + 0.5 * c("n")))) if measured else F.lit("")
+    head = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="{KML}" xmlns:wpml="{WPML}"><Document><Folder>'), _value("templateId", "0"), _value("executeHeightMode", "relativeToStartPoint"), _value("waylineId", "0"), size, _start_group(F.coalesce("pitch", F.lit(0.0))))
+    body = F.concat(head, F.array_join(F.transform("p", lambda x: x["place"]), ""), F.lit("</Folder></Document></kml>"))
     return g.select("mission_id", "n", F.when(F.col("n") <= most, body).alias("xml"))
 
 
@@ -93,34 +144,104 @@ def read_archives(files: DataFrame) -> DataFrame:
     return files.select("archive_id", "content").mapInPandas(run, f"archive_id {dict(files.dtypes)['archive_id']}, kind string, text string, error string, data binary")
 
 
+#: What is read of a placemark; everything as text, so that one bad number doesn't lose the row.
+_ACTION = "STRUCT<actionActuatorFunc: STRING, actionActuatorFuncParam: STRUCT<aircraftHeading: STRING, gimbalPitchRotateAngle: STRING, gimbalYawRotateAngle: STRING, gimbalHeadingYawBase: STRING>>"
+_PLACE = (
+    "STRUCT<Point: STRUCT<coordinates: STRING>, index: STRING, executeHeight: STRING, ellipsoidHeight: STRING, waypointSpeed: STRING, waypointHeadingParam: STRUCT<waypointHeadingAngle: STRING>, "
+    f"waypointGimbalHeadingParam: STRUCT<waypointGimbalPitchAngle: STRING, waypointGimbalYawAngle: STRING, waypointGimbalHeadingMode: STRING>, actionGroup: ARRAY<STRUCT<action: ARRAY<{_ACTION}>>>>"
+)
+_ROUTE = f"Document STRUCT<Folder: ARRAY<STRUCT<Placemark: ARRAY<{_PLACE}>>>>"
+
+
+def _placemarks(members: DataFrame) -> DataFrame:
+    """``archive_id, base, places`` of every route: the file's first yaw base and the placemarks of one coordinate line with two numbers."""
+    first = F.regexp_extract("text", r"<(?:[\w-]+:)?gimbalHeadingYawBase(?:\s[^>]*)?>([^<]+)</", 1)
+    rows = members.where("kind = 'waylines'").select("archive_id", first.alias("base"), F.from_xml("text", _ROUTE, {"ignoreNamespace": "true"}).alias("d"))
+    found = F.flatten(F.transform(F.coalesce("d.Document.Folder", F.array()), lambda f: F.coalesce(f["Placemark"], F.array())))
+    lines = lambda p: F.filter(F.split(F.coalesce(p["Point"]["coordinates"], F.lit("")), "\n"), lambda v: F.length(F.trim(v)) > 0)
+    number = lambda p, k: F.trim(F.try_element_at(F.split(lines(p)[0], ","), F.lit(k))).try_cast("double")
+    good = lambda p: F.when(F.size(lines(p)) == 1, number(p, 1).isNotNull() & number(p, 2).isNotNull()).otherwise(F.lit(False))
+    return rows.select("archive_id", F.coalesce(F.nullif(F.trim("base"), F.lit("")), F.lit("aircraft")).alias("base"), F.filter(found, good).alias("places"))
+
+
 def parse_waylines(members: DataFrame) -> DataFrame:
-    """``archive_id, idx, lat, lon, alt, heading_deg, gimbal_pitch_deg, gimbal_yaw_deg, speed_ms, is_transition`` of every placemark; namespaces are ignored."""
-    action = "action: ARRAY<STRUCT<gimbalPitchRotateAngle: DOUBLE, gimbalYawRotateAngle: DOUBLE>>"
-    place = f"STRUCT<index: INT, coordinates: STRING, executeHeight: DOUBLE, ellipsoidHeight: DOUBLE, waypointSpeed: DOUBLE, waypointHeadingAngle: DOUBLE, actionGroup: ARRAY<STRUCT<{action}>>>"
-    shape = f"Document STRUCT<Folder: STRUCT<Placemark: ARRAY<{place}>>>"
-    rows = members.where("kind = 'waylines'").select("archive_id", F.from_xml("text", shape, {"ignoreNamespace": "true"}).alias("d"))
-    p = rows.select("archive_id", F.posexplode("d.Document.Folder.Placemark").alias("pos", "p"))
-    xy = F.split(F.trim("p.coordinates"), ",")
-    acts = F.flatten(F.transform(F.coalesce("p.actionGroup", F.array()), lambda g: g["action"]))
-    last = lambda f: F.element_at(F.filter(F.transform(F.col("acts"), lambda a: a[f]), lambda v: v.isNotNull()), -1)
-    p = p.where(~F.col("p.coordinates").contains("\n")).withColumn("acts", acts).withColumn("acts", F.when(F.size("acts") > 0, F.col("acts")))
-    alt = F.coalesce(F.nullif(F.col("p.ellipsoidHeight"), F.lit(0.0)), F.col("p.executeHeight"))
-    return p.select("archive_id", F.coalesce("p.index", "pos").alias("idx"), xy[1].try_cast("double").alias("lat"), xy[0].try_cast("double").alias("lon"), alt.alias("alt"), F.col("p.waypointHeadingAngle").alias("heading_deg"), F.try_element_at(F.transform("acts", lambda a: a["gimbalPitchRotateAngle"]), F.lit(-1)).alias("gimbal_pitch_deg"), F.try_element_at(F.transform("acts", lambda a: a["gimbalYawRotateAngle"]), F.lit(-1)).alias("gimbal_yaw_deg"), F.col("p.waypointSpeed").alias("speed_ms"), F.col("acts").isNull().alias("is_transition"))
-
-
-def write_intents(waypoints: DataFrame) -> DataFrame:
-    """``value``: one compact JSON document a mission."""
-    item = F.struct("idx", "lat", "lon", "alt", "heading_deg", "gimbal_pitch_deg", "gimbal_yaw_deg", "speed_ms")
-    g = waypoints.groupBy("mission_id").agg(F.array_sort(F.collect_list(item)).alias("waypoints"))
-    return g.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), "mission_id", "waypoints")).alias("value"))
+    """``archive_id, idx, lat, lon, alt, heading_deg, gimbal_pitch_deg, gimbal_yaw_raw_deg, gimbal_heading_mode, gimbal_yaw_base, speed_ms, is_transition`` of every placemark; namespaces are ignored.
+
+    Placemarks of several coordinate lines (areas) are left out. Height is the ellipsoid's unless that is 0 or
+    missing. Actions override what stands in the placemark, the last one that has the number. The yaw base is the action's,
+    else the file's first, else the aircraft. A row without index has its place in the file; what else
+    is missing or no number is 0, 2 m/s for the speed. Rows without gimbal angles and actions are transit.
+    """
+    p = _placemarks(members).select("archive_id", "base", F.posexplode("places").alias("pos", "p"))
+    acts = F.filter(F.flatten(F.transform(F.coalesce("p.actionGroup", F.array()), lambda g: F.coalesce(g["action"], F.array()))), lambda a: a["actionActuatorFunc"].isNotNull() & a["actionActuatorFuncParam"].isNotNull())
+    p = p.withColumn("acts", acts)
+    zero, text = F.lit(0.0), lambda c: F.nullif(F.trim(c), F.lit(""))
+    num = lambda c: F.trim(c).try_cast("double")
+    own = lambda func: F.filter("acts", lambda a: F.trim(a["actionActuatorFunc"]) == func)
+    last = lambda func, f, read: F.try_element_at(F.filter(F.transform(own(func), lambda a: read(a["actionActuatorFuncParam"][f])), lambda v: v.isNotNull()), F.lit(-1))
+    point = F.split(F.col("p.Point.coordinates"), ",")
+    inline = F.col("p.waypointGimbalHeadingParam")
+    alt = F.coalesce(F.nullif(num(F.col("p.ellipsoidHeight")), zero), num(F.col("p.executeHeight")), zero)
+    return p.select(
+        "archive_id", F.coalesce(num(F.col("p.index")).cast("int"), "pos").alias("idx"), num(point[1]).alias("lat"), num(point[0]).alias("lon"), alt.alias("alt"),
+        F.coalesce(last("rotateYaw", "aircraftHeading", num), num(F.col("p.waypointHeadingParam.waypointHeadingAngle")), zero).alias("heading_deg"),
+        F.coalesce(last("gimbalRotate", "gimbalPitchRotateAngle", num), num(inline["waypointGimbalPitchAngle"]), zero).alias("gimbal_pitch_deg"),
+        F.coalesce(last("gimbalRotate", "gimbalYawRotateAngle", num), num(inline["waypointGimbalYawAngle"]), zero).alias("gimbal_yaw_raw_deg"),
+        F.coalesce(text(inline["waypointGimbalHeadingMode"]), F.lit("smoothTransition")).alias("gimbal_heading_mode"),
+        F.coalesce(last("gimbalRotate", "gimbalHeadingYawBase", text), "base").alias("gimbal_yaw_base"),
+        F.coalesce(num(F.col("p.waypointSpeed")), F.lit(2.0)).alias("speed_ms"), ((F.size("acts") == 0) & inline.isNull()).alias("is_transition"),
+    )
+
+
+def unreadable_routes(members: DataFrame) -> DataFrame:
+    """``archive_id, error`` of routes without a single readable waypoint, for the quarantine."""
+    return _placemarks(members).where("coalesce(size(places), 0) < 1").select("archive_id", F.lit("no readable waypoint").alias("error"))
+
+
+#: A pose of a rosette, and a waypoint of an intent.
+_POSE = "STRUCT<pitch_deg: DOUBLE, yaw_offset_deg: DOUBLE, roll_deg: DOUBLE>"
+_INTENT = (
+    "STRUCT<index: INT, lon: DOUBLE, lat: DOUBLE, alt_egm96: DOUBLE, heading_deg: DOUBLE, gimbal_pitch_deg: DOUBLE, speed_ms: DOUBLE, "
+    f"gimbal_yaw_raw_deg: DOUBLE, gimbal_heading_mode: STRING, gimbal_yaw_base: STRING, smart_oblique_poses: ARRAY<{_POSE}>>"
+)
+
+
+def write_intents(route: DataFrame, reference: DataFrame | None = None, rings: DataFrame | None = None) -> DataFrame:
+    """``value``: one compact JSON document a mission, from rows as :func:`parse_waylines` gives them (key ``mission_id`` or ``archive_id``, its name).
+
+    ``poses`` (pitch, yaw_offset, roll) is optional; reference: ``key, ref_lat, ref_lon, ref_alt``; rings: ``key, ring`` of (lon, lat, alt).
+    """
+    key = "mission_id" if "mission_id" in route.columns else "archive_id"
+    none = F.array().cast(f"array<{_POSE}>")
+    poses = F.coalesce(F.transform("poses", lambda p: F.struct(p["pitch"].alias("pitch_deg"), p["yaw_offset"].alias("yaw_offset_deg"), p["roll"].alias("roll_deg"))), none) if "poses" in route.columns else none
+    item = F.struct(F.col("idx").alias("index"), "lon", "lat", F.col("alt").alias("alt_egm96"), "heading_deg", "gimbal_pitch_deg", "speed_ms", "gimbal_yaw_raw_deg", "gimbal_heading_mode", "gimbal_yaw_base", poses.alias("smart_oblique_poses"))
+    g = route.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("waypoints"))
+    at, area = ["ref_lat", "ref_lon", "ref_alt"], F.array().cast("array<array<double>>")
+    g = g.join(reference.select(key, *at), key, "left") if reference is not None else g.select("*", *[F.lit(None).cast("double").alias(c) for c in at])
+    if rings is not None:
+        g = g.join(rings.select(key, F.transform("ring", lambda p: F.array(p["lon"], p["lat"], p["alt"])).alias("area")), key, "left")
+        area = F.coalesce("area", area)
+    ref = F.struct(*[F.coalesce(c, F.lit(0.0)).alias(c[4:]) for c in at])
+    return g.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.col(key).cast("string").alias("name"), ref.alias("ref"), area.alias("mission_area_wgs84"), "waypoints")).alias("value"))
 
 
 def read_intents(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(waypoints, quarantine of documents with another schema version) of JSON documents in ``value``."""
-    item = "STRUCT<idx: INT, lat: DOUBLE, lon: DOUBLE, alt: DOUBLE, heading_deg: DOUBLE, gimbal_pitch_deg: DOUBLE, gimbal_yaw_deg: DOUBLE, speed_ms: DOUBLE>"
-    rows = lines.withColumn("d", F.from_json("value", f"schema_version INT, mission_id BIGINT, waypoints ARRAY<{item}>"))
-    good = F.coalesce(F.col("d.schema_version") == 1, F.lit(False))
-    points = rows.where(good).select("d.mission_id", F.inline("d.waypoints")).withColumn("speed_ms", F.coalesce("speed_ms", F.lit(2.0)))
+    """(waypoints with ``name, ref, ring``, quarantine) of JSON documents in ``value``.
+
+    Quarantined are documents of another schema version, without a reference or with a waypoint that lacks a place, heading or pitch.
+    """
+    d = F.from_json("value", f"schema_version INT, name STRING, ref STRUCT<lat: DOUBLE, lon: DOUBLE, alt: DOUBLE>, mission_area_wgs84 ARRAY<ARRAY<DOUBLE>>, waypoints ARRAY<{_INTENT}>")
+    whole = F.forall("d.waypoints", lambda w: (w["index"] + w["lon"] + w["lat"] + w["alt_egm96"] + w["heading_deg"] + w["gimbal_pitch_deg"]).isNotNull())
+    rows = lines.withColumn("d", d)
+    good = F.coalesce((F.col("d.schema_version") == 1) & F.col("d.ref").isNotNull() & whole, F.lit(False))
+    ring = F.transform(F.coalesce("d.mission_area_wgs84", F.array().cast("array<array<double>>")), lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"), F.coalesce(F.try_element_at(p, F.lit(3)), F.lit(0.0)).alias("alt")))
+    w = rows.where(good).select(F.coalesce("d.name", F.lit("")).alias("name"), F.col("d.ref").alias("ref"), ring.alias("ring"), F.explode("d.waypoints").alias("w"))
+    zero = F.lit(0.0)
+    poses = F.transform(F.coalesce("w.smart_oblique_poses", F.array().cast(f"array<{_POSE}>")), lambda p: F.struct(p["pitch_deg"].alias("pitch"), p["yaw_offset_deg"].alias("yaw_offset"), F.coalesce(p["roll_deg"], zero).alias("roll")))
+    points = w.select(
+        "name", "ref", "ring", F.col("w.index").alias("idx"), "w.lat", "w.lon", F.col("w.alt_egm96").alias("alt"), "w.heading_deg", "w.gimbal_pitch_deg", F.coalesce("w.gimbal_yaw_raw_deg", zero).alias("gimbal_yaw_raw_deg"),
+        F.coalesce("w.gimbal_heading_mode", F.lit("smoothTransition")).alias("gimbal_heading_mode"), F.coalesce("w.gimbal_yaw_base", F.lit("aircraft")).alias("gimbal_yaw_base"), F.coalesce("w.speed_ms", F.lit(2.0)).alias("speed_ms"), poses.alias("poses"),
+    )
     return points, rows.where(~good).select("value")
 
 

@@ -60,9 +60,9 @@ def parse_template(members: DataFrame) -> DataFrame:
 
 
 def parse_oblique_groups(members: DataFrame) -> DataFrame:
-    """``archive_id, start_idx, end_idx, poses`` (pitch, yaw_offset, roll) of the action groups that start a rosette.
+    """``archive_id, pos, start_idx, end_idx, poses`` (pitch, yaw_offset, roll) of the action groups that start a rosette.
 
-    A missing angle is 0; poses with a bad number are skipped, and groups without a pose or a whole-number range.
+    pos: place in the file. A missing angle is 0; poses with a bad number are skipped, and groups without a pose or a whole-number range.
     """
     g = members.where("kind = 'waylines'").select("archive_id", F.posexplode(_all(F.col("text"), "actionGroup")).alias("pos", "g"))
     g = g.where(F.exists(_all(F.col("g"), "actionActuatorFunc"), lambda f: F.trim(f) == OBLIQUE))
@@ -72,7 +72,7 @@ def parse_oblique_groups(members: DataFrame) -> DataFrame:
     pose = lambda p: F.struct(angle(p, "smartObliqueEulerPitch").alias("pitch"), angle(p, "smartObliqueEulerYaw").alias("yaw_offset"), roll(p).alias("roll"))
     poses = F.filter(F.transform(_all(F.col("g"), "smartObliquePoint"), pose), lambda p: p["pitch"].isNotNull() & p["yaw_offset"].isNotNull() & p["roll"].isNotNull())
     rows = g.select("archive_id", "pos", whole("actionGroupStartIndex").alias("start_idx"), whole("actionGroupEndIndex").alias("end_idx"), poses.alias("poses"))
-    return rows.where("start_idx is not null and end_idx is not null and size(poses) > 0").drop("pos")
+    return rows.where("start_idx is not null and end_idx is not null and size(poses) > 0")
 
 
 def rosette_absolute(poses: Column, heading: Column) -> Column:
@@ -96,18 +96,17 @@ def resolve_reference(members: DataFrame, route: DataFrame, templates: DataFrame
 def flown_waypoints(route: DataFrame, reference: DataFrame, groups: DataFrame) -> DataFrame:
     """A parsed route in metres east, north and up of its reference point, numbered by position.
 
-    Gimbal yaw counts from north (``gimbal_yaw_base`` 'north' where the route says so, else the nose).
-    ``poses`` are those of the last rosette whose range holds the row's own index, an empty list
+    Gimbal yaw counts from north: ``gimbal_yaw_raw_deg`` does so already where ``gimbal_yaw_base`` is 'north', else
+    the heading is added. ``poses`` are those of the first rosette in the file whose range holds the row's own index, an empty list
     elsewhere. No row has a face yet; each is one photo of the wide camera.
     """
-    base = F.col("gimbal_yaw_base") if "gimbal_yaw_base" in route.columns else F.lit("aircraft")
-    rows = route.withColumn("base", base).join(reference, "archive_id")
+    rows = route.join(reference, "archive_id")
     x, y, z = geo.wgs84_to_enu(F.col("lat"), F.col("lon"), F.col("alt"), F.col("ref_lat"), F.col("ref_lon"), F.col("ref_alt"))
-    held = F.collect_list(F.struct("start_idx", "end_idx", "poses"))
+    held = F.collect_list(F.struct("pos", "start_idx", "end_idx", "poses"))
     rows = rows.join(groups.groupBy("archive_id").agg(F.array_sort(held).alias("held")), "archive_id", "left")
     inside = F.filter("held", lambda g: F.col("idx").between(g["start_idx"], g["end_idx"]))
-    poses = F.coalesce(F.try_element_at(inside, F.lit(-1))["poses"], F.array().cast("array<struct<pitch:double,yaw_offset:double,roll:double>>"))
-    yaw = angles.absolute_gimbal_yaw(F.col("base"), F.col("heading_deg"), F.coalesce("gimbal_yaw_deg", F.lit(0.0)))
+    poses = F.coalesce(F.try_element_at(inside, F.lit(1))["poses"], F.array().cast("array<struct<pitch:double,yaw_offset:double,roll:double>>"))
+    yaw = angles.absolute_gimbal_yaw(F.col("gimbal_yaw_base"), F.col("heading_deg"), F.coalesce("gimbal_yaw_raw_deg", F.lit(0.0)))
     order = Window.partitionBy("archive_id").orderBy("idx")
     return rows.select(
         "archive_id", (F.row_number().over(order) - 1).alias("idx"), x.alias("x"), y.alias("y"), z.alias("z"), "lat", "lon", "alt", "heading_deg", "gimbal_pitch_deg", yaw.alias("gimbal_yaw_deg"), "speed_ms",

@@ -34,12 +34,12 @@ def test_rosettes_and_reference(spark):
     members = spark.createDataFrame([("a", "waylines", text), ("b", "waylines", "<kml/>"), ("b", "geo_desc", '{"ref_GPS": {"latitude": 52, "longitude": 5}}'), ("c", "waylines", "<kml/>"), ("d", "waylines", "<kml/>"), ("d", "template", TEMPLATE)], MEMBER)
     groups = templates.parse_oblique_groups(members)
     assert [(r.archive_id, r.start_idx, r.end_idx, [tuple(p) for p in r.poses]) for r in groups.collect()] == [("a", 1, 3, [(-45.0, 90.0, 0.0)])]
-    route = spark.createDataFrame([("a", i, 52.0 + i / 1000, 5.0, 10.0, 200.0, -10.0, 30.0 if i else None, 3.0) for i in range(4)], "archive_id string, idx int, lat double, lon double, alt double, heading_deg double, gimbal_pitch_deg double, gimbal_yaw_deg double, speed_ms double")
+    route = spark.createDataFrame([("a", i, 52.0 + i / 1000, 5.0, 10.0, 200.0, -10.0, 30.0 if i else None, "north" if i == 3 else "aircraft", 3.0) for i in range(4)], "archive_id string, idx int, lat double, lon double, alt double, heading_deg double, gimbal_pitch_deg double, gimbal_yaw_raw_deg double, gimbal_yaw_base string, speed_ms double")
     ref = templates.resolve_reference(members, route, templates.parse_template(members))
     assert {tuple(r) for r in ref.collect()} == {("a", 52.0, 5.0, 10.0), ("b", 52.0, 5.0, 0.0), ("c", 0.0, 0.0, 0.0), ("d", 52.5, 5.25, 3.0)}
     rows = templates.flown_waypoints(route, ref, groups).orderBy("idx").collect()
     assert [len(r.poses) for r in rows] == [0, 1, 1, 1] and rows[1].poses[0].yaw == -70.0
-    assert rows[0].gimbal_yaw_deg == -160.0 and rows[1].gimbal_yaw_deg == -130.0 and (rows[0].x, rows[0].y, rows[0].z) == (0, 0, 0) and 222 < rows[2].y < 223
+    assert rows[0].gimbal_yaw_deg == -160.0 and rows[1].gimbal_yaw_deg == -130.0 and rows[3].gimbal_yaw_deg == 30.0 and (rows[0].x, rows[0].y, rows[0].z) == (0, 0, 0) and 222 < rows[2].y < 223
     assert templates.flown_waypoints(route.limit(0), ref, groups).count() == 0
 
 

@@ -1,4 +1,5 @@
 import io
+import math
 import zipfile
 
 import numpy as np
@@ -42,14 +43,84 @@ def test_archives_nest_and_fail_softly(spark):
     assert {(r.archive_id, r.kind) for r in members.collect()} == {("a", "waylines"), ("b", "waylines"), ("c", "error"), ("d", "error")}
     rows = missions.parse_waylines(members).where("archive_id = 'b'").orderBy("idx").collect()
     assert [r.idx for r in rows] == [0, 1, 2, 3] and rows[0].alt == 2.0 and rows[0].gimbal_pitch_deg == -90 and rows[0].heading_deg == -10
-    assert rows[1].is_transition and rows[1].gimbal_pitch_deg is None and not rows[0].is_transition
+    assert rows[1].is_transition and rows[1].gimbal_pitch_deg == 0 and not rows[0].is_transition
+    assert [(r.gimbal_yaw_base, r.gimbal_yaw_raw_deg) for r in rows] == [("north", 10), ("aircraft", 0), ("aircraft", 0), ("north", 10)]
     assert missions.waylines_xml(waypoints(spark), most=3).first().xml is None
 
 
+STANDARD = """<?xml version="1.0" encoding="UTF-8"?>
+<kml xmlns="http://www.opengis.net/kml/2.2" xmlns:wpml="urn:any"><Document><Folder>
+<wpml:startActionGroup><wpml:action><wpml:actionId>0</wpml:actionId><wpml:actionActuatorFunc>gimbalRotate</wpml:actionActuatorFunc>
+  <wpml:actionActuatorFuncParam><wpml:gimbalHeadingYawBase>{base}</wpml:gimbalHeadingYawBase></wpml:actionActuatorFuncParam></wpml:action></wpml:startActionGroup>
+<Placemark><Point><coordinates>
+   5.0,52.0,1
+   5.1,52.0,1
+</coordinates></Point></Placemark>
+<Placemark><Point><coordinates>
+   5.25,52.5
+</coordinates></Point><wpml:index>7</wpml:index><wpml:executeHeight>30</wpml:executeHeight><wpml:ellipsoidHeight>71.5</wpml:ellipsoidHeight><wpml:waypointSpeed>4</wpml:waypointSpeed>
+  <wpml:waypointHeadingParam><wpml:waypointHeadingAngle>90</wpml:waypointHeadingAngle></wpml:waypointHeadingParam>
+  <wpml:waypointGimbalHeadingParam><wpml:waypointGimbalPitchAngle>-20</wpml:waypointGimbalPitchAngle><wpml:waypointGimbalYawAngle>15</wpml:waypointGimbalYawAngle><wpml:waypointGimbalHeadingMode> fixed </wpml:waypointGimbalHeadingMode></wpml:waypointGimbalHeadingParam></Placemark>
+<Placemark><Point><coordinates>5.26,52.6,9</coordinates></Point><wpml:executeHeight>31</wpml:executeHeight><wpml:ellipsoidHeight>0</wpml:ellipsoidHeight><wpml:waypointSpeed>fast</wpml:waypointSpeed>
+  <wpml:waypointHeadingParam><wpml:waypointHeadingAngle>90</wpml:waypointHeadingAngle></wpml:waypointHeadingParam>
+  <wpml:waypointGimbalHeadingParam><wpml:waypointGimbalPitchAngle>-20</wpml:waypointGimbalPitchAngle></wpml:waypointGimbalHeadingParam>
+  <wpml:actionGroup><wpml:action><wpml:actionActuatorFunc>rotateYaw</wpml:actionActuatorFunc><wpml:actionActuatorFuncParam><wpml:aircraftHeading>-45</wpml:aircraftHeading></wpml:actionActuatorFuncParam></wpml:action>
+   <wpml:action><wpml:actionActuatorFunc>gimbalRotate</wpml:actionActuatorFunc><wpml:actionActuatorFuncParam><wpml:gimbalPitchRotateAngle>-30</wpml:gimbalPitchRotateAngle><wpml:gimbalHeadingYawBase>north</wpml:gimbalHeadingYawBase><wpml:gimbalYawRotateAngle>100</wpml:gimbalYawRotateAngle></wpml:actionActuatorFuncParam></wpml:action>
+   <wpml:action><wpml:actionActuatorFunc>gimbalRotate</wpml:actionActuatorFunc><wpml:actionActuatorFuncParam><wpml:gimbalPitchRotateAngle>-35</wpml:gimbalPitchRotateAngle><wpml:gimbalYawRotateAngle>bad</wpml:gimbalYawRotateAngle></wpml:actionActuatorFuncParam></wpml:action></wpml:actionGroup></Placemark>
+<Placemark><Point><coordinates>5.27,52.7</coordinates></Point></Placemark>
+<Placemark><Point><coordinates>no place</coordinates></Point></Placemark><Placemark/>
+</Folder></Document></kml>"""
+
+
+def test_standard_layout_not_from_our_writer(spark):
+    text = lambda base: STANDARD.format(base=base)
+    members = spark.createDataFrame([("a", "waylines", text("aircraft")), ("b", "waylines", text(" north ")), ("c", "waylines", text("")), ("d", "waylines", "<kml/>"), ("e", "waylines", "junk")], "archive_id string, kind string, text string")
+    rows = missions.parse_waylines(members).orderBy("archive_id", "alt").collect()
+    by = {k: [tuple(r)[1:] for r in rows if r.archive_id == k] for k in "abcde"}
+    want = lambda base: [(2, 52.7, 5.27, 0.0, 0.0, 0.0, 0.0, "smoothTransition", base, 2.0, True), (1, 52.6, 5.26, 31.0, -45.0, -35.0, 100.0, "smoothTransition", "north", 2.0, False), (7, 52.5, 5.25, 71.5, 90.0, -20.0, 15.0, "fixed", base, 4.0, False)]
+    assert by["a"] == want("aircraft") and by["b"] == want("north")
+    assert by["c"] == want("north")  # the first base with a text is the second row's
+    assert by["d"] == by["e"] == []
+    assert {r.archive_id for r in missions.unreadable_routes(members).collect()} == {"d", "e"}
+
+
+def test_written_routes_have_the_standard_elements(spark):
+    import xml.etree.ElementTree as ET
+
+    w = waypoints(spark).withColumns({"x": F.col("idx") * 3.0, "y": F.lit(0.0), "z": F.col("alt"), "emit_gimbal": F.col("idx") != 3, "emit_heading": F.col("idx") == 3})
+    root = ET.fromstring(missions.waylines_xml(w, speed_ms=2.0).first().xml)
+    k, m = f"{{{missions.KML}}}", f"{{{missions.WPML}}}"
+    folder = root.find(f"{k}Document/{k}Folder")
+    length = 3 * math.sqrt(10)
+    assert abs(float(folder.find(f"{m}distance").text) - length) < 1e-3 and abs(float(folder.find(f"{m}duration").text) - length / 2 - 2) < 1e-3
+    assert [a.find(f"{m}actionActuatorFunc").text for a in folder.find(f"{m}startActionGroup")] == ["gimbalRotate", "hover", "setFocusType"]
+    places = folder.findall(f"{k}Placemark")
+    assert [p.find(f"{k}Point/{k}coordinates").text for p in places][1] == "5.00000000,52.00010000"
+    assert [float(p.find(f"{m}executeHeight").text) for p in places] == [2, 2, 2, 3] and [float(p.find(f"{m}ellipsoidHeight").text) for p in places] == [2, 1, 2, 3]
+    assert all(float(p.find(f"{m}waypointHeadingParam/{m}waypointHeadingAngle").text) == -10 for p in places)
+    acts = [[(a.find(f"{m}actionId").text, a.find(f"{m}actionActuatorFunc").text) for a in p.iter(f"{m}action")] for p in places]
+    assert acts == [[("0", "gimbalRotate"), ("1", "takePhoto")], [], [("0", "gimbalRotate"), ("1", "takePhoto")], [("0", "rotateYaw"), ("1", "takePhoto")]]
+    assert [e.text for e in places[0].iter(f"{m}gimbalHeadingYawBase")] == ["north"] and [e.text for e in places[2].iter(f"{m}gimbalYawRotateEnable")] == ["0"]
+
+
 def test_intents(spark):
-    w = waypoints(spark)
-    back, bad = missions.read_intents(missions.write_intents(w).union(spark.createDataFrame([('{"schema_version": 999}',), ("junk",)], "value string")))
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, w.drop("is_transition").collect())) and bad.count() == 2
+    import json
+
+    route = missions.parse_waylines(spark.createDataFrame([("a", "waylines", STANDARD.format(base="north"))], "archive_id string, kind string, text string"))
+    ref = spark.createDataFrame([("a", 52.0, 5.0, 1.0)], "archive_id string, ref_lat double, ref_lon double, ref_alt double")
+    ring = spark.createDataFrame([("a", [(5.0, 52.0, 1.0)])], "archive_id string, ring array<struct<lon:double,lat:double,alt:double>>")
+    lines = missions.write_intents(route, ref, ring)
+    doc = json.loads(lines.first().value)
+    assert set(doc) == {"schema_version", "name", "ref", "mission_area_wgs84", "waypoints"} and doc["ref"] == {"lat": 52.0, "lon": 5.0, "alt": 1.0} and doc["mission_area_wgs84"] == [[5.0, 52.0, 1.0]]
+    assert set(doc["waypoints"][0]) == {"index", "lon", "lat", "alt_egm96", "heading_deg", "gimbal_pitch_deg", "speed_ms", "gimbal_yaw_raw_deg", "gimbal_heading_mode", "gimbal_yaw_base", "smart_oblique_poses"}
+    least = {"schema_version": 1, "ref": {"lat": 1, "lon": 2, "alt": 3}, "waypoints": [{"index": 0, "lon": 1, "lat": 2, "alt_egm96": 3, "heading_deg": 4, "gimbal_pitch_deg": 5, "smart_oblique_poses": [{"pitch_deg": 1, "yaw_offset_deg": 2}]}]}
+    odd = [json.dumps(least | {"schema_version": 999}), "junk", json.dumps({k: v for k, v in least.items() if k != "ref"}), json.dumps(least | {"waypoints": [{"index": 1}]})]
+    back, bad = missions.read_intents(lines.union(spark.createDataFrame([(json.dumps(least),), *((x,) for x in odd)], "value string")))
+    assert bad.count() == len(odd)
+    same = [c for c in route.columns if c not in ("archive_id", "is_transition")]
+    assert sorted(map(tuple, back.where("name = 'a'").select(*same).collect())) == sorted(map(tuple, route.select(*same).collect()))
+    b = back.where("name = ''").first()
+    assert (b.speed_ms, b.gimbal_yaw_raw_deg, b.gimbal_heading_mode, b.gimbal_yaw_base, tuple(b.poses[0])) == (2.0, 0.0, "smoothTransition", "aircraft", (1.0, 2.0, 0.0))
 
 
 def test_geojson(spark, tmp_path):
