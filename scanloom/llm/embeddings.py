@@ -82,6 +82,16 @@ def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     return out
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by the power of two that brings their largest component to between 1/2 and 1: exact, and no norm over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _pairs(runs: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs a < b of whole buckets, each from the first table in which they meet."""
     for key, rep, side, table, *code in runs:
@@ -120,7 +130,7 @@ def candidates(found: DataFrame, mean: np.ndarray, directions: np.ndarray) -> Da
             for at in range(0, whole.num_rows, 1024):
                 part = whole.slice(at, 1024)
                 x = _matrix(part.column(2), len(mean))
-                sub = codes(x / np.linalg.norm(x, axis=1, keepdims=True), mean, directions)
+                sub = codes(_units(x), mean, directions)
                 full = np.ascontiguousarray(sub).view(np.int64)
                 rep, label = part.column(0).to_numpy(), part.column(1).to_numpy().view(np.uint64) * spread
                 for t in range(TABLES):
@@ -152,7 +162,7 @@ def rerank(pairs: DataFrame, found: DataFrame, cosine: float = COSINE) -> DataFr
         for whole in batches:
             if not whole.num_rows:
                 continue
-            x, y = _matrix(whole.column(2)), _matrix(whole.column(3))
+            x, y = _scaled(_matrix(whole.column(2))), _scaled(_matrix(whole.column(3)))
             got = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= cosine
             a, b, na, nb = (whole.column(k).to_numpy()[got] for k in (0, 1, 4, 5))
             nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -172,7 +182,7 @@ def fit(spark: SparkSession, found: DataFrame, sample: int = SAMPLE) -> tuple[np
         return None
     width = found.agg(F.max(F.size("x"))).first()[0]
     x = np.stack([np.pad(v, (0, width - len(v))) for v in rows["x"]])
-    return learn(x / np.linalg.norm(x, axis=1, keepdims=True))
+    return learn(_units(x))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -182,7 +192,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     other rows linked directly, component_id is the smallest key reachable, kept
     marks it. Equal vectors form one class, compared once. A vector that is
     null, zero, or holds a null or non-finite number, and a row without a label,
-    links with nothing. Labels may be of any type and are equal as Spark compares
+    links with nothing; others may be as small or large as doubles are. Labels may be of any type and are equal as Spark compares
     them; vectors of two lengths never link. Rows with a null key are in no class.
     Other columns are ignored, repeated rows are rows of their own, and an empty table gives no row.
     """

@@ -100,13 +100,23 @@ class PlaneFile:
             yield self.block(k)
 
 
+def store_name(path: str) -> str:
+    """The URI of a path as Spark writes it under the name that the readers in tasks know: Hadoop has names of its own for some stores."""
+    scheme, _, rest = path.partition(":")
+    if scheme in ("s3a", "s3n"):
+        return f"s3:{rest}"
+    if scheme == "dbfs":  # mounted on every machine
+        return "file:///dbfs/" + rest.lstrip("/")
+    return "file:///" + rest.lstrip("/") if scheme == "file" else path
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", kind: str = "byte", file_ids: int = FILE_IDS, partitions: int | None = None) -> DataFrame:
     """Encode all texts and write them below path in ascending key order.
 
     Returns the manifest ``part, roll, file, n_docs, n_ids, base`` (base: ids in all
     files before). Null and blank texts are the end id alone, null keys come
-    first, repeated rows are written as often as they come; other columns are
-    ignored. A task writes under a name of its own and renames it when whole, so a task that
+    first, rows that share a key come in the order of their texts' hashes, repeated rows as often as they are there; texts of any length
+    are encoded whole, other columns are ignored, whatever their names. A task writes under a name of its own and renames it when whole, so a task that
     runs again after a lost executor replaces the same file.
     """
     spark = docs.sparkSession
@@ -118,7 +128,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, k
 
         task = TaskContext.get()
         part, roll, encoder = task.partitionId(), 0, Encoder.of(tokenizer, spaced=True)
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = fs.FileSystem.from_uri(store_name(path))
         store.create_dir(root)
         keys: list[pa.Array] = []
         held: list[bytes] = []
@@ -148,7 +158,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, k
         if held:
             yield flush()
 
-    ordered = docs.select(F.col(key), F.col(text)).repartitionByRange(n, key).sortWithinPartitions(key)
+    ordered = docs.select(F.col(key), F.col(text)).repartitionByRange(n, key).sortWithinPartitions(F.col(key), F.xxhash64(text))
     files = cut(ordered.mapInArrow(run, "part long, roll long, file string, n_docs long, n_ids long"))
     # One row a part, as many as the partitions asked for: small enough for one ordered window.
     before = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))

@@ -124,11 +124,8 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int = 0) -> list[Rule]:
         features = rng.choice(m, max(2, m // 2), replace=False)
         step = np.zeros(n)
         keep = np.where(own)[0]
-        before = set(rules)
         split(keep, y - p, p * (1 - p), (), 0, step)
-        # Rows outside the subsample take the mean step of the rule they fall under.
-        if len(rules) > len(before) or own.any():
-            score += step
+        score += step  # rows outside the subsample stay where they are
     return list(rules)
 
 
@@ -210,12 +207,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     """Learn from the texts of the bounded sample alone."""
     # The sample is at most ``sample`` ids, so its broadcast has a known bound.
     rows = docs.select(key, text).join(F.broadcast(labelled(labels, label, key, sample)), key)
-    got = statistics(rows, key, text, ("y",)).drop_duplicates([key]).orderBy(key).toPandas()
+    # Of texts that share an id the one with the least statistics, in every run.
+    one = F.min(F.struct(*STATS, "y")).alias("d")
+    got = statistics(rows, key, text, ("y",)).groupBy(key).agg(one).select(key, "d.*").orderBy(key).toPandas()
     return RuleEnsemble.fit(got[list(STATS)].to_numpy(float), got["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: RuleEnsemble, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """``key, held_out, score, predicted`` of every row; null and blank texts are scored by
-    their (zero) statistics, repeated rows alike, other columns ignored."""
+    their (zero) statistics, repeated rows alike, other columns ignored; texts of any length are read whole."""
     found = statistics(docs, key, text).select(F.col(key), held_out(key).alias("held_out"), model.column().alias("score"))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

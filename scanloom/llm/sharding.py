@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Slots of the table (a prime), at least 100 for each shard; 65,537 rows of two numbers are about 1 MB.
 SLOTS = 65_537
-MOST_SLOTS = 1_000_003
+MOST_SLOTS, SLOTS_A_SHARD = 1_000_003, 100
 
 
 def _hash(name: str, salt: str) -> int:
@@ -28,6 +28,8 @@ def fill(shards: list[str], slots: int = SLOTS, weights: dict[str, int] | None =
         raise ValueError("shards need distinct names")
     if not 1 < slots <= MOST_SLOTS or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
         raise ValueError(f"slots must be a prime up to {MOST_SLOTS}")
+    if slots < SLOTS_A_SHARD * len(shards):
+        raise ValueError(f"{len(shards)} shards need {SLOTS_A_SHARD * len(shards)} slots at least")
     first = [_hash(s, "offset") % slots for s in shards]
     skip = [_hash(s, "skip") % (slots - 1) + 1 for s in shards]
     turns = [max(1, (weights or {}).get(s, 1)) for s in shards]

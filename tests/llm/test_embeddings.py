@@ -84,3 +84,23 @@ def test_labels_and_lengths(spark):
     for d in (df, df.withColumn("label", F.col("label").cast("string")), df.withColumn("label", (F.col("label") * 10).cast("long"))):
         got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(d).collect() if r.vec_id < 100}
         assert got == {0: (1, 0), 1: (0, 1), 2: (1, 0), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_tiny_and_huge_vectors(spark):
+    """Norms that under- or overflow: the same links as of vectors a power of two apart, and no failure."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 8))
+    near = base + rng.normal(size=(40, 8)) * 0.05
+    rows, n = [], 0
+    for scale in (1.0, 1e-200, 1e-310, 1e300):
+        for x, y in zip(base, near, strict=True):
+            rows += [(n, "a", (x * scale).tolist()), (n + 1, "a", (y * scale).tolist())]
+            n += 2
+    rows += [(n, "b", [5e-324, 5e-324]), (n + 1, "b", [1e308, 1e308]), (n + 2, "b", [1e308, -1e308])]
+    got = {r.vec_id: r for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    exact = [np.array(v) / np.abs(v).max() for _, _, v in rows]
+    for i, l, v in rows:
+        cos = [(j, exact[i] @ exact[j] / np.linalg.norm(exact[i]) / np.linalg.norm(exact[j])) for j, m, w in rows if m == l and j != i]
+        sure = sum(c >= 0.94 for _, c in cos)
+        assert sure <= got[i].n_links <= sum(c >= 0.92 for _, c in cos), i
+    assert got[n + 1].component_id == n and got[n + 2].n_links == 0

@@ -45,3 +45,14 @@ def test_empty_nulls_and_repeats(spark):
     got = sorted(B.token_index(df, PATH, 2).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 1, 1] and [r.start for r in got] == [0, 2, 4]
     assert B.token_index(df.limit(0), PATH, 2).collect() == []
+
+
+def test_rows_that_share_a_key_are_in_a_fixed_order(spark):
+    rows = [(1, f"text {i} " * (i + 1)) for i in range(50)]
+    a, b = (B.token_index(spark.createDataFrame(r, "doc_id long, text string").repartition(n), PATH, 2).collect() for r, n in ((rows, 5), (rows[::-1], 3)))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_stores_by_hadoop_names():
+    paths = ("s3a://b/x", "s3n://b/x", "s3://b/x", "dbfs:/x/y", "file:/tmp/x", "file:///tmp/x", "hdfs://n/x", "/tmp/x")
+    assert [B.store_name(p) for p in paths] == ["s3://b/x"] * 3 + ["file:///dbfs/x/y"] + ["file:///tmp/x"] * 2 + ["hdfs://n/x", "/tmp/x"]
