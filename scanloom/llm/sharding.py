@@ -13,9 +13,9 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Slots of the table (a prime), at least 100 for each shard; 65,537 rows of two numbers are about 1 MB.
+#: Slots of the table (a prime): some hundreds for each shard, SLOTS_A_SHARD at least; 65,537 rows of two numbers are about 1 MB.
 SLOTS = 65_537
-MOST_SLOTS, SLOTS_A_SHARD = 1_000_003, 100
+MOST_SLOTS, SLOTS_A_SHARD = 1_000_003, 50
 
 
 def _hash(name: str, salt: str) -> int:
