@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import TEXT_ROWS, tidy
+from scanloom.llm.common import TEXT_ROWS, trim
 from scanloom.llm.packing import CAPACITY, Shelf
 from scanloom.llm.tokens import PIECES_KEPT, Encoder
 from scanloom.session import scratch_path
@@ -149,8 +149,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACI
                             c.append(x)
                 kinds = (part.column(0).type, *[pa.int64()] * 4, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+        trim()  # the encoder stays for the worker's next task
 
-    found = docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(tidy(run), f"key {dict(docs.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    found = docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
     path = scratch_path(docs.sparkSession, "slack-pieces")
     found = found.withColumn("id", F.monotonically_increasing_id())
     found.write.option("compression", "zstd").parquet(path)
