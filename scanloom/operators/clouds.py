@@ -115,15 +115,21 @@ def fit_planes(sums: DataFrame) -> DataFrame:
     return sums.withColumn("plane", _plane(*MOMENTS)).select("*", "plane.*").drop("plane")
 
 
-def grow_planes(points: DataFrame, cell: float = 0.5, cos: float = 0.95, epsilon: float = 0.05, min_points: int = 60) -> DataFrame:
-    """Connected planar regions: ``cloud_id, plane_id, points, nx, ny, nz, d, rms``.
+def cloud_origins(points: DataFrame) -> DataFrame:
+    """``cloud_id, ox, oy, oz``: whole metres near each cloud's middle, from which moments are taken: far from zero their differences would cancel."""
+    return points.groupBy("cloud_id").agg(*[F.floor(F.avg(a)).cast("double").alias(f"o{a}") for a in "xyz"])
+
+
+def plane_regions(points: DataFrame, cell: float = 0.5, cos: float = 0.95, epsilon: float = 0.05) -> DataFrame:
+    """Flat cells ``cloud_id, ix, iy, iz, region`` with their moments about the cloud's origin ``ox, oy, oz``.
 
     Points are summed by cell, flat cells are fitted, neighbours whose planes agree
-    are linked, components become planes and are refitted from the cells' sums, so
-    points are shuffled once and everything later is one row a cell.
+    are linked and components become regions, so points are shuffled once and everything later is one row a cell.
     """
     ix, iy, iz = geo.voxel_key(F.col("x"), F.col("y"), F.col("z"), cell)
-    cells = fit_planes(moments(points.withColumns({"ix": ix, "iy": iy, "iz": iz}), "cloud_id", "ix", "iy", "iz").where("n >= 5"))
+    near = points.join(small(cloud_origins(points)), "cloud_id").withColumns({"ix": ix, "iy": iy, "iz": iz})
+    near = near.withColumns({a: F.col(a) - F.col(f"o{a}") for a in "xyz"})
+    cells = fit_planes(moments(near, "cloud_id", "ox", "oy", "oz", "ix", "iy", "iz").where("n >= 5"))
     cells = cut(cells.where(F.col("rms") <= epsilon).withColumn("cell_id", F.xxhash64("cloud_id", "ix", "iy", "iz")))
     side = cells.select("cloud_id", "ix", "iy", "iz", "cell_id", "nx", "ny", "nz", "d", "n", "sx", "sy", "sz")
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]))
@@ -134,11 +140,37 @@ def grow_planes(points: DataFrame, cell: float = 0.5, cos: float = 0.95, epsilon
     off_a = F.abs(F.expr("(nx*a_sx + ny*a_sy + nz*a_sz) / a_n - d")) <= 2 * epsilon
     links = pairs.where(agree & off_a & off_b).select(F.col("a_cell_id").alias("src"), F.col("cell_id").alias("dst"))
     own = links.unionByName(cells.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst")))
-    parts = connected_components(own).withColumnRenamed("node", "cell_id")
-    sums = cells.join(parts, "cell_id").groupBy("cloud_id", F.col("component").alias("region")).agg(*[F.sum(m).alias(m) for m in MOMENTS]).where(F.col("n") >= min_points)
+    parts = connected_components(own).withColumnRenamed("node", "cell_id").withColumnRenamed("component", "region")
+    return cut(cells.join(parts, "cell_id").select("cloud_id", "ix", "iy", "iz", "region", "ox", "oy", "oz", *MOMENTS))
+
+
+def planes_of(regions: DataFrame, min_points: int = 60) -> DataFrame:
+    """``cloud_id, plane_id, region, points, nx, ny, nz, d, rms, cx, cy, cz``: regions of at least min_points refitted, largest first."""
+    sums = regions.groupBy("cloud_id", "ox", "oy", "oz", "region").agg(*[F.sum(m).alias(m) for m in MOMENTS]).where(F.col("n") >= min_points)
     order = Window.partitionBy("cloud_id").orderBy(F.desc("n"), "region")
     planes = fit_planes(sums).withColumn("plane_id", F.row_number().over(order) - 1)
-    return planes.select("cloud_id", "plane_id", F.col("n").alias("points"), "nx", "ny", "nz", "d", "rms")
+    d = F.expr("d + nx*ox + ny*oy + nz*oz")
+    return planes.select("cloud_id", "plane_id", "region", F.col("n").alias("points"), "nx", "ny", "nz", d.alias("d"), "rms", *[(F.col(f"s{a}") / F.col("n") + F.col(f"o{a}")).alias(f"c{a}") for a in "xyz"])
+
+
+def plane_inliers(points: DataFrame, planes: DataFrame, regions: DataFrame, cell: float = 0.5, epsilon: float = 0.05) -> DataFrame:
+    """Points within twice epsilon of the plane of their cell's region, or of a neighbouring cell's where their own has none in reach
+    (the nearest, then the lowest ``plane_id``), with that id: cells on edges aren't flat, their points still belong to the faces that meet there."""
+    ix, iy, iz = geo.voxel_key(F.col("x"), F.col("y"), F.col("z"), cell)
+    of = regions.select("cloud_id", "ix", "iy", "iz", "region").join(small(planes.select("cloud_id", "region", "plane_id", "nx", "ny", "nz", "d")), ["cloud_id", "region"])
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    near = of.withColumn("s", F.explode(steps)).withColumn("beside", (F.abs("s.i") + F.abs("s.j") + F.abs("s.k") > 0).cast("int"))
+    near = near.groupBy("cloud_id", *[(F.col(c) + F.col(f"s.{i}")).alias(c) for c, i in (("ix", "i"), ("iy", "j"), ("iz", "k"))], "plane_id", "nx", "ny", "nz", "d").agg(F.min("beside").alias("beside"))
+    near = near.groupBy("cloud_id", "ix", "iy", "iz").agg(F.collect_list(F.struct("beside", "plane_id", "nx", "ny", "nz", "d")).alias("near"))
+    rows = points.withColumns({"ix": ix, "iy": iy, "iz": iz}).join(near, ["cloud_id", "ix", "iy", "iz"])
+    off = lambda p: F.abs(p["nx"] * F.col("x") + p["ny"] * F.col("y") + p["nz"] * F.col("z") - p["d"])
+    best = F.array_min(F.transform(F.filter("near", lambda p: off(p) <= 2 * epsilon), lambda p: F.struct(p["beside"].alias("beside"), off(p).alias("off"), p["plane_id"].alias("plane_id"))))
+    return rows.withColumn("best", best).where("best is not null").select(*points.columns, F.col("best.plane_id").alias("plane_id"))
+
+
+def grow_planes(points: DataFrame, cell: float = 0.5, cos: float = 0.95, epsilon: float = 0.05, min_points: int = 60) -> DataFrame:
+    """Connected planar regions: ``cloud_id, plane_id, points, nx, ny, nz, d, rms``, see :func:`plane_regions`."""
+    return planes_of(plane_regions(points, cell, cos, epsilon), min_points).select("cloud_id", "plane_id", "points", "nx", "ny", "nz", "d", "rms")
 
 
 def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
@@ -158,46 +190,78 @@ def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     return rows.select("cloud_id", "point_id", F.coalesce("label", "touched", F.lit(-1)).alias("label"))
 
 
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What the pairs (low, high) of one block decide, in id order: ``cloud_id, point_id, kept`` of highs whose lows are all known."""
-    state: dict[int, bool] = {}
-    cloud, out = pdf["cloud_id"].iloc[0], []
-    for high, own in pdf.sort_values("high", kind="stable").groupby("high", sort=False):
-        known = [True if free else state.get(low) for low, free in zip(own["low"], own["free"], strict=True)]
-        if any(known):
-            state[high] = False
-        elif None not in known:
-            state[high] = True
+def _scan_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block's share of the ordered scan: ``cloud_id, i, j, gone`` of the pairs that are settled (gone: the point that goes, if any).
+
+    A pair waits, and with it every later pair of its points, while a point of it has its home in another block.
+    """
+    gone: set = set()
+    waits: set = set()
+    out = []
+    cloud = pdf["cloud_id"].iloc[0]
+    pdf = pdf.sort_values(["i", "j"], kind="stable")
+    for i, j, loser, home_i, home_j in zip(*(pdf[c].tolist() for c in ("i", "j", "loser", "home_i", "home_j")), strict=True):
+        if i in gone or j in gone:
+            out.append((cloud, i, j, None))
+        elif home_i and home_j and i not in waits and j not in waits:
+            gone.add(loser)
+            out.append((cloud, i, j, loser))
         else:
-            continue
-        out.append((cloud, high, state[high]))
-    return pd.DataFrame(out, columns=["cloud_id", "point_id", "kept"])
+            waits.update((i, j))
+    found = pd.DataFrame(out, columns=["cloud_id", "i", "j", "gone"])
+    return found.astype({"gone": "Int64"})
 
 
-def greedy_dedupe(points: DataFrame, r: float) -> DataFrame:
-    """Keep a point unless a kept point with a lower id of its cloud lies within r, as in id order.
+def scan_pairs(pairs: DataFrame, edge: float) -> DataFrame:
+    """``cloud_id, point_id`` of the points that go when pairs ``cloud_id, i, j, loser`` are taken in order of (i, j): the
+    loser of a pair goes unless one of its points went before. ``a, b`` are the points' places (x, y, z).
 
-    The pairs within r are settled by blocks of space, each block in id order as far as its lows are known. Blocks grow
-    fourfold from round to round, so a chain of any length ends after a few of them; what a task holds are the
-    pairs of its block that are still open, which in the last rounds means long chains alone.
+    Pairs are settled by blocks of space, as far as each block knows all pairs of their points. Blocks grow 32-fold from round to
+    round and their borders move to other places, so a chain of any length ends after a round for every five doublings
+    of its extent, wherever the origin lies; what a task holds are the pairs of its block that are still open.
     """
-    p = points.select("cloud_id", "point_id", "x", "y", "z")
-    near = within(p, p, r, "cloud_id").where("a.point_id < b.point_id")
-    live = cut(near.select("a.cloud_id", F.col("a.point_id").alias("low"), F.col("b.point_id").alias("high"), *[F.col(f"b.{a}") for a in "xyz"]))
-    kinds = dict(points.dtypes)
-    shape = f"cloud_id {kinds['cloud_id']}, point_id {kinds['point_id']}, kept boolean"
-    gone, edge = [], 8 * r
+    live = cut(pairs.select("cloud_id", "i", "j", "loser", "a", "b"))
+    kind = dict(live.dtypes)
+    shape = f"cloud_id {kind['cloud_id']}, i {kind['i']}, j {kind['j']}, gone {kind['i']}"
+    lost, turn = [], 0
     while live.head(1):
-        waits = live.select("cloud_id", F.col("high").alias("low"), F.lit(False).alias("free")).distinct()
-        rows = live.join(waits, ["cloud_id", "low"], "left").withColumn("free", F.coalesce("free", F.lit(True)))
-        block = [F.floor(F.col(a) / edge).alias(f"b{a}") for a in "xyz"]
-        found = cut(rows.select("cloud_id", "low", "high", "free", *block).groupBy("cloud_id", "bx", "by", "bz").applyInPandas(_settle, shape))
-        dropped = found.where("not kept").select("cloud_id", "point_id")
-        gone.append(dropped)
-        live = live.join(found.select("cloud_id", F.col("point_id").alias("high")), ["cloud_id", "high"], "left_anti")
-        live = cut(live.join(dropped.withColumnRenamed("point_id", "low"), ["cloud_id", "low"], "left_anti"))
-        edge *= 4
-    return points.join(reduce(DataFrame.unionByName, gone), ["cloud_id", "point_id"], "left_anti") if gone else points
+        # Fractions of multiples of irrational numbers: no place stays near a border.
+        shift = [edge * ((turn + 1) * f % 1) for f in (0.6180339887, 0.4142135624, 0.7320508076)]
+        block = lambda p: F.struct(*[F.floor((F.col(p)[x] + s) / edge).alias(x) for x, s in zip("xyz", shift, strict=True)])  # noqa: B023, E731
+        rows = live.withColumns({"ba": block("a"), "bb": block("b")}).withColumn("at", F.explode(F.array_distinct(F.array("ba", "bb"))))
+        rows = rows.select("cloud_id", "i", "j", "loser", (F.col("at") == F.col("ba")).alias("home_i"), (F.col("at") == F.col("bb")).alias("home_j"), "at.x", "at.y", "at.z")
+        found = cut(rows.groupBy("cloud_id", "x", "y", "z").applyInPandas(_scan_pairs, shape))
+        out = found.where("gone is not null").select("cloud_id", F.col("gone").alias("point_id")).distinct()
+        lost.append(out)
+        live = live.join(found.select("cloud_id", "i", "j").distinct(), ["cloud_id", "i", "j"], "left_anti")
+        for end in ("i", "j"):
+            live = live.join(out.withColumnRenamed("point_id", end), ["cloud_id", end], "left_anti")
+        live = cut(live.select("cloud_id", "i", "j", "loser", "a", "b"))
+        edge, turn = edge * 32, turn + 1
+    return reduce(DataFrame.unionByName, lost).distinct() if lost else pairs.select("cloud_id", F.col("i").alias("point_id")).limit(0)
+
+
+def _close_pairs(points: DataFrame, r: float) -> DataFrame:
+    near = within(points, points, r, "cloud_id").where("a.point_id < b.point_id")
+    return near.select("a.cloud_id", F.col("a.point_id").alias("i"), F.col("b.point_id").alias("j"), "a", "b")
+
+
+def greedy_dedupe(points: DataFrame, r: float) -> DataFrame:
+    """Keep a point unless a kept point with a lower id of its cloud lies within r, as in id order. Ids are unique in their cloud; rows without an id or place stay."""
+    pairs = _close_pairs(points.select("cloud_id", "point_id", "x", "y", "z"), r).withColumn("loser", F.col("j"))
+    return points.join(scan_pairs(pairs, 8 * r), ["cloud_id", "point_id"], "left_anti")
+
+
+def dedupe_poses_within(points: DataFrame, r: float = 0.5, max_deg: float = 30.0) -> DataFrame:
+    """Of two points within r that look less than ``max_deg`` of heading apart, the one with the steeper pitch goes (of equals the later).
+
+    Pairs are taken in order of their ids (lower, then higher), and a point that went takes no other with it. Points carry ``heading_deg`` and ``gimbal_pitch_deg``.
+    """
+    near = _close_pairs(points.select("cloud_id", "point_id", "x", "y", "z", "heading_deg", "gimbal_pitch_deg"), r)
+    apart = F.abs(F.col("a.heading_deg") - F.col("b.heading_deg"))
+    alike = near.where(F.when(apart > 180, 360 - apart).otherwise(apart) < max_deg)
+    loser = F.when(F.abs("a.gimbal_pitch_deg") <= F.abs("b.gimbal_pitch_deg"), F.col("j")).otherwise(F.col("i"))
+    return points.join(scan_pairs(alike.withColumn("loser", loser), 8 * r), ["cloud_id", "point_id"], "left_anti")
 
 
 def hull(xy: np.ndarray) -> np.ndarray:

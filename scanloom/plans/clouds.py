@@ -58,6 +58,19 @@ def greedy_point_dedup(spark, sf_dir):
     return clouds.greedy_dedupe(p, 1.5).select(F.col("cloud_id").alias("mission_id"), F.col("point_id").alias("idx"))
 
 
+@register("pose_dedup_within", f"""WITH RECURSIVE {WP}, e AS (SELECT a.mission_id, a.idx AS i, b.idx AS j, CASE WHEN abs(a.gimbal_pitch_deg) <= abs(b.gimbal_pitch_deg) THEN b.idx ELSE a.idx END AS loser FROM waypoints a JOIN waypoints b ON a.mission_id = b.mission_id AND a.idx < b.idx
+  AND (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 <= 9e0 AND least(abs(a.heading_deg-b.heading_deg), 360-abs(a.heading_deg-b.heading_deg)) < 60),
+o AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY i, j) AS r FROM e),
+g AS (SELECT mission_id, CAST(0 AS BIGINT) AS r, CAST([] AS INT[]) AS gone FROM waypoints WHERE idx = 0 UNION ALL
+  SELECT o.mission_id, o.r, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, loser) END FROM g JOIN o ON o.mission_id = g.mission_id AND o.r = g.r + 1),
+z AS (SELECT mission_id, arg_max(gone, r) AS gone FROM g GROUP BY mission_id)
+SELECT w.mission_id, w.idx FROM waypoints w JOIN z USING (mission_id) WHERE NOT list_contains(gone, idx)""")
+def pose_dedup_within(spark, sf_dir):
+    """Positions that look the same way, thinned to the flatter look."""
+    p = view(spark, sf_dir, "waypoints").select(F.col("mission_id").alias("cloud_id"), F.col("idx").alias("point_id"), "x", "y", "z", "heading_deg", "gimbal_pitch_deg")
+    return clouds.dedupe_poses_within(p, 3.0, 60.0).select(F.col("cloud_id").alias("mission_id"), F.col("point_id").alias("idx"))
+
+
 @register("dbscan")
 def dbscan(spark, sf_dir):
     return clouds.dbscan(pts(spark, sf_dir), 0.12, 4)

@@ -19,6 +19,33 @@ def frame(spark, xyz, cloud=0):
     return spark.createDataFrame([(cloud, i, *map(float, p)) for i, p in enumerate(xyz)], "cloud_id long, point_id long, x double, y double, z double")
 
 
+def test_dedupe_of_a_zigzag_across_both_axes(spark):
+    """65,535 points that cross x = 0 and y = 0 at every step, each near the one before."""
+    k = np.arange(65_535)
+    p = np.column_stack([np.where(k % 2, 0.3, -0.3), np.where(k // 2 % 2, 0.3, -0.3), k * 1.0])
+    got = sorted(r.point_id for r in clouds.greedy_dedupe(frame(spark, p), 1.5).collect())
+    assert got == list(range(0, 65_535, 2))
+
+
+def slow_scan(xyz, heading, pitch, r, deg):
+    gone = set()
+    for i in range(len(xyz)):
+        for j in range(i + 1, len(xyz)):
+            turn = abs(heading[i] - heading[j])
+            if np.linalg.norm(xyz[i] - xyz[j]) <= r and min(turn, 360 - turn) < deg and not {i, j} & gone:
+                gone.add(j if abs(pitch[i]) <= abs(pitch[j]) else i)
+    return sorted(set(range(len(xyz))) - gone)
+
+
+@pytest.mark.parametrize("r", [0.2, 0.7])
+def test_poses_within_a_radius_in_pair_order(spark, r):
+    rng = np.random.default_rng(4)
+    xyz, heading, pitch = (rng.random((350, 3)) - 0.5) * [6, 2, 1], rng.integers(0, 360, 350) * 1.0, rng.integers(-3, 4, 350) * 10.0
+    df = spark.createDataFrame([(9, i, *map(float, xyz[i]), float(heading[i]), float(pitch[i])) for i in range(350)], "cloud_id int, point_id int, x double, y double, z double, heading_deg double, gimbal_pitch_deg double")
+    assert sorted(x.point_id for x in clouds.dedupe_poses_within(df, r, 90.0).collect()) == slow_scan(xyz, heading, pitch, r, 90.0)
+    assert clouds.dedupe_poses_within(df.limit(0), r).collect() == []
+
+
 def test_dedupe_of_a_long_chain_and_of_a_dense_cloud(spark):
     chain = np.column_stack([np.arange(4000), np.zeros(4000), np.zeros(4000)])
     got = sorted(r.point_id for r in clouds.greedy_dedupe(frame(spark, chain), 1.5).collect())
