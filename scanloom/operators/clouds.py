@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from scanloom.functions import geo
 from scanloom.operators.graph import connected_components
 from scanloom.operators.joins import small, within
+from scanloom.operators.neighbours import blocks, mean_distances, pairs_in
 from scanloom.session import cut
 
 
@@ -55,25 +56,12 @@ def detection_defaults(spacing: DataFrame) -> DataFrame:
     return spacing.withColumns({"epsilon_m": clip(nn * 0.5, 0.015, 0.05), "cluster_m": clip(nn * 4, 0.1, 0.5), "min_points": clip(F.round(0.3 / (nn * nn)), 25.0, 250.0).cast("int"), "mesh_voxel_m": clip(nn * 1.5, 0.03, 0.15)})
 
 
-def knn_mean_distance(points: DataFrame, k: int, reach: float) -> DataFrame:
-    """``cloud_id, point_id, mean_d`` over the k nearest others, however far, or all others of a smaller cloud.
+def knn_mean_distance(points: DataFrame, k: int, reach: float | None = None) -> DataFrame:
+    """``cloud_id, point_id, mean_d`` over the k nearest others, however far, or all others of a smaller cloud."""
+    return mean_distances(points, k, reach)
 
-    Neighbours are sought within reach first; points with fewer than k there look again twice as far.
-    """
-    p = points.select("cloud_id", "point_id", "x", "y", "z")
-    sizes = p.groupBy("cloud_id").agg((F.count("*") - 1).alias("others")).where("others > 0")
-    todo, done = cut(p.join(small(sizes), "cloud_id").withColumn("want", F.least(F.lit(k), F.col("others"))).drop("others")), []
-    w = Window.partitionBy("cloud_id", "point_id").orderBy("distance", "o")
-    while todo.head(1):
-        near = within(todo, p, reach, "cloud_id").where("a.point_id <> b.point_id").select("a.cloud_id", "a.point_id", "a.want", "distance", F.col("b.point_id").alias("o"))
-        best = near.withColumn("rn", F.row_number().over(w)).where("rn <= want").groupBy("cloud_id", "point_id", "want").agg(F.count("*").alias("n"), F.avg("distance").alias("mean_d"))
-        done.append(cut(best.where("n = want").select("cloud_id", "point_id", "mean_d")))
-        todo = cut(todo.join(done[-1], ["cloud_id", "point_id"], "left_anti"))
-        reach *= 2
-    return reduce(DataFrame.unionByName, done, points.select("cloud_id", "point_id", F.lit(0.0).alias("mean_d")).limit(0))
-
-
-def remove_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, reach: float = 0.5) -> DataFrame:
+
+def remove_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, reach: float | None = None) -> DataFrame:
     """Points whose mean neighbour distance is at most mean + ratio * standard deviation of their cloud; the only point of a cloud goes."""
     d = cut(knn_mean_distance(points, k, reach))
     limit = d.groupBy("cloud_id").agg((F.avg("mean_d") + ratio * F.stddev_samp("mean_d")).alias("limit"))
@@ -173,21 +161,67 @@ def grow_planes(points: DataFrame, cell: float = 0.5, cos: float = 0.95, epsilon
     return planes_of(plane_regions(points, cell, cos, epsilon), min_points).select("cloud_id", "plane_id", "points", "nx", "ny", "nz", "d", "rms")
 
 
-def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
+def _dbscan_block(eps: float, min_points: int):
+    """What a block says of its own points: core points and their cell (kind 0), cells whose cores are linked (1), points at a core's cell (2)."""
+    side = eps / np.sqrt(3)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        xyz, ids, own = pdf[["x", "y", "z"]].to_numpy(), pdf["point_id"].to_numpy(), pdf["own"].to_numpy()
+        cell = np.floor(xyz / side).astype(np.int64)
+        at, of = np.unique(cell, axis=0, return_inverse=True)
+        of = of.ravel()
+        # Points of one cell lie within eps of one another: a full cell needs no counting.
+        core = np.bincount(of)[of] >= min_points
+        ask = np.flatnonzero(~core)
+        for rows, who, _, _ in pairs_in(xyz, ask, eps) if len(ask) else ():
+            core[ask[rows]] = np.bincount(who, minlength=len(ask))[rows] + 1 >= min_points
+        links, touch = [], []
+        mine = np.flatnonzero(own)
+        for _, who, other, _ in pairs_in(xyz, mine, eps) if len(mine) else ():
+            a, ok = mine[who], core[other]
+            a, b = a[ok], other[ok]
+            links.append(np.unique(np.column_stack([of[a], of[b]])[core[a] & (of[a] != of[b])], axis=0))
+            touch.append(np.unique(np.column_stack([a, of[b]])[~core[a]], axis=0))
+        links = np.unique(np.concatenate(links), axis=0) if links else np.empty((0, 2), int)
+        touch = np.unique(np.concatenate(touch), axis=0) if touch else np.empty((0, 2), int)
+        cores = mine[core[mine]]
+        none = lambda n: [None] * n
+        kind = np.repeat([0, 1, 2], [len(cores), len(links), len(touch)])
+        places = np.concatenate([at[of[cores]], at[links[:, 0]], at[touch[:, 1]]]) if len(kind) else np.empty((0, 3), np.int64)
+        seconds = at[links[:, 1]]
+        out = {"cloud_id": pdf["cloud_id"].iloc[0], "kind": kind, "point_id": pd.Series([*ids[cores].tolist(), *none(len(links)), *ids[touch[:, 0]].tolist()], dtype=object)}
+        out |= {f"c{a}": places[:, i] for i, a in enumerate("xyz")}
+        out |= {f"d{a}": pd.array([*none(len(cores)), *seconds[:, i].tolist(), *none(len(touch))], "Int64") for i, a in enumerate("xyz")}
+        found = pd.DataFrame(out)
+        return found if len(found) else found.iloc[:0]
+
+    return run
+
+
+def dbscan(points: DataFrame, eps: float, min_points: int, edge: float = 12.0) -> DataFrame:
     """``cloud_id, point_id, label``: clusters of core points within eps of one another (label: least core id of the
-    cluster), border points with the least core label they touch, -1 for noise. A point counts as its own neighbour."""
-    p = points.select("cloud_id", "point_id", "x", "y", "z").withColumn("node", F.xxhash64("cloud_id", "point_id"))
-    pairs = cut(within(p, p, eps, "cloud_id").select("a.cloud_id", F.col("a.point_id").alias("pa"), F.col("b.point_id").alias("pb")))
-    core = cut(pairs.groupBy("cloud_id", "pa").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("cloud_id", F.col("pa").alias("point_id")))
-    both = pairs.join(core.withColumnRenamed("point_id", "pa"), ["cloud_id", "pa"]).join(core.withColumnRenamed("point_id", "pb"), ["cloud_id", "pb"])
-    # Ids are packed with their cloud (clouds below 2^20, points below 2^43) so that components never mix clouds.
-    node = lambda c: F.shiftleft(F.col("cloud_id").cast("long"), 43).bitwiseOR(F.col(c).cast("long"))
-    parts = connected_components(both.select(node("pa").alias("src"), node("pb").alias("dst")))
-    mask = (1 << 43) - 1
-    labels = parts.select(F.shiftright("node", 43).alias("cloud_id"), F.col("node").bitwiseAND(F.lit(mask)).alias("point_id"), F.col("component").bitwiseAND(F.lit(mask)).alias("label"))
-    touch = pairs.join(labels.withColumnRenamed("point_id", "pb"), ["cloud_id", "pb"]).groupBy("cloud_id", F.col("pa").alias("point_id")).agg(F.min("label").alias("touched"))
-    rows = points.select("cloud_id", "point_id").join(labels, ["cloud_id", "point_id"], "left").join(touch, ["cloud_id", "point_id"], "left")
-    return rows.select("cloud_id", "point_id", F.coalesce("label", "touched", F.lit(-1)).alias("label"))
+    cluster), border points with the least core label they touch, -1 for noise. A point counts as its own neighbour.
+
+    Points are dealt to blocks of ``edge`` times eps with a margin of twice eps; what leaves a block is one row a core point, the links of
+    cells in which all points are within eps, and the cells that border points touch: no pairs of points. Keys and
+    ids may be of any type; ids are unique in their cloud. Rows without a place are noise.
+    """
+    kinds = dict(points.dtypes)
+    number = kinds["point_id"] in ("tinyint", "smallint", "int", "bigint")
+    whole = points.select("cloud_id", "point_id", "x", "y", "z")
+    ok = " and ".join(f"{a} is not null and not isnan({a}) and abs({a}) < double('inf')" for a in "xyz")
+    dealt = blocks(whole.where(ok), edge * eps, 2 * eps)
+    shape = f"cloud_id {kinds['cloud_id']}, kind int, point_id {kinds['point_id']}, " + ", ".join(f"{p}{a} long" for p in "cd" for a in "xyz")
+    found = cut(dealt.groupBy("cloud_id", "bx", "by", "bz").applyInPandas(_dbscan_block(eps, min_points), shape))
+    node = lambda p: F.xxhash64("cloud_id", *[f"{p}{a}" for a in "xyz"])
+    cores = found.where("kind = 0").select("cloud_id", "point_id", node("c").alias("node"))
+    edges = found.where("kind = 1").select(node("c").alias("src"), node("d").alias("dst")).unionByName(cores.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct())
+    parts = connected_components(edges)
+    cores = cut(cores.join(parts, "node").select("cloud_id", "point_id", "node", "component"))
+    least = cores.groupBy("cloud_id", "component").agg(F.min("point_id").alias("label"))
+    touched = found.where("kind = 2").select("cloud_id", "point_id", node("c").alias("node")).join(cores.select("cloud_id", "node", "component").distinct(), ["cloud_id", "node"]).select("cloud_id", "point_id", "component")
+    labels = cores.select("cloud_id", "point_id", "component").unionByName(touched).join(least, ["cloud_id", "component"]).groupBy("cloud_id", "point_id").agg(F.min("label").alias("label"))
+    return whole.select("cloud_id", "point_id").join(labels, ["cloud_id", "point_id"], "left").withColumn("label", F.coalesce("label", F.lit(-1 if number else "-1").cast(kinds["point_id"])))
 
 
 def _scan_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,8 +242,7 @@ def _scan_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
             out.append((cloud, i, j, loser))
         else:
             waits.update((i, j))
-    found = pd.DataFrame(out, columns=["cloud_id", "i", "j", "gone"])
-    return found.astype({"gone": "Int64"})
+    return pd.DataFrame(out, columns=["cloud_id", "i", "j", "gone"], dtype=object)  # ids with nulls, of any type
 
 
 def scan_pairs(pairs: DataFrame, edge: float) -> DataFrame:

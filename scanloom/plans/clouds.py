@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanloom.operators import clouds, graph, validate
+from scanloom.operators import clouds, neighbours, graph, validate
 from scanloom.plans.common import FACADES_SQL, facades, fold180, rounded
 from scanloom.plans.missions import SEG
 from scanloom.registry import register
@@ -41,7 +41,7 @@ _KNN = f"{PT}, c AS (SELECT *, floor(x) AS cx, floor(y) AS cy, floor(z) AS cz FR
 
 @register("statistical_outliers", f"WITH {_KNN}, k AS (SELECT cloud_id, point_id, avg(d) AS m FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id, point_id ORDER BY d, o) AS r FROM n) WHERE r <= 6 GROUP BY ALL), l AS (SELECT cloud_id, avg(m) + 1.5e0*stddev_samp(m) AS lim FROM k GROUP BY cloud_id) SELECT cloud_id, point_id FROM k JOIN l USING (cloud_id) WHERE m <= lim")
 def statistical_outliers(spark, sf_dir):
-    return clouds.remove_outliers(pts(spark, sf_dir), k=6, ratio=1.5, reach=0.1).select("cloud_id", "point_id")
+    return clouds.remove_outliers(pts(spark, sf_dir), k=6, ratio=1.5).select("cloud_id", "point_id")
 
 
 @register("rigid_transform", f"WITH {PT} SELECT cloud_id, point_id, round(0.8e0*x-0.6e0*y+1,6)+0 AS x, round(0.6e0*x+0.8e0*y-2,6)+0 AS y, round(z+0.5e0,6)+0 AS z FROM points")
@@ -71,6 +71,15 @@ def pose_dedup_within(spark, sf_dir):
     return clouds.dedupe_poses_within(p, 3.0, 60.0).select(F.col("cloud_id").alias("mission_id"), F.col("point_id").alias("idx"))
 
 
+@register("cloud_normals")
+def cloud_normals(spark, sf_dir):
+    """Normals of all points, counted by the face that they are on and the axis that they follow within 10 degrees."""
+    p = pts(spark, sf_dir)
+    n = neighbours.estimate_normals(p, 18)
+    axis = F.when(F.abs("nx") > 0.985, "x").when(F.abs("ny") > 0.985, "y").when(F.abs("nz") > 0.985, "z").otherwise("none")
+    return p.join(n, ["cloud_id", "point_id"]).groupBy("cloud_id", "plane_id", axis.alias("axis")).agg(F.count("*").alias("points"))
+
+
 @register("dbscan")
 def dbscan(spark, sf_dir):
     return clouds.dbscan(pts(spark, sf_dir), 0.12, 4)

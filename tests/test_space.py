@@ -133,3 +133,25 @@ def test_cone_targets_are_the_best_of_all_points(spark):
         if ok.any():
             want[c[2]] = int(np.where(ok, np.round(cos - 0.001 * n / 15, 9), -9).argmax())
     assert {r.idx: r.point_id for r in reports.cone_targets(w, points, 15.0).collect()} == want
+
+
+@pytest.mark.parametrize("pairs", [50, 2_000_000])
+def test_neighbours_and_normals_against_brute_force(spark, monkeypatch, pairs):
+    """A plane, a dense clump, a far row and repeated places, some clouds smaller than k; few or many pairs at a time."""
+    from scanloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "PAIRS", pairs)
+    rng = np.random.default_rng(6)
+    flat = np.column_stack([rng.random((500, 2)) * 8 - 4, rng.normal(0, 0.003, 500)])
+    clump = rng.normal(0, 0.01, (200, 3)) + [1, 1, 3]
+    xyz = np.concatenate([flat, clump, [[500.0, -300.0, 40.0]], np.tile([[2.0, 2.0, 9.0]], (9, 1))])
+    df = frame(spark, xyz).unionByName(frame(spark, xyz[:4], 1)).unionByName(frame(spark, xyz[:1], 2)).unionByName(frame(spark, [[np.nan, 0, 0]], 1).withColumn("point_id", F.lit(99).cast("long")))
+    got = {(r.cloud_id, r.point_id): r for r in neighbours.mean_distances(df.withColumn("n", F.lit(1)), 7).collect()}
+    d = np.sort(np.linalg.norm(xyz[:, None] - xyz[None], axis=2), axis=1)[:, 1:]
+    assert len(got) == len(xyz) + 4 and all(abs(got[0, i].mean_d - d[i, :7].mean()) < 1e-9 for i in range(len(xyz)))
+    four = np.sort(np.linalg.norm(xyz[:4, None] - xyz[None, :4], axis=2), axis=1)[:, 1:]
+    assert all(abs(got[1, i].mean_d - four[i].mean()) < 1e-9 for i in range(4))
+    normals = {r.point_id: r for r in neighbours.estimate_normals(frame(spark, xyz), 12).collect()}
+    assert all(abs(np.sqrt(r.nx**2 + r.ny**2 + r.nz**2) - 1) < 1e-9 for r in normals.values())
+    assert sum(normals[i].nz > 0.99 for i in range(500)) > 490
+    assert neighbours.estimate_normals(df.limit(0)).collect() == []
