@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanloom.operators import clouds, planes
+from scanloom.operators import augment, clouds, edges, planes, voting
 from scanloom.plans.common import rounded
 from scanloom.registry import register
 from scanloom.session import table
@@ -82,3 +82,80 @@ def faces_of(points, **options):
     found = clouds.planes_of(regions)
     inliers = clouds.plane_inliers(points, found, regions)
     return planes.as_facades(planes.oriented_rectangles(planes.snap_parallel(found.drop("d", "rms", "region")), inliers, **options))
+
+
+#: The planted box's faces, offsets to the nearest half metre.
+_BOX = "(VALUES ('x', -5e0), ('x', 5e0), ('y', -25e-1), ('y', 25e-1), ('z', 4e0)) AS b(axis, offset_m)"
+_AXIS = "CASE WHEN abs(nx) > 0.99 THEN 'x' WHEN abs(ny) > 0.99 THEN 'y' WHEN abs(nz) > 0.99 THEN 'z' END AS axis"
+
+
+@register("voted_planes", f"WITH {PT} SELECT cloud_id, axis, offset_m FROM (SELECT DISTINCT cloud_id FROM points) c CROSS JOIN {_BOX}")
+def voted_planes(spark, sf_dir):
+    """Planes that hypothesis voting finds in every cloud: one a side of the planted box and no other."""
+    found, _ = voting.vote(view(spark, sf_dir, "points").select("cloud_id", "point_id", "x", "y", "z"), threshold=0.05, least=1500)
+    return found.selectExpr("cloud_id", _AXIS, "round(2 * d * sign(nx + ny + nz)) / 2 + 0e0 AS offset_m")
+
+
+@register("voted_walls", f"WITH {PT} SELECT cloud_id, axis, offset_m, CASE axis WHEN 'z' THEN 'roof' ELSE 'wall' END AS kind, CASE WHEN axis = 'z' THEN 1 ELSE sign(offset_m) END::DOUBLE AS outward FROM (SELECT DISTINCT cloud_id FROM points) c CROSS JOIN {_BOX}")
+def voted_walls(spark, sf_dir):
+    """Walls from lines of the height slice and the roof from the top slice."""
+    faces = voting.ransac_wall_faces(view(spark, sf_dir, "points"), walls=(0.15, 1000, 20), skip=0.1)
+    return faces.selectExpr("cloud_id", _AXIS, "round(2 * CASE WHEN abs(nx) > 0.99 THEN vertices[0].x WHEN abs(ny) > 0.99 THEN vertices[0].y ELSE vertices[0].z END) / 2 + 0e0 AS offset_m", "split(label, '_')[0] AS kind", "round(nx + ny + nz) + 0e0 AS outward")
+
+
+@register("voted_clusters")
+def voted_clusters(spark, sf_dir):
+    """Steep planes of all clouds as one face for each cluster of their inliers."""
+    return rounded(voting.ransac_plane_faces(view(spark, sf_dir, "points"), least=100, min_points=10).drop("vertices"))
+
+
+#: A ring round every cloud, of which one side lies in the open and one is too short.
+_RING = "(VALUES (0, 52e-1, -26e-1), (1, 52e-1, 26e-1), (2, -2e0, 26e-1), (3, -2e0, 27e-1), (4, -52e-1, 27e-1), (5, -52e-1, -26e-1), (6, -1e1, -9e0)) AS r(k, x, y)"
+EDGES = f"""{PT}, z AS (SELECT cloud_id, quantile_cont(z, 0.05) AS g, quantile_cont(z, 0.95) AS t FROM points GROUP BY cloud_id), h AS (SELECT *, greatest(3e0, t - g) AS h FROM z),
+e AS (SELECT k AS edge, x AS ax, y AS ay, coalesce(lead(x) OVER (ORDER BY k), first_value(x) OVER (ORDER BY k)) AS ex, coalesce(lead(y) OVER (ORDER BY k), first_value(y) OVER (ORDER BY k)) AS ey FROM {_RING}),
+l AS (SELECT *, sqrt((ex-ax)**2+(ey-ay)**2) AS length FROM e), d AS (SELECT *, (ex-ax)/length AS dx, (ey-ay)/length AS dy, CASE WHEN length >= 1.5 THEN greatest(2, CAST(round_even(length, 0) AS INT)) ELSE 0 END AS samples FROM l),
+s AS (SELECT *, length/samples AS pitch, unnest(range(samples)) AS sample FROM d WHERE samples > 0), a AS (SELECT *, ax + (sample+0.5e0)*pitch*dx AS sx, ay + (sample+0.5e0)*pitch*dy AS sy FROM s),
+i AS (SELECT p.cloud_id, edge, sample, (x-sx)*(-dy)+(y-sy)*dx AS inward FROM a, points p JOIN h USING (cloud_id) WHERE z > g + 0.2e0*h AND z < t + 1 AND abs((x-sx)*dx+(y-sy)*dy) < 0.6e0*pitch AND (x-sx)*(-dy)+(y-sy)*dx > -0.5e0 AND (x-sx)*(-dy)+(y-sy)*dx < 5e0),
+m AS (SELECT cloud_id, edge, median(inward) AS m FROM i GROUP BY cloud_id, edge, sample), n AS (SELECT cloud_id, edge, count(*) AS hits, avg(m) AS m FROM m GROUP BY ALL),
+r AS (SELECT z.cloud_id, d.*, CASE WHEN samples > 0 THEN coalesce(hits, 0)/samples ELSE 0e0 END AS hit_rate, n.m, g, t FROM z CROSS JOIN d LEFT JOIN n ON n.cloud_id = z.cloud_id AND n.edge = d.edge)"""
+
+
+def edge_faces(spark, sf_dir):
+    p = view(spark, sf_dir, "points").select("cloud_id", "x", "y", "z")
+    ring = spark.sql(f"SELECT array_sort(collect_list(struct(k, x, y))) AS c FROM {_RING}").select(F.transform("c", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("ring")).first().ring
+    rings = p.select("cloud_id").distinct().withColumn("ring", F.array(*[F.struct(F.lit(v.x).alias("x"), F.lit(v.y).alias("y")) for v in ring]))
+    return edges.polygon_edge_facades(rings, p)
+
+
+@register("edge_diagnostics", f"WITH {EDGES} SELECT cloud_id, edge, round(length,6) AS length, samples, round(hit_rate,6)+0 AS hit_rate, round(m,6)+0 AS mean_inward_m, hit_rate < 0.4 AS dropped FROM r")
+def edge_diagnostics(spark, sf_dir):
+    return rounded(edge_faces(spark, sf_dir)[1])
+
+
+@register("edge_facades", f"""WITH {EDGES}, w AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY edge) - 1 AS k FROM r WHERE hit_rate >= 0.4)
+SELECT cloud_id, CAST(k AS INT) AS facade_index, printf('wall_%02d', k) AS label, '21.1' AS component_tag, round(dy,6)+0 AS nx, round(-dx,6)+0 AS ny, 0e0 AS nz, 4 AS corners, round(ex,6)+0 AS x2, round(ey,6)+0 AS y2, round(t,6) AS z2 FROM w
+UNION ALL SELECT cloud_id, CAST((SELECT count(*) FROM w WHERE w.cloud_id = z.cloud_id) AS INT), 'roof', '27.1', 0e0, 0e0, 1e0, 7, -2e0, 2.6e0, round(t,6) FROM z""")
+def edge_facades(spark, sf_dir):
+    return rounded(edge_faces(spark, sf_dir)[0].select("cloud_id", F.col("facade_index").cast("int").alias("facade_index"), "label", "component_tag", "nx", "ny", "nz", F.size("vertices").alias("corners"), F.col("vertices")[2]["x"].alias("x2"), F.col("vertices")[2]["y"].alias("y2"), F.col("vertices")[2]["z"].alias("z2")))
+
+
+def augmented(spark, sf_dir):
+    w = view(spark, sf_dir, "waypoints").drop("building_id").where("mission_id < 8")
+    p = view(spark, sf_dir, "points").select("cloud_id", "point_id", "x", "y", "z")
+    # Scan 3 is a corner of a few points: no face; scans of missions above 3 don't exist.
+    p = p.where("cloud_id <> 3 or point_id <= 12")
+    methods = {"grown": lambda points, rings: augment.grown_faces(points, density=1.0)}
+    return augment.augment_missions(w, p, methods=methods)
+
+
+@register("augmented_missions", f"""WITH {PT}, waypoints AS ({VIEWS['waypoints']}), n AS (SELECT mission_id, count(*) AS n FROM waypoints WHERE mission_id < 8 GROUP BY mission_id)
+SELECT mission_id, CASE WHEN mission_id < 3 THEN 'ok' ELSE 'failed' END AS status, CASE mission_id WHEN 3 THEN 'no faces' WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'no scan' END AS reason, n AS waypoints, CASE WHEN mission_id < 3 THEN 5 ELSE 0 END AS faces FROM n""")
+def augmented_missions(spark, sf_dir):
+    """Missions re-aimed at the faces of their scans; those without go to the status table."""
+    return augmented(spark, sf_dir).status.select("mission_id", "status", "reason", "waypoints", "faces")
+
+
+@register("summary_round_trip", f"WITH {PT}, waypoints AS ({VIEWS['waypoints']}), n AS (SELECT mission_id, count(*) AS n FROM waypoints WHERE mission_id < 8 GROUP BY mission_id) SELECT mission_id, CASE WHEN mission_id < 3 THEN 'ok' ELSE 'failed' END AS status, n AS counted FROM n")
+def summary_round_trip(spark, sf_dir):
+    """Status rows through JSON documents and back: matched and unmatched rows add up to all."""
+    return augment.read_summaries(augment.summaries(augmented(spark, sf_dir).status)).select("mission_id", "status", (F.col("matched") + F.col("unmatched")).alias("counted"))
