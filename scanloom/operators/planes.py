@@ -99,6 +99,7 @@ def frames(planes: DataFrame, inliers: DataFrame, centres: DataFrame) -> DataFra
     A wall's u is level; otherwise u is the direction in which the inliers spread most, its largest part positive, from
     second moments about the centre in a basis of the plane.
     """
+    inliers = inliers.select("cloud_id", "plane_id", "x", "y", "z")
     own = planes.select("cloud_id", "plane_id", "nx", "ny", "nz").join(inlier_centres(inliers), ["cloud_id", "plane_id"]).join(small(centres), "cloud_id")
     out = F.when(F.expr("nx*(cx-ox) + ny*(cy-oy) + nz*(cz-oz)") < 0, -1.0).otherwise(1.0) / F.sqrt(F.expr("nx*nx + ny*ny + nz*nz"))
     rows = own.withColumn("out", out).select("cloud_id", "plane_id", "points", vec.scale(vec.at("nx", "ny", "nz"), F.col("out")).alias("n"), vec.at("cx", "cy", "cz").alias("c"))
@@ -124,6 +125,7 @@ def oriented_rectangles(planes: DataFrame, inliers: DataFrame, centres: DataFram
     go. centres: ``cloud_id, ox, oy, oz``, the middle of each cloud (of the inliers, if not given).
     """
     key = ["cloud_id", "plane_id"]
+    inliers = inliers.select(*key, "x", "y", "z")
     if centres is None:
         centres = inliers.where(_finite("x", "y", "z")).groupBy("cloud_id").agg(*[F.avg(a).alias(f"o{a}") for a in "xyz"])
     f = kept(frames(planes, inliers, centres), "plane-frames")
