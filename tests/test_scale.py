@@ -1,8 +1,9 @@
 """Steps that must not grow in one task or on the driver: broadcasts, running numbers, meshes of many buildings."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scanloom.operators import generate, joins, meshes
+from scanloom.operators import generate, joins, meshes, ordering
 
 
 def buildings(spark, n):
@@ -21,3 +22,12 @@ def test_exploded_tables_are_not_broadcast(spark):
     ):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_numbers_in_parts_are_those_of_a_window(spark):
+    df = spark.range(5000).selectExpr("(id * 7919) % 1000 as a", "id * 31 % 17 as b", "if(id % 11 = 0, null, id % 4) as k").withColumn("a", F.when(F.col("a") != 500, F.col("a")))
+    want = F.row_number().over(Window.partitionBy("k").orderBy("a", "b"))
+    rows = ordering.numbered(df, F.col("k"), ["a", "b"], "n", part_rows=300)
+    assert max(r["count"] for r in rows.groupBy("k", "n").count().collect()) == 1
+    assert sorted(map(str, rows.collect())) == sorted(map(str, df.withColumn("n", want).collect()))
+    assert ordering.numbered(df.where("a is null"), F.col("k"), ["a", "b"], "n", part_rows=3).agg(F.max("n")).first()[0] >= 1
