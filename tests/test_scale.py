@@ -62,3 +62,9 @@ def test_a_leg_that_grazes_a_corner_is_judged_as_a_whole(spark):
     through = meshes.through_boxes(near, b, w)
     assert [r.idx for r in near.orderBy("idx").collect()] == [0, 2]
     assert [r.idx for r in through.orderBy("idx").collect()] == [2]
+
+
+def test_normals_are_computed_once(spark):
+    """No filter or column writes the long expression out again: the task's code stayed interpreted, for being too large to compile."""
+    plan = meshes.adjacent_faces(meshes.box_meshes(buildings(spark, 50)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT(") <= 2
