@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scanloom.operators import filters, generate, joins, meshes, ordering
+from scanloom.operators import clouds, filters, generate, joins, meshes, ordering
 from scanloom.sources import ply
 
 
@@ -68,3 +68,43 @@ def test_normals_are_computed_once(spark):
     """No filter or column writes the long expression out again: the task's code stayed interpreted, for being too large to compile."""
     plan = meshes.adjacent_faces(meshes.box_meshes(buildings(spark, 50)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("SQRT(") <= 2
+
+
+def copied(spark, xyz, times):
+    """Every place as often as times says, ids dealt across the places."""
+    at = np.repeat(np.arange(len(xyz)), times)
+    at = np.random.default_rng(5).permutation(at)
+    return xyz[at], spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(xyz[at])], "cloud_id long, point_id long, x double, y double, z double")
+
+
+def pairs_made(monkeypatch):
+    sizes, real = [], clouds._close_pairs
+    monkeypatch.setattr(clouds, "_close_pairs", lambda p, r: sizes.append(real(p, r).count()) or real(p, r))
+    return sizes
+
+
+def test_copies_make_no_pairs_in_the_ordered_dedup(spark, monkeypatch):
+    xyz = np.random.default_rng(1).random((60, 3)) * 4
+    p, df = copied(spark, xyz, 40)
+    sizes, kept = pairs_made(monkeypatch), []
+    for i, q in enumerate(p):
+        if all(np.linalg.norm(p[k] - q) > 0.9 for k in kept):
+            kept.append(i)
+    odd = spark.createDataFrame([(0, None, 1.0, 1.0, 1.0), (0, 9000, None, 1.0, 1.0), (None, 9001, 1.0, 1.0, 1.0)], df.schema)
+    got = [r.point_id for r in clouds.greedy_dedupe(df.unionByName(odd), 0.9).collect()]
+    assert sorted(i for i in got if i is not None and i < 9000) == kept and {None, 9000, 9001} <= set(got)
+    assert sizes[0] <= 60 * 59 / 2
+
+
+def test_neighbours_of_copies(spark):
+    xyz = np.random.default_rng(2).random((40, 3)) * [3, 2, 0.1]
+    times = np.random.default_rng(3).integers(1, 12, 40)
+    p, df = copied(spark, xyz, times)
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    want = [np.sort(np.delete(d[i], i))[:5].mean() for i in range(len(p))]
+    got = {r.point_id: r.mean_d for r in clouds.knn_mean_distance(df, 5).collect()}
+    assert sorted(got) == list(range(len(p))) and np.allclose([got[i] for i in range(len(p))], want, atol=1e-12)
+    plan = clouds.knn_mean_distance(df, 5)
+    assert plan.count() == len(p)
+    near = [max(0.01, min(0.5, np.delete(d[i], i).min())) for i in range(len(p))]
+    assert abs(clouds.nn_spacing(df).first().nn_m - np.median(near)) < 1e-12
