@@ -17,6 +17,8 @@ from scanloom.operators import paths
 WAYLINES = "wpmz/waylines.wpml"
 #: Namespaces of the format.
 KML, WPML = "http://www.opengis.net/kml/2.2", "http://www.dji.com/wpmz/1.0.6"
+#: Rows of a file when a mission is cut into several: a document of a few megabytes, whatever the length of the mission.
+PART_ROWS = 5_000
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+(STATE|ACTION|UPLOAD|START|ERROR)\b(.*)$"
 
 
@@ -52,7 +54,12 @@ def _start_group(pitch: Column) -> Column:
     return _tag("startActionGroup", act(0, "gimbalRotate", _gimbal(pitch, F.lit(None).cast("double"))), act(1, "hover", hover), act(2, "setFocusType", focus))
 
 
-def waylines_xml(waypoints: DataFrame, most: int = 65_535, speed_ms: float = 3.0) -> DataFrame:
+def part_of(idx: Column, part_rows: int | None) -> Column:
+    """The file that a row goes to, from 0: files hold ranges of ``part_rows`` indexes; without it there is one."""
+    return F.floor(idx / part_rows).cast("long") if part_rows else F.lit(0).cast("long")
+
+
+def waylines_xml(waypoints: DataFrame, most: int = 65_535, speed_ms: float = 3.0, part_rows: int | None = None) -> DataFrame:
     """``mission_id, n, xml``: the executable route of every mission in the standard layout, built from columns.
 
     Height over the start (``z``, else ``alt``) is at least 2 m, the ellipsoid height is ``alt`` unless that is 0; headings
@@ -61,6 +68,9 @@ def waylines_xml(waypoints: DataFrame, most: int = 65_535, speed_ms: float = 3.0
     :func:`scanloom.operators.paths.dedupe_poses`) only a photo, and a heading where ``emit_heading`` is true.
     The folder holds distance and duration (half a second a row, at ``speed_ms``) where rows have x, y and z,
     and the group of actions before the first row. A mission of more than ``most`` rows has a null xml.
+
+    part_rows: missions are cut into files of so many indexes, ``mission_id, part, n, xml``, which together hold all rows of a mission of any
+    length; n counts the file's rows, distance and duration are the whole mission's.
     """
     have, c = set(waypoints.columns), F.col
     height = F.greatest(c("z" if "z" in have else "alt").cast("double"), F.lit(2.0))
@@ -80,13 +90,16 @@ def waylines_xml(waypoints: DataFrame, most: int = 65_535, speed_ms: float = 3.0
         _tag("waypointTurnParam", _value("waypointTurnMode", "toPointAndPassWithContinuityCurvature"), _value("waypointTurnDampingDist", "0")), F.when(c("is_transition"), "").otherwise(group), F.lit("</Placemark>"),
     )
     measured = have >= {"x", "y", "z"}
-    rows = (paths.with_path(waypoints) if measured else waypoints.withColumn("seg_m", F.lit(None).cast("double"))).select("mission_id", "idx", "seg_m", "gimbal_pitch_deg", place.alias("place"))
-    g = rows.groupBy("mission_id").agg(F.count("*").alias("n"), F.sum("seg_m").alias("m"), F.min_by("gimbal_pitch_deg", "idx").alias("pitch"), F.array_sort(F.collect_list(F.struct("idx", "place"))).alias("p"))
+    rows = (paths.with_path(waypoints) if measured else waypoints.withColumn("seg_m", F.lit(None).cast("double")))
+    totals = rows.groupBy(c("mission_id").alias("_of")).agg(F.count("*").alias("rows"), F.sum("seg_m").alias("m"))
+    rows = rows.select("mission_id", part_of(c("idx"), part_rows).alias("part"), "idx", "gimbal_pitch_deg", place.alias("place"))
+    g = rows.groupBy("mission_id", "part").agg(F.count("*").alias("n"), F.min_by("gimbal_pitch_deg", "idx").alias("pitch"), F.array_sort(F.collect_list(F.struct("idx", "place"))).alias("p"))
+    g = g.join(totals, c("mission_id").eqNullSafe(c("_of")))
     three = lambda v: F.format_string("%.3f", v)
-    size = F.concat(_tag("distance", three(c("m"))), _tag("duration", three(c("m") / max(speed_ms, 0.1) + 0.5 * c("n")))) if measured else F.lit("")
+    size = F.concat(_tag("distance", three(c("m"))), _tag("duration", three(c("m") / max(speed_ms, 0.1) + 0.5 * c("rows")))) if measured else F.lit("")
     head = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="{KML}" xmlns:wpml="{WPML}"><Document><Folder>'), _value("templateId", "0"), _value("executeHeightMode", "relativeToStartPoint"), _value("waylineId", "0"), size, _start_group(F.coalesce("pitch", F.lit(0.0))))
     body = F.concat(head, F.array_join(F.transform("p", lambda x: x["place"]), ""), F.lit("</Folder></Document></kml>"))
-    return g.select("mission_id", "n", F.when(F.col("n") <= most, body).alias("xml"))
+    return g.select("mission_id", *(["part"] if part_rows else []), "n", F.when(F.col("n") <= most, body).alias("xml"))
 
 
 def archives(xml: DataFrame) -> DataFrame:
@@ -206,8 +219,8 @@ _INTENT = (
 )
 
 
-def write_intents(route: DataFrame, reference: DataFrame | None = None, rings: DataFrame | None = None) -> DataFrame:
-    """``value``: one compact JSON document a mission, from rows as :func:`parse_waylines` gives them (key ``mission_id`` or ``archive_id``, its name).
+def write_intents(route: DataFrame, reference: DataFrame | None = None, rings: DataFrame | None = None, part_rows: int | None = None) -> DataFrame:
+    """``value``: one compact JSON document a mission, or one for every ``part_rows`` indexes of it (with the mission's name, reference and area), from rows as :func:`parse_waylines` gives them (key ``mission_id`` or ``archive_id``, its name).
 
     ``poses`` (pitch, yaw_offset, roll) is optional; reference: ``key, ref_lat, ref_lon, ref_alt``; rings: ``key, ring`` of (lon, lat, alt).
     """
@@ -215,7 +228,7 @@ def write_intents(route: DataFrame, reference: DataFrame | None = None, rings: D
     none = F.array().cast(f"array<{_POSE}>")
     poses = F.coalesce(F.transform("poses", lambda p: F.struct(p["pitch"].alias("pitch_deg"), p["yaw_offset"].alias("yaw_offset_deg"), p["roll"].alias("roll_deg"))), none) if "poses" in route.columns else none
     item = F.struct(F.col("idx").alias("index"), "lon", "lat", F.col("alt").alias("alt_egm96"), "heading_deg", "gimbal_pitch_deg", "speed_ms", "gimbal_yaw_raw_deg", "gimbal_heading_mode", "gimbal_yaw_base", poses.alias("smart_oblique_poses"))
-    g = route.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("waypoints"))
+    g = route.groupBy(key, part_of(F.col("idx"), part_rows).alias("part")).agg(F.array_sort(F.collect_list(item)).alias("waypoints"))
     at, area = ["ref_lat", "ref_lon", "ref_alt"], F.array().cast("array<array<double>>")
     g = g.join(reference.select(key, *at), key, "left") if reference is not None else g.select("*", *[F.lit(None).cast("double").alias(c) for c in at])
     if rings is not None:

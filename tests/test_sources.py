@@ -205,3 +205,13 @@ def test_detour_round_a_box(spark):
     assert [r.idx for r in meshes.colliding_segments(df.withColumn("mesh_id", F.col("building_id")), faces).collect()] == [0]
     got = meshes.with_detours(df, faces).orderBy("idx").collect()
     assert [r.is_transition for r in got] == [False, True, False, False] and [r.idx for r in got] == [0, 1, 2, 3] and got[1].z == 4.1
+
+
+def test_long_missions_are_several_files(spark):
+    w = spark.range(25).selectExpr("7L as mission_id", "cast(id as int) as idx", "double(id) as x", "0D as y", "5D as z", "52D + id / 1e5 as lat", "5D as lon", "5D as alt", "double(id) as heading_deg", "-10D - id as gimbal_pitch_deg", "double(id) as gimbal_yaw_deg", "3D as speed_ms", "id = 0 as is_transition")
+    parts = missions.waylines_xml(w, most=10, part_rows=10)
+    assert sorted((r.part, r.n) for r in parts.collect()) == [(0, 10), (1, 10), (2, 5)] and all("<wpml:distance>24.000</" in r.xml for r in parts.collect())
+    back = missions.parse_waylines(missions.read_archives(missions.archives(parts).withColumnRenamed("mission_id", "archive_id")))
+    assert [(r.archive_id, r.idx, r.gimbal_pitch_deg) for r in back.orderBy("idx").collect()] == [(7, i, -10.0 - i if i else 0.0) for i in range(25)]
+    lines = missions.write_intents(back, part_rows=10)
+    assert lines.count() == 3 and sorted((r.name, r.idx) for r in missions.read_intents(lines)[0].collect()) == [("7", i) for i in range(25)]
