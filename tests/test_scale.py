@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scanloom.operators import clouds, filters, generate, joins, meshes, ordering
+from scanloom.operators import clouds, directions, filters, generate, joins, meshes, ordering
 from scanloom.sources import ply
 
 
@@ -108,3 +108,19 @@ def test_neighbours_of_copies(spark):
     assert plan.count() == len(p)
     near = [max(0.01, min(0.5, np.delete(d[i], i).min())) for i in range(len(p))]
     assert abs(clouds.nn_spacing(df).first().nn_m - np.median(near)) < 1e-12
+
+
+def test_vertices_at_one_place_are_viewed_once(spark):
+    xyz = np.random.default_rng(4).normal(size=(80, 3))
+    xyz *= np.where(np.arange(80) % 2, 1.0, 0.2)[:, None] / np.linalg.norm(xyz, axis=1)[:, None]
+    one = frame_of(spark, xyz)
+    many = one.unionByName(one.withColumn("vid", F.col("vid") + 1000)).unionByName(one.withColumn("vid", F.col("vid") + 2000))
+    seen = directions.visible_vertices(many, bin_deg=20.0)
+    want = {r.vid for r in directions.visible_vertices(one, bin_deg=20.0).collect()}
+    assert 0 < len(want) < 80 and sorted(r.vid for r in seen.collect()) == sorted(v + k for v in want for k in (0, 1000, 2000))
+    views = [n for n in seen._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in n]
+    assert views and all("vid" not in n for n in views)
+
+
+def frame_of(spark, xyz):
+    return spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(xyz)], "mesh_id long, vid long, x double, y double, z double")
