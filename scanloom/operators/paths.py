@@ -32,17 +32,27 @@ def length(*axes: str) -> Column:
     return F.sqrt(sum((step(a) * step(a) for a in axes[1:]), step(axes[0]) * step(axes[0])))
 
 
+#: Sums of multiples of 1 / GRAIN are exact up to 2 ** 53 / GRAIN.
+GRAIN = float(1 << 20)
+
+
+def running(c: Column) -> Column:
+    """Sum of c so far, off by its last digit however many rows a mission has: the multiples of 1 / GRAIN add up without an error, what is left of them is small."""
+    whole = F.rint(c * GRAIN) / GRAIN
+    return F.sum(whole).over(so_far()) + F.sum(F.nanvl(c - whole, F.lit(0.0))).over(so_far())
+
+
 def with_path(waypoints: DataFrame) -> DataFrame:
     """Add ``seg_m`` (0 at the start) and ``cum_m``."""
     seg = waypoints.withColumn("seg_m", F.coalesce(length("x", "y", "z"), F.lit(0.0)))
-    return seg.withColumn("cum_m", F.sum("seg_m").over(so_far()))
+    return seg.withColumn("cum_m", running(F.col("seg_m")))
 
 
 def timeline(waypoints: DataFrame, inspect_ms: float = 3.0, transit_ms: float = 9.0, dwell_s: float = 1.0) -> DataFrame:
     """Add ``t_s``: when each waypoint is left; inspection rows dwell, the first is at 0."""
     p = with_path(waypoints)
     gap = F.when(F.col("idx") == 0, 0.0).otherwise(F.col("seg_m") / F.when(F.col("is_transition"), transit_ms).otherwise(inspect_ms) + F.when(F.col("is_transition"), 0.0).otherwise(dwell_s))
-    return p.withColumn("t_s", F.sum(gap).over(so_far()))
+    return p.withColumn("t_s", running(gap))
 
 
 def adjacent_deltas(waypoints: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Steps that must not grow in one task or on the driver: broadcasts, running numbers, meshes of many buildings."""
 
+import math
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scanloom.operators import clouds, directions, filters, generate, joins, meshes, ordering
+from scanloom.operators import clouds, directions, filters, generate, joins, meshes, ordering, paths
 from scanloom.sources import ply
 
 
@@ -124,3 +126,14 @@ def test_vertices_at_one_place_are_viewed_once(spark):
 
 def frame_of(spark, xyz):
     return spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(xyz)], "mesh_id long, vid long, x double, y double, z double")
+
+
+def test_long_paths_add_up(spark):
+    rng = np.random.default_rng(3)
+    xyz = rng.random((20_000, 3)) * 40
+    w = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(xyz)], "mission_id int, idx int, x double, y double, z double")
+    rows = paths.with_path(w).orderBy("idx").collect()
+    seg = np.array([r.seg_m for r in rows])
+    assert all(abs(r.cum_m - math.fsum(seg[: i + 1])) <= math.ulp(r.cum_m) for i, r in enumerate(rows) if i % 500 == 499)
+    shots = generate.path_shots(w)
+    assert shots.count() == shots.select("shot").distinct().count() == math.ceil(math.fsum(seg) / 0.65)
