@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scanloom.operators import clouds, directions, filters, generate, joins, meshes, ordering, paths
+from scanloom.operators import clouds, directions, filters, generate, joins, meshes, ordering, paths, reports
 from scanloom.sources import ply
 
 
@@ -137,3 +137,25 @@ def test_long_paths_add_up(spark):
     assert all(abs(r.cum_m - math.fsum(seg[: i + 1])) <= math.ulp(r.cum_m) for i, r in enumerate(rows) if i % 500 == 499)
     shots = generate.path_shots(w)
     assert shots.count() == shots.select("shot").distinct().count() == math.ceil(math.fsum(seg) / 0.65)
+
+
+def test_cameras_and_cells_make_no_rows(spark, monkeypatch):
+    def pairs(*args, **more):
+        raise AssertionError("cameras and cells were joined as rows")
+
+    monkeypatch.setattr(joins, "within", pairs)
+    rng = np.random.default_rng(8)
+    xyz = np.repeat(rng.random((400, 3)) * [30, 30, 10], 5, axis=0)
+    points = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(xyz)], "building_id int, point_id int, x double, y double, z double")
+    cams = [(1, 1, i * 40_000, *map(float, rng.random(3) * [30, 30, 10]), float(i * 18), None, float(-i), False) for i in range(20)]
+    w = spark.createDataFrame(cams, "building_id int, mission_id int, idx int, x double, y double, z double, heading_deg double, gimbal_yaw_deg double, gimbal_pitch_deg double, is_transition boolean")
+    want = {}
+    for _, _, idx, x, y, z, h, _, p, _ in cams:
+        h, p = np.radians(h), np.radians(p)
+        off = xyz - [x, y, z]
+        d = np.sqrt((off**2).sum(axis=1))
+        cos = off @ [np.sin(h) * np.cos(p), np.cos(h) * np.cos(p), np.sin(p)] / d
+        score = np.where((d > 0.5) & (d <= 20) & (cos >= np.cos(np.pi / 4)), np.round(cos - 0.001 * d / 20, 9), -np.inf)
+        if score.max() > -np.inf:
+            want[idx] = int(score.argmax())
+    assert {r.idx: r.point_id for r in reports.cone_targets(w, points, 20.0).collect()} == want and len(want) > 10
