@@ -159,3 +159,13 @@ def test_cameras_and_cells_make_no_rows(spark, monkeypatch):
         if score.max() > -np.inf:
             want[idx] = int(score.argmax())
     assert {r.idx: r.point_id for r in reports.cone_targets(w, points, 20.0).collect()} == want and len(want) > 10
+
+
+def test_looks_flown_again_are_judged_once(spark, monkeypatch):
+    cast, hits = [], meshes.ray_hits
+    monkeypatch.setattr(meshes, "ray_hits", lambda rays, faces, *more: cast.append(rays.count()) or hits(rays, faces, *more))
+    faces = meshes.box_meshes(buildings(spark, 2))
+    looks = spark.range(200).selectExpr("id % 2 as mesh_id", "id as idx", "double(id % 4 * 10 - 15) as x", "0D as y", "1D as z", "0D as tx", "0D as ty", "1D as tz", "0D as ux", "1D as uy", "0D as uz", "0D as vx", "0D as vy", "1D as vz")
+    got = meshes.visible_share(looks, faces, ["idx"]).select("idx", "visible").collect()
+    assert cast == [4 * 5] and sorted(r.idx for r in got) == list(range(200))
+    assert {r.visible for r in got} == {0.0}
