@@ -169,3 +169,12 @@ def test_looks_flown_again_are_judged_once(spark, monkeypatch):
     got = meshes.visible_share(looks, faces, ["idx"]).select("idx", "visible").collect()
     assert cast == [4 * 5] and sorted(r.idx for r in got) == list(range(200))
     assert {r.visible for r in got} == {0.0}
+
+
+def test_copies_of_a_place_cluster_as_one(spark, monkeypatch):
+    met, deal = [], clouds.blocks
+    monkeypatch.setattr(clouds, "blocks", lambda rows, *more: met.append(rows.count()) or deal(rows, *more))
+    df = spark.range(60).selectExpr("0 as cloud_id", "id as point_id", "double(id % 3 * 5) as x", "if(id % 2 = 0, 0D, -0D) as y", "0D as z")
+    lone = spark.createDataFrame([(0, 60 + i, 50.0, 0.0, 0.0) for i in range(2)] + [(0, 62, None, 0.0, 0.0)], df.schema)
+    got = {r.point_id: r.label for r in clouds.dbscan(df.unionByName(lone), 0.35, 6).collect()}
+    assert met == [4] and got == {i: i % 3 for i in range(60)} | {60: -1, 61: -1, 62: -1}
