@@ -178,3 +178,19 @@ def test_copies_of_a_place_cluster_as_one(spark, monkeypatch):
     lone = spark.createDataFrame([(0, 60 + i, 50.0, 0.0, 0.0) for i in range(2)] + [(0, 62, None, 0.0, 0.0)], df.schema)
     got = {r.point_id: r.label for r in clouds.dbscan(df.unionByName(lone), 0.35, 6).collect()}
     assert met == [4] and got == {i: i % 3 for i in range(60)} | {60: -1, 61: -1, 62: -1}
+
+
+def test_like_poses_of_other_faces_make_no_rows(spark, monkeypatch):
+    def pairs(*args, **more):
+        raise AssertionError("poses were joined as rows")
+
+    monkeypatch.setattr(joins, "within", pairs)
+    rng = np.random.default_rng(5)
+    rows = [(int(k), i, int(f), *map(float, p), float(q), float(y)) for i, (k, f, p, q, y) in enumerate(zip(rng.integers(0, 2, 400), rng.integers(-1, 4, 400), rng.integers(0, 60, (400, 3)) / 10, rng.integers(-60, 1, 400), rng.integers(-180, 180, 400), strict=True))]
+    rows += [(k, 1000 + i, f + 1, x, y, z, p, q) for k, i, f, x, y, z, p, q in rows[:50]] + [(0, 2000, 3, 1.0, 1.0, None, 0.0, 0.0)]
+    w = spark.createDataFrame(rows, "mission_id int, idx int, facade_index int, x double, y double, z double, gimbal_pitch_deg double, gimbal_yaw_deg double")
+    turn = lambda a, b: min(abs(a - b), 360 - abs(a - b))
+    full = [r for r in rows if r[5] is not None]
+    want = {(a[0], a[1]) for a in full if any(a[0] == b[0] and a[2] > b[2] and np.sqrt((a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2 + (a[5] - b[5]) ** 2) <= 1.5 and abs(a[6] - b[6]) <= 20 and turn(a[7], b[7]) <= 20 for b in full)}
+    got = [tuple(r) for r in joins.cross_facade_duplicates(w).collect()]
+    assert set(got) == want and len(got) == len(want) > 50
