@@ -197,10 +197,10 @@ def held_out(key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def labelled(labels: DataFrame, label: str, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` training rows ``key, y``: known labels outside the held-out fold, one for each id."""
+def labelled(labels: DataFrame, label: str, key: str = "doc_id", sample: int | None = SAMPLE) -> DataFrame:
+    """At most ``sample`` training rows ``key, y`` (None: all of them): known labels outside the held-out fold, one for each id."""
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("double").alias("y"))
-    return rows.orderBy(F.xxhash64(key), key).limit(sample)
+    return rows if sample is None else rows.orderBy(F.xxhash64(key), key).limit(sample)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> RuleEnsemble:

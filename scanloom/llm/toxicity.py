@@ -15,18 +15,21 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import TEXT_ROWS, remembered
-from scanloom.llm.quality import SAMPLE, held_out, labelled
-from scanloom.session import cut
+from scanloom.llm.quality import held_out, labelled
+from scanloom.session import cut, kept
 
 #: Letters of the character model; anything else is a word boundary (index 0).
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçéèêëíìîïñóòôöõøœúùûüýÿß"
@@ -37,12 +40,19 @@ STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SWAP, STRAY, STRETCH = -1.0, -2.5, -0.3
 #: Log costs of white space inside a word set apart, of a missing space, and of a word that isn't known. A mark or white space read as a space is free.
 GAP, MISSING, UNKNOWN = -0.5, -3.0, -4.0
-#: Known words: at most so many, in so many texts of the sample, of so many letters.
-VOCABULARY, KNOWN_DOCS, LONGEST = 50_000, 5, 24
+#: Known words: at most so many, in so many training texts and in one of so many of them, of so many letters.
+VOCABULARY, KNOWN_DOCS, KNOWN_SHARE, LONGEST = 50_000, 5, 4_000, 24
+#: Training ids up to which they are broadcast to find their texts; more of them shuffle.
+IDS_BROADCAST = 1_000_000
+#: Training rows of one block of the logistic layer.
+BLOCK_ROWS = 50_000
 #: Beginnings of words that are features, by length, and how many of them are kept.
 BEGIN = range(3, 10)
 FEATURES = 4_000
-LEAST_DOCS = 5
+#: A feature stands in so many toxic training texts, and in one of so many of them.
+LEAST_DOCS, LEAST_SHARE = 5, 2_000
+#: Counts that a task holds before it hands them on.
+TALLY_ROWS = 200_000
 WORDS_KEPT = 400_000
 #: Longer tokens are restored each time they come.
 TOKEN_KEPT = 64
@@ -121,10 +131,11 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 def vocabulary(rows: DataFrame, text: str = "text") -> dict[str, float]:
-    """Log shares of the words that enough texts of a bounded sample hold, the most frequent ones."""
+    """Log shares of the words that enough of all the texts hold, the most frequent ones."""
+    least = max(KNOWN_DOCS, rows.count() / KNOWN_SHARE)
     word = F.explode(F.array_distinct(F.split(F.lower(text), f"[^{LETTERS}]+"))).alias("w")
     n = rows.select(word).where(f"w != '' and length(w) <= {LONGEST}").groupBy("w").agg(F.count("*").alias("n"))
-    got = n.where(f"n >= {KNOWN_DOCS}").orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()
+    got = n.where(f"n >= {least}").orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()
     total = sum(r["n"] for r in got)
     return {r["w"]: math.log(r["n"] / total) for r in got}
 
@@ -312,16 +323,39 @@ def summary(weights: np.ndarray, n: int) -> tuple[float, ...]:
 DIMS = 9
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Intercept first; Newton steps with a small ridge."""
-    z = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(z.shape[1])
+def blocks(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """``block, x, y``: rows ``seen, y`` in blocks of some BLOCK_ROWS by a hash, each as the bytes of its numbers in the given order."""
+    shape = "block int, x binary, y binary"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        x, y = np.stack(pdf["seen"].to_list()).astype(float), pdf["y"].to_numpy(float)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "x": [x.tobytes()], "y": [y.tobytes()]})
+
+    block = F.pmod(F.xxhash64(*order), F.lit(-(-n // BLOCK_ROWS) or 1)).cast("int")
+    return kept(rows.withColumn("block", block).groupBy("block").applyInPandas(run, shape), "toxicity-blocks")
+
+
+def logistic(rows: DataFrame, n: int, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Intercept first; Newton steps with a small ridge over all ``n`` rows of the blocks. A round sends a gradient and a Hessian a block to the driver."""
+    w = np.zeros(DIMS)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                y = np.frombuffer(y)
+                z = np.column_stack([np.ones(len(y)), np.frombuffer(x).reshape(len(y), -1)])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                g, h = z.T @ (y - p), (z * (p * (1 - p))[:, None]).T @ z
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([[*g, *h.ravel()]], pa.list_(pa.float64()))], names=["block", "sums"])
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (y - p) - ridge * len(y) * w * np.r_[0, np.full(len(w) - 1, 0.01)]
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.eye(len(w)) * (1e-6 + ridge * len(y) * 0.01)
+        got = rows.mapInArrow(sums, "block int, sums array<double>").collect()
+        total = np.sum([r["sums"] for r in sorted(got, key=lambda r: r["block"])], axis=0)
+        g = total[:DIMS] - ridge * n * w * np.r_[0, np.full(DIMS - 1, 0.01)]
+        h = total[DIMS:].reshape(DIMS, DIMS) + np.eye(DIMS) * (1e-6 + ridge * n * 0.01)
         step = np.linalg.solve(h, g)
-        w += step
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -371,54 +405,122 @@ def _summaries(rows: DataFrame, model: Model, keep: list[str], text: str) -> Dat
     return got.withColumnsRenamed({f"k{i}": k for i, k in enumerate(keep)})
 
 
-def lexicon(counts: DataFrame, clean: int, toxic: int) -> dict[str, float]:
-    """Log odds of the FEATURES word beginnings with the most telling counts ``f, c, t``."""
-    a, b = (F.col("t") + 0.5) / (toxic + 1.0), (F.col("c") + 0.5) / (clean + 1.0)
-    z = (a - b) / F.sqrt((F.col("t") + F.col("c") + 0.5) / (clean + toxic + 1.0) * (1.0 / toxic + 1.0 / clean))
-    rows = counts.where(f"t >= {LEAST_DOCS}").select("f", F.log(a / b).alias("w"), z.alias("z")).where("z > 4 and w > 0.7")
-    return {r["f"]: float(r["w"]) for r in rows.orderBy(F.desc("z"), "f").limit(FEATURES).collect()}
+class Features(dict):
+    """The features of the words of each token, remembered; of those in ``wanted`` alone, if there are such."""
 
+    def __init__(self, logp: np.ndarray, vocabulary: dict[str, float], wanted: frozenset[str] | None = None) -> None:
+        super().__init__()
+        self.wanted = wanted
+        self.channel = Channel(logp, vocabulary, None if wanted is None else Model(logp, dict.fromkeys(wanted, 1.0), np.zeros(DIMS), vocabulary).hot())
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """The character model counts all texts; the rest learns from at most ``sample`` training
-    rows. The logistic layer sees each half of them under word weights of the other."""
-    logp = language_model(trigrams(docs, text))
-    # At most ``sample`` ids: the broadcast has a known bound.
-    rows = docs.select(key, text).join(F.broadcast(labelled(labels, label, key, sample)), key).withColumn("half", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2)).cast("int"))
-    # Of texts that share an id the one with the smallest hash, in every run.
-    one = F.min(F.struct(F.xxhash64(text).alias("h"), text, "y", "half")).alias("d")
-    rows = cut(rows.groupBy(key).agg(one).select(key, f"d.{text}", "d.y", "d.half"))
-    known = vocabulary(rows, text)
+    def words(self, token: str) -> list[str]:
+        return self.channel.word(token).split()
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        got = tuple(f for w in self.words(token) for f in _features(w) if self.wanted is None or f in self.wanted)
+        if len(token) <= TOKEN_KEPT:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[token] = got
+        return got
+
+
+class Sure(Features):
+    """The same for tokens that stand for themselves, whatever the features: short and known words."""
+
+    def words(self, token: str) -> list[str]:
+        low = token.lower()
+        plain = PLAIN.fullmatch(low) or PLAIN.fullmatch(low := bare(low))
+        return [low] if plain and not STRETCHED.search(low) and (len(low) < JOINED or low in self.channel.vocabulary) else []
+
+
+def tally(rows: DataFrame, text: str, make: Callable[[], Features]) -> DataFrame:
+    """``f, c0, t0, c1, t1``: in how many texts of rows (text, y, half) a feature stands, by label and half."""
+    name = ("tally", uuid.uuid4().hex)
+    names = ["f", "c0", "t0", "c1", "t1"]
+
+    def batch(count: list[Counter]) -> pa.RecordBatch:
+        held = list(set().union(*count))
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array([c[f] for f in held], pa.int64()) for c in count)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel = Channel(logp, known)
+        known, count = remembered(name, make), [Counter() for _ in range(4)]
         for whole in batches:
             for at in range(0, whole.num_rows, TEXT_ROWS):
                 part = whole.slice(at, TEXT_ROWS)
-                count: dict[str, list[int]] = {}
                 for t, y, half in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    for f in {f for w in set(channel.words(t or "")) for f in _features(w)}:
-                        count.setdefault(f, [0, 0, 0, 0])[2 * half + int(y)] += 1
-                cols = [pa.array(c, pa.int64()) for c in zip(*count.values(), strict=True)] or [pa.array([], pa.int64())] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *cols], names=["f", "c0", "t0", "c1", "t1"])
+                    count[2 * half + int(y)].update(set().union(*map(known.__getitem__, set(units(t or "")))))
+                if sum(map(len, count)) >= TALLY_ROWS:
+                    yield batch(count)
+                    count = [Counter() for _ in range(4)]
+        yield batch(count)
 
+    return rows.select(text, "y", "half").mapInArrow(run, "f string, c0 long, t0 long, c1 long, t1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in names[1:]))
+
+
+def telling(t: Column, c: Column, clean: int, toxic: int) -> tuple[Column, Column]:
+    """Log odds of a feature and how sure they are; both fall as c grows."""
+    a, b = (t + 0.5) / (toxic + 1.0), (c + 0.5) / (clean + 1.0)
+    return F.log(a / b), (a - b) / F.sqrt((t + c + 0.5) / (clean + toxic + 1.0) * (1.0 / toxic + 1.0 / clean))
+
+
+def lexicon(counts: DataFrame, clean: int, toxic: int) -> dict[str, float]:
+    """Log odds of the FEATURES word beginnings with the most telling counts ``f, c, t``."""
+    w, z = telling(F.col("t"), F.col("c"), clean, toxic)
+    rows = counts.where(f"t >= {LEAST_DOCS}").select("f", w.alias("w"), z.alias("z")).where("z > 4 and w > 0.7")
+    return {r["f"]: float(r["w"]) for r in rows.orderBy(F.desc("z"), "f").limit(FEATURES).collect()}
+
+
+def feature_counts(rows: DataFrame, n: list[list[int]], logp: np.ndarray, known: dict[str, float], text: str = "text") -> DataFrame:
+    """``f, c0, t0, c1, t1`` of every feature that a lexicon of a half or of both may hold.
+
+    Toxic texts are restored whole. Clean texts are first counted by words that need no restoring; what stands in too many
+    of them already can be in no lexicon, and only tokens with a part that is another feature are restored.
+    """
+    toxic = n[0][1] + n[1][1]
+    least = max(LEAST_DOCS, toxic / LEAST_SHARE)
+    hot = cut(tally(rows.where("y = 1"), text, lambda: Features(logp, known)).where(f"t0 + t1 >= {least}").select("f", "t0", "t1"))
+    wanted = frozenset(r["f"] for r in hot.select("f").collect())
+    with_clean = lambda some: hot.join(tally(rows.where("y = 0"), text, some).select("f", "c0", "c1"), "f", "left").na.fill(0, ["c0", "c1"])
+    may = F.lit(False)
+    for h in ((0,), (1,), (0, 1)):
+        clean, toxic = (sum(n[i][y] for i in h) for y in (0, 1))
+        if clean and toxic:
+            w, z = telling(sum((F.col(f"t{i}") for i in h), F.lit(0)), sum((F.col(f"c{i}") for i in h), F.lit(0)), clean, toxic)
+            may = may | (w > 0.69) & (z > 3.99)
+    found = frozenset(r["f"] for r in with_clean(lambda: Sure(logp, known, wanted)).where(may).select("f").collect())
+    # What isn't in found has no clean counts here.
+    keep = rows.sparkSession.createDataFrame([(f,) for f in sorted(found)], "f string")
+    return cut(with_clean(lambda: Features(logp, known, found)).join(keep, "f", "left_semi"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
+    """The character model counts all texts; the rest learns from all training rows.
+    The logistic layer sees each half of them under word weights of the other."""
+    logp = language_model(trigrams(docs, text))
+    ids = cut(labelled(labels, label, key, None))
+    # The broadcast has a known bound.
+    ids = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids.hint("merge")
+    rows = docs.select(key, text).join(ids, key).withColumn("half", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2)).cast("int"))
+    # Of texts that share an id the one with the smallest hash, in every run.
+    one = F.min(F.struct(F.xxhash64(text).alias("h"), text, "y", "half")).alias("d")
+    rows = kept(rows.groupBy(key).agg(one).select(key, f"d.{text}", "d.y", "d.half"), "toxicity-rows")
+    known = vocabulary(rows, text)
     size = {(r["half"], int(r["y"])): r["n"] for r in rows.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     n = [[size.get((h, y), 0) for y in (0, 1)] for h in (0, 1)]
     clean, toxic = n[0][0] + n[1][0], n[0][1] + n[1][1]
     if not clean or not toxic:
         return Model(logp, {}, np.r_[math.log((toxic + 1) / (clean + 1)), np.zeros(DIMS - 1)], known)
-    counts = rows.select(text, "y", "half").mapInArrow(run, "f string, c0 long, t0 long, c1 long, t1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1"))).where(f"t0 + t1 >= {LEAST_DOCS}")
-    counts = cut(counts)
-    seen, y = [], []
+    counts = feature_counts(rows, n, logp, known, text)
+    seen, learned = [], 0
     for h in (0, 1):
         if min(*n[h], *n[1 - h]):
             other = Model(logp, lexicon(counts.select("f", F.col(f"c{1 - h}").alias("c"), F.col(f"t{1 - h}").alias("t")), *n[1 - h]), np.zeros(DIMS), known)
-            got = _summaries(rows.where(f"half = {h}"), other, [key, "y"], text).toPandas().sort_values(key, kind="stable")
-            seen += got["seen"].to_list()
-            y += got["y"].to_list()
+            seen.append(_summaries(rows.where(f"half = {h}"), other, [key, "y", "half"], text))
+            learned += sum(n[h])
     model = Model(logp, lexicon(counts.select("f", F.expr("c0 + c1").alias("c"), F.expr("t0 + t1").alias("t")), clean, toxic), np.r_[math.log(toxic / clean), np.zeros(DIMS - 1)], known)
     if seen:
-        model.layer = logistic(np.stack(seen).astype(float), np.array(y, float))
+        model.layer = logistic(blocks(reduce(DataFrame.unionByName, seen), learned, ["half", key]), learned)
     return model
 
 

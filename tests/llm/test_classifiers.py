@@ -159,3 +159,37 @@ def test_texts_that_share_an_id_fit_alike(spark):
     assert x.weights == y.weights and np.allclose(x.layer, y.layer)
     x, y = (Q.fit(d, labels) for d in (a, b))
     assert (x.intercept, x.rules, x.weights) == (y.intercept, y.rules, y.weights)
+
+
+def test_toxicity_learns_from_all_training_rows(spark, monkeypatch):
+    n = 28_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "if(id % 3 = 0, 'common odd', 'common even') AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS int) AS toxic")
+    train = [i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    odd = sum(i % 3 == 0 for i in train)
+    assert len(train) > 20_000
+    model = T.fit(docs, labels)
+    assert math.isclose(math.exp(model.vocabulary["odd"]), odd / (2 * len(train)))
+    assert math.isclose(model.weights["odd$"], math.log((odd + 0.5) / (odd + 1) / (0.5 / (len(train) - odd + 1))))
+    monkeypatch.setattr(T, "BLOCK_ROWS", 3_000)
+    assert np.allclose(T.fit(docs, labels).layer, model.layer)
+
+
+def test_features_counted_in_two_steps_are_those_of_all_words(spark):
+    path = SF["quality"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id")
+    rows = docs.selectExpr("text", "CAST(toxic AS double) AS y", "CAST(doc_id % 2 AS int) AS half").where("y in (0, 1)").cache()
+    got = rows.toPandas()
+    n = [[int(((got.half == h) & (got.y == y)).sum()) for y in (0, 1)] for h in (0, 1)]
+    logp, known = T.language_model(T.trigrams(rows)), T.vocabulary(rows)
+    channel = T.Channel(logp, known)
+    count = {}
+    for t, y, half in zip(got.text, got.y, got.half, strict=True):
+        for f in {f for w in set(channel.words(t or "")) for f in T._features(w)}:
+            count.setdefault(f, [0, 0, 0, 0])[2 * half + int(y)] += 1
+    brute = spark.createDataFrame([(f, *c) for f, c in count.items()], "f string, c0 long, t0 long, c1 long, t1 long")
+    found = T.feature_counts(rows, n, logp, known)
+    assert {(r.f, r.c0, r.t0, r.c1, r.t1) for r in found.collect()} <= {(f, *c) for f, c in count.items()}
+    for c, t, clean, toxic in (("c0", "t0", *n[0]), ("c1", "t1", *n[1]), ("c0 + c1", "t0 + t1", n[0][0] + n[1][0], n[0][1] + n[1][1])):
+        whole, two = (T.lexicon(d.selectExpr("f", f"{c} AS c", f"{t} AS t"), clean, toxic) for d in (brute, found))
+        assert whole == two and (whole or toxic < 20)
