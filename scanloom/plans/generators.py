@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import geo
 from scanloom.operators import aggregates, generate
-from scanloom.plans.common import FACADES_SQL, GRID_SQL, facades, rounded
+from scanloom.plans.common import FACADES_SQL, GRID_SQL, decimals, facades, rounded
 from scanloom.registry import register
 from scanloom.sources.fixtures import VIEWS, view
 
@@ -31,9 +31,9 @@ def facade_waypoints(spark, sf_dir):
           "SELECT building_id, CAST(idx AS INT) AS idx, round(lat+y/mlat, 9) AS wp_lat, round(lon+x/mlon, 9) AS wp_lon, round(ground_altitude+z, 6) AS wp_alt FROM n JOIN m USING (building_id)")
 def planned_positions(spark, sf_dir):
     b = view(spark, sf_dir, "buildings")
-    rows = generate.global_index(generate.facade_waypoints(facades(spark, sf_dir))).join(b.select("building_id", "lat", "lon", "ground_altitude"), "building_id")
+    rows = generate.facade_waypoints(facades(spark, sf_dir), index=True).join(b.select("building_id", "lat", "lon", "ground_altitude"), "building_id")
     lat, lon, alt = geo.enu_to_wgs84(F.col("x"), F.col("y"), F.col("z"), F.col("lat"), F.col("lon"), F.col("ground_altitude"))
-    return rows.select("building_id", "idx", F.round(lat, 9).alias("wp_lat"), F.round(lon, 9).alias("wp_lon"), F.round(alt, 6).alias("wp_alt"))
+    return rows.select("building_id", "idx", decimals(lat, 9).alias("wp_lat"), decimals(lon, 9).alias("wp_lon"), decimals(alt, 6).alias("wp_alt"))
 
 
 _COVER = """SELECT f.building_id, f.facade_index, f.label, round(any_value(f.width_m*f.height_m), 1) AS area_m2, count(g.seq) AS waypoint_count, round(avg(abs(gimbal_pitch_deg)), 1)+0 AS mean_pitch_abs_deg,

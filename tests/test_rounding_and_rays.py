@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scanloom.operators import generate
-from scanloom.plans.common import decimals
+from scanloom.plans.common import decimals, facades
 
 
 def test_decimals_are_duckdbs(spark):
@@ -47,3 +47,9 @@ def test_standoff_of_rays_in_rings(spark):
     assert "ArrowEvalPython" in got._jdf.queryExecution().toString()
     found = {r.i: r.s for r in got.collect()}
     assert len(found) == 403 and all(math.isclose(found[r[0]], held(*r[1:])) for r in rows)
+
+
+def test_index_from_the_sizes_of_faces(spark):
+    f = facades(spark, "/root/testdata/sf0.001").where("building_id < 40")
+    want = {tuple(r) for r in generate.global_index(generate.facade_waypoints(f)).select("building_id", "facade_index", "seq", "idx").collect()}
+    assert {tuple(r) for r in generate.facade_waypoints(f, index=True).select("building_id", "facade_index", "seq", "idx").collect()} == want and len(want) > 1000
