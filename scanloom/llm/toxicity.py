@@ -417,7 +417,12 @@ class Features(dict):
         return self.channel.word(token).split()
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        got = tuple(f for w in self.words(token) for f in _features(w) if self.wanted is None or f in self.wanted)
+        low, hot = token.lower(), self.channel.hot
+        plain = hot and (PLAIN.fullmatch(low) or PLAIN.fullmatch(low := bare(low)))
+        if plain and not hot(low) and not STRETCHED.search(low):  # none of its parts is wanted
+            got = ()
+        else:
+            got = tuple(f for w in self.words(token) for f in _features(w) if self.wanted is None or f in self.wanted)
         if len(token) <= TOKEN_KEPT:
             if len(self) >= WORDS_KEPT:
                 self.clear()
