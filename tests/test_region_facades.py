@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from scanloom.operators import clouds, groups, meshes, surface
+from scanloom.operators import clouds, graph, groups, meshes, surface
 
 TRI = "mesh_id long, fid long, v0 long, v1 long, v2 long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double"
 
@@ -83,3 +83,17 @@ def test_hulls_of_many_keys(spark):
     for k in range(900):
         want = clouds.hull(np.array([r[1:] for r in rows if r[0] == k]))
         assert got.get(k, []) == ([tuple(p) for p in want.tolist()] if len(want) >= 3 else [])
+
+
+def test_components_are_settled_where_they_lie(spark, monkeypatch):
+    """Chains over the borders of groups, groups by themselves and loops; without a node of two groups nothing is contracted in rounds."""
+    rng = np.random.default_rng(3)
+    rows = [(int(a) // 50, int(a), int(a) + 1) for a in range(0, 900) if a % 90 < 80] + [(int(a) // 50, int(a), int(a)) for a in range(2000, 2100)]
+    rows += [(int(a) // 50, int(a), int(b)) for a, b in rng.integers(3000, 3400, (150, 2))]
+    df = spark.createDataFrame(rows, "near long, src long, dst long").repartition(6)
+    want = {r.node: r.component for r in graph.connected_components(df).collect()}
+    got = graph.near_components(df, ["near"]).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    monkeypatch.setattr(graph, "connected_components", lambda *a: 1 / 0)
+    lone = df.where("src < 900 and src % 50 < 49")
+    assert len(set(r.component for r in graph.near_components(lone, ["near"]).collect())) > 15
