@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from scanloom.operators import clouds
+from scanloom.operators import clouds, directions, joins, meshes
 
 
 def slow(xyz, heading, steep, r, deg):
@@ -43,3 +43,47 @@ def test_like_poses_make_no_rows(spark, monkeypatch):
     got = [r.point_id for r in clouds.dedupe_poses_within(df.unionByName(odd), 0.5, 60.0).collect()]
     assert {901, 900, None} <= set(got)
     assert {i for i in range(400)} - set(got) == slow(xyz, heading, np.abs(pitch), 0.5, 60.0)
+
+
+def test_rays_are_tested_in_batches(spark):
+    """Rays meet the triangles of their cells inside tasks: few rays, many triangles, ids of any type, and no join of both."""
+    rng = np.random.default_rng(7)
+    tri = rng.random((300, 9)) * np.tile([8, 4, 2], 3)
+    faces = spark.createDataFrame([("m", i, *map(float, t)) for i, t in enumerate(tri)], "mesh_id string, fid int, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
+    at, to = rng.random((60, 3)) * [12, 8, 6] - 2, rng.random((60, 3)) * [8, 4, 2]
+    way = (to - at) / np.linalg.norm(to - at, axis=1)[:, None]
+    rays = spark.createDataFrame([("m", f"r{i}", *map(float, at[i]), *map(float, way[i])) for i in range(60)], "mesh_id string, id string, x double, y double, z double, dx double, dy double, dz double")
+    want: set = set()
+    for i in range(60):
+        e1, e2, o = tri[:, 3:6] - tri[:, :3], tri[:, 6:] - tri[:, :3], at[i] - tri[:, :3]
+        p, q = np.cross(way[i], e2), np.cross(o, e1)
+        det = (e1 * p).sum(1)
+        u, v, t = (o * p).sum(1) / det, (way[i] * q).sum(1) / det, (e2 * q).sum(1) / det
+        want |= {(f"r{i}", round(float(x), 7)) for x in t[(u >= 0) & (v >= 0) & (u + v <= 1) & (t > 1e-9)]}
+    hits = meshes.ray_hits(rays, faces)
+    assert {(r.id, round(r.t, 7)) for r in hits.collect()} == want and hits.columns == ["mesh_id", "id", "t"]
+    box = meshes.box_meshes(spark.createDataFrame([(1, 10.0, 6.0, 4.0, 30.0)], "building_id long, width double, depth double, height double, heading_deg double"))
+    down = spark.createDataFrame([(1, 7, 0.1, 0.2, 9.0, 0.0, 0.0, -1.0)], "mesh_id long, id long, x double, y double, z double, dx double, dy double, dz double")
+    # A box is one cell: a ray meets a triangle once.
+    assert sorted(round(r.t, 9) for r in meshes.ray_hits(down, box).collect()) == [5.0, 9.0]
+
+
+def test_short_chains_are_walked_many_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(None if m == 3 else m, k, *map(float, np.round(rng.random(3) * 3, 1))) for m in range(30) for k in range(int(rng.integers(1, 40)))]
+    got = {(r.mission_id, r.position): r.idx for r in directions.spatial_chain(spark.createDataFrame(rows, "mission_id long, idx int, x double, y double, z double")).collect()}
+    assert len(got) == len(rows)
+    xyz = {m: np.array([r[2:] for r in rows if r[0] == m]) for m in {r[0] for r in rows}}
+    monkeypatch.setattr(directions, "FEW", 0)
+    for m, p in xyz.items():
+        assert [got[m, k] for k in range(len(p))] == directions._walk(p).tolist()
+
+
+def test_as_of_windows_run_on(spark):
+    """No frame reaches from a row to the end of its mission; equal times are taken by idx."""
+    rows = [(1, k, k // 2 * 2.0, float(k), 0.0, 0.0, False) for k in range(6)]
+    line = spark.createDataFrame(rows, "mission_id long, idx int, t_s double, x double, y double, z double, is_transition boolean")
+    times = spark.createDataFrame([(1, t) for t in (-1.0, 1.0, 2.0, 3.0, 9.0)], "mission_id long, at_s double")
+    found = joins.pose_at(line, times)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.at_s: (r.from_idx, r.x) for r in found.collect()} == {-1.0: (0, 0.0), 1.0: (1, 1.5), 2.0: (1, 2.0), 3.0: (3, 3.5), 9.0: (5, 5.0)}
