@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,8 @@ WAYLINES = "wpmz/waylines.wpml"
 KML, WPML = "http://www.opengis.net/kml/2.2", "http://www.dji.com/wpmz/1.0.6"
 #: Rows of a file when a mission is cut into several: a document of a few megabytes, whatever the length of the mission.
 PART_ROWS = 5_000
+#: Bytes of documents that go to Python together, unless the session says how many.
+BATCH_BYTES = 16 << 20
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+(STATE|ACTION|UPLOAD|START|ERROR)\b(.*)$"
 
 
@@ -72,38 +74,51 @@ def waylines_xml(waypoints: DataFrame, most: int = 65_535, speed_ms: float = 3.0
     part_rows: missions are cut into files of so many indexes, ``mission_id, part, n, xml``, which together hold all rows of a mission of any
     length; n counts the file's rows, distance and duration are the whole mission's.
     """
-    have, c = set(waypoints.columns), F.col
-    height = F.greatest(c("z" if "z" in have else "alt").cast("double"), F.lit(2.0))
-    ellipsoid = F.coalesce(F.nullif(c("alt").cast("double"), F.lit(0.0)), height)
-    emit = F.coalesce(c("emit_gimbal"), F.lit(True)) if "emit_gimbal" in have else F.lit(True)
-    nose = F.coalesce(c("emit_heading"), F.lit(False)) if "emit_heading" in have else F.lit(False)
-    heading = _number(angles.heading_fold(c("heading_deg")))
-    # Ids count what is there: the gimbal, the heading and the photo.
-    func = lambda n, name, inner: _tag("action", _tag("actionId", n.cast("string")), _value("actionActuatorFunc", name), inner)
-    rotate = F.when(emit, func(F.lit(0), "gimbalRotate", _gimbal(c("gimbal_pitch_deg"), c("gimbal_yaw_deg")))).otherwise("")
-    turn = F.when(nose, func(emit.cast("int"), "rotateYaw", _tag("actionActuatorFuncParam", _tag("aircraftHeading", heading), _value("aircraftPathMode", "counterClockwise")))).otherwise("")
-    photo = func(emit.cast("int") + nose.cast("int"), "takePhoto", _tag("actionActuatorFuncParam", _tag("fileSuffix", F.concat(F.lit("wp"), c("idx").cast("string"))), _value("payloadPositionIndex", "0")))
-    group = _tag("actionGroup", _tag("actionGroupId", c("idx").cast("string")), _tag("actionGroupStartIndex", c("idx").cast("string")), _tag("actionGroupEndIndex", c("idx").cast("string")), _value("actionGroupMode", "sequence"), _tag("actionTrigger", _value("actionTriggerType", "reachPoint")), rotate, turn, photo)
-    place = F.concat(
-        F.lit("<Placemark><Point><coordinates>"), _number(c("lon")), F.lit(","), _number(c("lat")), F.lit("</coordinates></Point>"), _tag("index", c("idx").cast("string")),
-        _tag("executeHeight", _number(height)), _tag("ellipsoidHeight", _number(ellipsoid)), _tag("waypointSpeed", _number(c("speed_ms"))), _tag("waypointHeadingParam", _value("waypointHeadingMode", "smoothTransition"), _tag("waypointHeadingAngle", heading)),
-        _tag("waypointTurnParam", _value("waypointTurnMode", "toPointAndPassWithContinuityCurvature"), _value("waypointTurnDampingDist", "0")), F.when(c("is_transition"), "").otherwise(group), F.lit("</Placemark>"),
-    )
-    measured = have >= {"x", "y", "z"}
+    have = set(waypoints.columns)
+
+    def placemark(c: Callable[[str], Column]) -> Column:
+        height = F.greatest(c("z" if "z" in have else "alt").cast("double"), F.lit(2.0))
+        ellipsoid = F.coalesce(F.nullif(c("alt").cast("double"), F.lit(0.0)), height)
+        emit = F.coalesce(c("emit_gimbal"), F.lit(True)) if "emit_gimbal" in have else F.lit(True)
+        nose = F.coalesce(c("emit_heading"), F.lit(False)) if "emit_heading" in have else F.lit(False)
+        heading = _number(angles.heading_fold(c("heading_deg")))
+        # Ids count what is there: the gimbal, the heading and the photo.
+        func = lambda n, name, inner: _tag("action", _tag("actionId", n.cast("string")), _value("actionActuatorFunc", name), inner)
+        rotate = F.when(emit, func(F.lit(0), "gimbalRotate", _gimbal(c("gimbal_pitch_deg"), c("gimbal_yaw_deg")))).otherwise("")
+        turn = F.when(nose, func(emit.cast("int"), "rotateYaw", _tag("actionActuatorFuncParam", _tag("aircraftHeading", heading), _value("aircraftPathMode", "counterClockwise")))).otherwise("")
+        photo = func(emit.cast("int") + nose.cast("int"), "takePhoto", _tag("actionActuatorFuncParam", _tag("fileSuffix", F.concat(F.lit("wp"), c("idx").cast("string"))), _value("payloadPositionIndex", "0")))
+        group = _tag("actionGroup", _tag("actionGroupId", c("idx").cast("string")), _tag("actionGroupStartIndex", c("idx").cast("string")), _tag("actionGroupEndIndex", c("idx").cast("string")), _value("actionGroupMode", "sequence"), _tag("actionTrigger", _value("actionTriggerType", "reachPoint")), rotate, turn, photo)
+        return F.concat(
+            F.lit("<Placemark><Point><coordinates>"), _number(c("lon")), F.lit(","), _number(c("lat")), F.lit("</coordinates></Point>"), _tag("index", c("idx").cast("string")),
+            _tag("executeHeight", _number(height)), _tag("ellipsoidHeight", _number(ellipsoid)), _tag("waypointSpeed", _number(c("speed_ms"))), _tag("waypointHeadingParam", _value("waypointHeadingMode", "smoothTransition"), _tag("waypointHeadingAngle", heading)),
+            _tag("waypointTurnParam", _value("waypointTurnMode", "toPointAndPassWithContinuityCurvature"), _value("waypointTurnDampingDist", "0")), F.when(c("is_transition"), "").otherwise(group), F.lit("</Placemark>"),
+        )
+
+    c, measured = F.col, have >= {"x", "y", "z"}
     rows = (paths.with_path(waypoints) if measured else waypoints.withColumn("seg_m", F.lit(None).cast("double")))
     totals = rows.groupBy(c("mission_id").alias("_of")).agg(F.count("*").alias("rows"), F.sum("seg_m").alias("m"))
-    rows = rows.select("mission_id", part_of(c("idx"), part_rows).alias("part"), "idx", "gimbal_pitch_deg", place.alias("place"))
-    g = rows.groupBy("mission_id", "part").agg(F.count("*").alias("n"), F.min_by("gimbal_pitch_deg", "idx").alias("pitch"), F.array_sort(F.collect_list(F.struct("idx", "place"))).alias("p"))
+    # Files are collected as numbers and written out one at a time: the text is twenty times as long.
+    rest = [n for n in ("alt", "emit_gimbal", "emit_heading", "gimbal_pitch_deg", "gimbal_yaw_deg", "heading_deg", "is_transition", "lat", "lon", "speed_ms", "z") if n in have]
+    g = rows.groupBy("mission_id", part_of(c("idx"), part_rows).alias("part")).agg(F.count("*").alias("n"), F.min_by("gimbal_pitch_deg", "idx").alias("pitch"), F.array_sort(F.collect_list(F.struct("idx", *rest))).alias("p"))
     g = g.join(totals, c("mission_id").eqNullSafe(c("_of")))
     three = lambda v: F.format_string("%.3f", v)
     size = F.concat(_tag("distance", three(c("m"))), _tag("duration", three(c("m") / max(speed_ms, 0.1) + 0.5 * c("rows")))) if measured else F.lit("")
     head = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="{KML}" xmlns:wpml="{WPML}"><Document><Folder>'), _value("templateId", "0"), _value("executeHeightMode", "relativeToStartPoint"), _value("waylineId", "0"), size, _start_group(F.coalesce("pitch", F.lit(0.0))))
-    body = F.concat(head, F.array_join(F.transform("p", lambda x: x["place"]), ""), F.lit("</Folder></Document></kml>"))
+    body = F.concat(head, F.array_join(F.transform("p", lambda x: placemark(lambda n: x[n])), ""), F.lit("</Folder></Document></kml>"))
     return g.select("mission_id", *(["part"] if part_rows else []), "n", F.when(F.col("n") <= most, body).alias("xml"))
 
 
+def _few_bytes(spark: SparkSession) -> None:
+    """A batch of documents ends by its bytes, as a document may be megabytes and a batch counts thousands of rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def archives(xml: DataFrame) -> DataFrame:
     """``mission_id, content``: each route zipped."""
+    _few_bytes(xml.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -141,10 +156,13 @@ def read_archives(files: DataFrame) -> DataFrame:
                         got = members(z.read(name), depth + 1)
             return got
 
+    _few_bytes(files.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Texts are many times as long as their archives, so each archive goes back by itself.
         for pdf in batches:
-            rows = []
             for k, content in zip(pdf["archive_id"], pdf["content"], strict=True):
+                rows: list[tuple] = []
                 try:
                     got = members(bytes(content))
                     if "waylines" not in got:
@@ -152,7 +170,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                     rows += [(k, kind, None, None, x) if kind == "cloud" else (k, kind, x.decode("utf-8"), None, None) for kind, x in got.items()]
                 except (ValueError, zipfile.BadZipFile) as e:
                     rows.append((k, "error", None, str(e), None))
-            yield pd.DataFrame(rows, columns=["archive_id", "kind", "text", "error", "data"])
+                yield pd.DataFrame(rows, columns=["archive_id", "kind", "text", "error", "data"])
 
     return files.select("archive_id", "content").mapInPandas(run, f"archive_id {dict(files.dtypes)['archive_id']}, kind string, text string, error string, data binary")
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from scanloom.operators import clouds, directions, joins, meshes
+from scanloom.sources import missions
 
 
 def slow(xyz, heading, steep, r, deg):
@@ -87,3 +88,16 @@ def test_as_of_windows_run_on(spark):
     found = joins.pose_at(line, times)
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {r.at_s: (r.from_idx, r.x) for r in found.collect()} == {-1.0: (0, 0.0), 1.0: (1, 1.5), 2.0: (1, 2.0), 3.0: (3, 3.5), 9.0: (5, 5.0)}
+
+
+def test_mission_files_are_collected_as_numbers(spark):
+    """No text of rows stands in memory for a whole group, and a batch of documents ends by its bytes."""
+    w = spark.range(40).selectExpr("id % 2 as mission_id", "int(id div 2) as idx", "52D + id as lat", "5D as lon", "10D as alt", "1D as x", "2D as y", "double(id) as z", "30D as heading_deg", "-10D as gimbal_pitch_deg", "cast(null as double) as gimbal_yaw_deg", "3D as speed_ms", "id % 7 = 0 as is_transition")
+    xml = missions.waylines_xml(w, part_rows=6)
+    held = [line for line in xml._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line]
+    assert held and not any("wpml" in line for line in held)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    back = missions.parse_waylines(missions.read_archives(missions.archives(xml).withColumnRenamed("mission_id", "archive_id")))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == missions.BATCH_BYTES
+    rows = back.collect()
+    assert sorted((r.archive_id, r.idx) for r in rows) == [(m, k) for m in (0, 1) for k in range(20)] and all(r.is_transition == ((2 * r.idx + r.archive_id) % 7 == 0) for r in rows)
