@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from scanloom.operators import clouds, directions, joins, meshes
+from scanloom.operators import clouds, directions, filters, joins, meshes
 from scanloom.sources import missions
 
 
@@ -101,3 +101,22 @@ def test_mission_files_are_collected_as_numbers(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == missions.BATCH_BYTES
     rows = back.collect()
     assert sorted((r.archive_id, r.idx) for r in rows) == [(m, k) for m in (0, 1) for k in range(20)] and all(r.is_transition == ((2 * r.idx + r.archive_id) % 7 == 0) for r in rows)
+
+
+def test_poses_and_looks_taken_again_are_judged_once(spark, monkeypatch):
+    sizes, real = [], joins.within
+    spy = lambda a, b, *more: sizes.append((a.count(), b.count())) or real(a, b, *more)
+    monkeypatch.setattr(joins, "within", spy)
+    monkeypatch.setattr(filters, "within", spy)
+    w = spark.range(60).selectExpr("1L as building_id", "1L as mission_id", "int(id) as idx", "double(id % 3) * 2 as x", "0D as y", "3D as z", "id % 2 = 0 as is_transition", "case when id % 6 < 3 then 0 end as facade_index")
+    p = spark.range(40).selectExpr("1L as building_id", "double(id % 2) * 0.5 as x", "1D as y", "3D as z")
+    face = spark.createDataFrame([(1, 0, 0.0, -1.0, 0.0)], "building_id long, facade_index int, nx double, ny double, nz double")
+    got = sorted(r.idx for r in filters.obstructed(w, p, face, 1.5).collect())
+    # At x 0 and 2 a point is near; inspection rows of face 0 look at it, but from x 2 aside of their cone of 45 degrees.
+    assert got == [r for r in range(60) if r % 3 == 0 and not (r % 2 and r % 6 < 3)] and sizes == [(6, 2)]
+    wide = sorted(r.idx for r in filters.obstructed(w, p, face, 2.0, 45.0).collect())
+    assert wide == [r for r in range(60) if r % 3 == 0 and not (r % 2 and r % 6 < 3) or r % 3 == 1]
+    sizes.clear()
+    looks = w.selectExpr("building_id", "idx as id", "x", "y", "z", "0D as tx", "2D as ty", "3D as tz")
+    hits = {r.id: r.hits for r in joins.ray_hits(looks, p, "building_id").collect()}
+    assert set(hits) == {r for r in range(60) if r % 3 < 2} and set(hits.values()) <= {20, 40} and sizes[0][1] == 2 and sizes[0][0] < 60
